@@ -27,7 +27,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
 
 
 def map_slices(
-    df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text"
+    df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text", most: int = SLICE_BYTES
 ) -> DataFrame:
     """Apply a per-slice function over `df` on the executors.
 
@@ -38,7 +38,7 @@ def map_slices(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 out = step(part)
                 if out.num_rows:
                     yield out

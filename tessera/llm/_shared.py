@@ -1,0 +1,24 @@
+"""Tables that a job writes for itself, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset, as in tests, a temporary folder is set as it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: later steps start from it, whichever executor is lost."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
