@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Texts are handed to the Python code in slices of about this many UTF-8 bytes.
 SLICE_BYTES = 4 << 20
@@ -26,6 +27,17 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
     yield batch.slice(start)
 
 
+def taken(df: DataFrame, key: str, text: str, carry: bool = False) -> tuple[DataFrame, str, str]:
+    """The columns an operator reads: key, text and, if rows are carried along, the whole row as one struct.
+
+    Whatever other columns are called, they can't clash with those. Also returns the key's type and the schema of
+    the carried column.
+    """
+    columns = [F.col(key).alias("key"), F.col(text).alias("text")] + ([F.struct("*").alias("row")] if carry else [])
+    out = df.select(*columns)
+    return out, out.schema["key"].dataType.simpleString(), f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
+
+
 def map_slices(
     df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text", most: int = SLICE_BYTES
 ) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from ._arrow import map_slices
+from ._arrow import map_slices, taken
 
 # Fixed value: the split pattern of this public tokenizer family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -358,7 +358,7 @@ def encode_ids(bpe: ByteBPE, memo: _Memo, texts: list[str]) -> list[bytes]:
     return out
 
 
-def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digest: bool = False, carry: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
     Returns the key, n_tokens, ids (array<int>) and decoded; with `digest`, instead of the last two, ids_sha256
@@ -366,8 +366,10 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     Longest matches propose tokens, vectorised checks test every adjacent pair, and only words with a pair that
     fails are merged exactly. A null text counts as empty, with no ids. Repeated rows are encoded each on their
-    own, a null key is passed on, other columns are not read, and an empty table gives an empty result.
+    own, a null key is passed on, other columns are not read, and an empty table gives an empty result. With `carry`
+    the whole input row follows as the struct `row`.
     """
+    rows, kind, row = taken(docs, key, text, carry)
 
     def work():
         bpe = load(path)
@@ -386,12 +388,10 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
                 ids = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
                 columns += [pa.ListArray.from_arrays(ends, ids), pa.array(decoded, pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "x", "y"])
+            return pa.RecordBatch.from_arrays(columns + batch.columns[2:], names=["key", "n_tokens", "x", "y", *batch.schema.names[2:]])
 
         return step
 
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     names = ("ids_sha256 string", "decoded_sha256 string") if digest else ("ids array<int>", "decoded string")
-    out = map_slices(rows, work, f"key {kind}, n_tokens long, x {names[0].split()[1]}, y {names[1].split()[1]}")
-    return out.toDF(key, "n_tokens", *(n.split()[0] for n in names))
+    out = map_slices(rows, work, f"key {kind}, n_tokens long, x {names[0].split()[1]}, y {names[1].split()[1]}{row}")
+    return out.toDF(key, "n_tokens", *(n.split()[0] for n in names), *(["row"] if carry else []))

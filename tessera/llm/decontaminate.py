@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_slices
+from ._arrow import map_slices, taken
 
 WINDOW = 10
 #: Words of a block of the shift tables.
@@ -100,6 +100,7 @@ def find_contamination(
     item: str = "item_id",
     item_text: str = "text",
     pass_bytes: int = PASS_BYTES,
+    carry: bool = False,
 ) -> DataFrame:
     """Per document: key, n_words, n_hit, n_items, items, items_sha256 and contaminated (n_hit > 0).
 
@@ -110,18 +111,19 @@ def find_contamination(
     The test items are a stated query set: they are read in passes of bounded size, and each pass is a scan that
     adds to the hits already found in a row, so nothing is shuffled. A null text has no words; null item names
     count as empty strings; repeated items and rows count once by name and each on their own. Other columns are
-    not read, and an empty table gives an empty result, an empty benchmark no hits.
+    not read, and an empty table gives an empty result, an empty benchmark no hits. With `carry` the whole input row
+    follows as the struct `row`.
     """
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    rows, kind, row = taken(docs, key, text, carry)
+    out = rows.select("key", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *(["row"] if carry else []))
     passes = list(_passes(benchmark, item, item_text, pass_bytes))
     shared = docs.sparkSession.sparkContext.broadcast
     for k, block in enumerate(passes):
-        out = _scan(out, shared(searchers(block, window)), kind, k == len(passes) - 1)
+        out = _scan(out, shared(searchers(block, window)), kind, row, k == len(passes) - 1)
     return out.withColumnRenamed("key", key)
 
 
-def _scan(rows: DataFrame, patterns, kind: str, final: bool) -> DataFrame:
+def _scan(rows: DataFrame, patterns, kind: str, row: str, final: bool) -> DataFrame:
     def work():
         automata = patterns.value
 
@@ -141,14 +143,14 @@ def _scan(rows: DataFrame, patterns, kind: str, final: bool) -> DataFrame:
                 marks.append(mark)
                 names.append(sorted(items))
             if not final:
-                return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m and bytes(m) for m in marks], pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["key", "text", "hit", "items"])
+                return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m and bytes(m) for m in marks], pa.binary()), pa.array(names, pa.list_(pa.string())), *batch.columns[4:]], names=["key", "text", "hit", "items", *batch.schema.names[4:]])
             hits = [sum(m) if m else 0 for m in marks]
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(list(map(len, names)), pa.int64()), pa.array(names, pa.list_(pa.string())),
-                    pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()),
+                    pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), *batch.columns[4:],
                 ],
-                names=["key", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
+                names=["key", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", *batch.schema.names[4:]],
             )
 
         return step
@@ -158,4 +160,4 @@ def _scan(rows: DataFrame, patterns, kind: str, final: bool) -> DataFrame:
         if final
         else f"key {kind}, text string, hit binary, items array<string>"
     )
-    return map_slices(rows, work, schema)
+    return map_slices(rows, work, schema + row)

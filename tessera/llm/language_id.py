@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._arrow import map_slices
+from ._arrow import map_slices, taken
 
 WIDTHS, FILTERS, DIM, LENGTH = (2, 3, 4), 8, 8, 128
 UNKNOWN = "und"
@@ -161,15 +161,15 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """The language of every whole text: key, held_out, lang_pred and score.
 
     All windows of a text go through the network in batches of fixed length; the score is the mean probability
     of the best label over them. A text that is null or has no letter is `und` with score 0, as is every text
     where no label was learned. Repeated rows are judged each, a null key is passed on, other columns are not read,
-    and an empty table gives an empty result.
+    and an empty table gives an empty result. With `carry` the whole input row follows as the struct `row`.
     """
-    kind = docs.select(key).schema[0].dataType.simpleString()
+    rows, kind, row = taken(docs, key, text, carry)
 
     def work():
         tables = network.tables()
@@ -191,10 +191,9 @@ def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str =
                 mean = np.add.reduceat(p, first, axis=0) / np.array(list(map(len, parts)))[:, None]
                 for i, best, row in zip(live, mean.argmax(1).tolist(), mean, strict=True):
                     names[i], scores[i] = network.labels[best], min(1.0, float(row[best]))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["key", "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=["key", "lang_pred", "score", *batch.schema.names[2:]])
 
         return step
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = map_slices(rows, work, f"key {kind}, lang_pred string, score double", most=1 << 20)
-    return out.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "lang_pred", "score")
+    out = map_slices(rows, work, f"key {kind}, lang_pred string, score double{row}", most=1 << 20)
+    return out.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "lang_pred", "score", *(["row"] if carry else []))

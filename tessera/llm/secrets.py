@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_slices
+from ._arrow import map_slices, taken
 
 # The base patterns and the least lengths of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -139,14 +139,15 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, model: MarkovPair, threshold: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: MarkovPair, threshold: float = 1.0, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """Secrets of every whole text: key, n_assign, n_access, n_hex, n_random, base_sha256, spans and redacted.
 
     `spans` lists kind:start:end by start, then kind, in code points; `base_sha256` digests the base ones alone.
     A null text is empty and has no span. Repeated rows are scanned each, a null key is passed on, other columns
-    are not read, and an empty table gives an empty result.
+    are not read, and an empty table gives an empty result. With `carry` the whole input row follows as the struct
+    `row`.
     """
-    kind = docs.select(key).schema[0].dataType.simpleString()
+    rows, key_type, row = taken(docs, key, text, carry)
 
     def work():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,12 +156,11 @@ def scan(docs: DataFrame, model: MarkovPair, threshold: float = 1.0, key: str =
             count = lambda kind: pa.array([sum(s[2] == kind for s in spans) for spans in found], pa.int64())
             base = [hashlib.sha256(joined([s for s in spans if s[2] != "random"]).encode()).hexdigest() for spans in found]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(count, KINDS), pa.array(base, pa.string()), pa.array(list(map(joined, found)), pa.string()), pa.array(list(map(redacted, texts, found)), pa.string())],
-                names=["key", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted"],
+                [batch.column(0), *map(count, KINDS), pa.array(base, pa.string()), pa.array(list(map(joined, found)), pa.string()), pa.array(list(map(redacted, texts, found)), pa.string()), *batch.columns[2:]],
+                names=["key", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted", *batch.schema.names[2:]],
             )
 
         return step
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kind}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string"
+    schema = f"key {key_type}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string{row}"
     return map_slices(rows, work, schema).withColumnRenamed("key", key)
