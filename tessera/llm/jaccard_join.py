@@ -90,7 +90,7 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "doc long, n int, node long, slot int, part int, cells binary"))
 
 
-def _add_up(key, table: pa.Table) -> pa.Table:
+def _add_up(key, table):
     width = (1 << CELL_BITS) // PARTS
     total = np.zeros(width, np.int64)
     for c in table.column("cells"):
