@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     and stars end at once. Each round is written to the shared folder; only a count of changes comes to the driver.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    label = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         near = stored(near)

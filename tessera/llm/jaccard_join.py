@@ -25,8 +25,6 @@ CELL_BITS, PARTS = 22, 64
 MERGE = 64
 #: Prefixes ask for 1 to this many shared shingles; verifying a pair costs about as much as so many list entries.
 MOST_MATCHES, VERIFY_COST = 8, 8.0
-#: Sets of at most this many shingles carry a parity bitmap that bounds their difference.
-BITMAP_LIMIT = 800
 _SLICE = 1 << 20
 _BITS = ["p0", "p1", "p2", "p3"]
 
@@ -51,7 +49,7 @@ def _fingerprint(s: np.ndarray) -> int:
 
 
 def _survey(rows: DataFrame, size: int) -> DataFrame:
-    """One scan: a row (doc, n, node) for each document, and each task's sketch in parts (slot, part, cells)."""
+    """One scan: a row (doc, n, node, bits, short bitmap) a document, and each task's sketch in parts (slot, part, cells)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -74,20 +72,27 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
                 if held > 1 << 21:
                     add()
                 k = part.num_rows
+                maps = list(map(_parity, sets))
+                short = np.array([_folded(m, 32).view(np.int64) for m in maps]).reshape(k, len(_BITS)).T
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                    names=["doc", "n", "node", "slot", "part", "cells"],
-                )
+                    [
+                        part.column("doc"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_fingerprint(s) for s in sets], pa.int64()),
+                        pa.array([m.tobytes() for m in maps], pa.binary()), *map(pa.array, short), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                    ],
+                    names=["doc", "n", "node", "bits", *_BITS, "slot", "part", "cells"],
+                )
         add()
         if cells.any():
             parts = cells.reshape(PARTS, -1)
             slot = TaskContext.get().partitionId()
+            none = pa.nulls(PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int32()), pa.nulls(PARTS, pa.int64()), pa.array([slot] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())],
-                names=["doc", "n", "node", "slot", "part", "cells"],
+                [none, pa.nulls(PARTS, pa.int32()), none, pa.nulls(PARTS, pa.binary()), *[none] * len(_BITS), pa.array([slot] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())],
+                names=["doc", "n", "node", "bits", *_BITS, "slot", "part", "cells"],
             )
 
-    return stored(rows.mapInArrow(run, "doc long, n int, node long, slot int, part int, cells binary"))
+    short = "".join(f", {b} long" for b in _BITS)
+    return stored(rows.mapInArrow(run, f"doc long, n int, node long, bits binary{short}, slot int, part int, cells binary"))
 
 
 def _add_up(key, table):
@@ -129,20 +134,32 @@ def choose_prefix(s: np.ndarray, levels: np.ndarray, threshold: tuple[int, int])
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """A bitmap of 256 bits, each the parity of the shingles that fall on it: bits that differ bound a difference."""
-    at = (_words.mix(s) >> np.uint64(56)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=256).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+    """A bitmap of about a bit a shingle (256 at least), each the parity of the shingles that fall on it.
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits.
+    """
+    size = 1 << max(8, (len(s) - 1).bit_length())
+    at = (_words.mix(s) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little")
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set in `size` bytes."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
 
 
 def _entries(rows: DataFrame, size: int, threshold: tuple[int, int], levels, only=None) -> DataFrame:
-    """Prefix entries (token, node, pri, n and, with the filter `only` of tokens, the bitmap)."""
-    names = ["token", "node", "pri", "n"] + (_BITS if only is not None else [])
+    """Prefix entries: tokens alone or, of the tokens that the filter `only` lets through, (token, node, pri, n)."""
+    names = ["token", "node", "pri", "n"] if only is not None else ["token"]
 
     def work():
         table, wanted = levels.value, only.value if only is not None else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, heads, counts, maps = [], [], [], []
+            tokens, heads, counts = [], [], []
             for s in _sets(batch, size):
                 if not len(s):
                     continue
@@ -151,22 +168,18 @@ def _entries(rows: DataFrame, size: int, threshold: tuple[int, int], levels, onl
                     prefix = prefix[_filter.contains(wanted, prefix)]
                     if not len(prefix):
                         continue
-                    maps.append(_parity(s) if len(s) <= BITMAP_LIMIT else np.zeros(4, np.int64))
                 tokens.append(prefix)
                 heads.append((_fingerprint(s), min(rare, 1 << 24) * MOST_MATCHES + matches - 1, len(s)))
                 counts.append(len(prefix))
-            if not counts:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.int32())] * 2 + [pa.array([], pa.int64())] * (len(names) - 4), names=names)
-            node, pri, n = (np.repeat(np.array(x), counts) for x in zip(*heads, strict=True))
-            columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node.astype(np.int64)), pa.array(pri.astype(np.int32)), pa.array(n.astype(np.int32))]
+            columns = [pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64))]
             if wanted is not None:
-                columns += [pa.array(np.repeat(c, counts)) for c in np.array(maps).T]
+                node, pri, n = (np.repeat(np.array(x, np.int64), counts) for x in zip(*heads, strict=True)) if heads else [np.zeros(0, np.int64)] * 3
+                columns += [pa.array(node), pa.array(pri.astype(np.int32)), pa.array(n.astype(np.int32))]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         return step
 
-    schema = "token long, node long, pri int, n int" + "".join(f", {b} long" for b in _BITS if only is not None)
-    return map_slices(rows, work, schema, most=_SLICE)
+    return map_slices(rows, work, "token long, node long, pri int, n int" if only is not None else "token long", most=_SLICE)
 
 
 def _shingle_rows(rows: DataFrame, size: int, wanted) -> DataFrame:
@@ -203,9 +216,30 @@ def _mixed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Those of `pairs` (a, b) that their bitmaps don't rule out; a bitmap has an eighth of a byte a shingle."""
+    part, whole = threshold
+    held = classes.select("node", "n", "bits")
+    joined = pairs.join(held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+    joined = joined.join(held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                keep.append(differ * (part + whole) <= (na.as_py() + nb.as_py()) * (whole - part))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """Those of `pairs` (a, b) whose whole sets are similar enough."""
     part, whole = threshold
+    pairs = stored(_near(pairs, classes, threshold))
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(_mixed(classes.join(named, "node", "left_semi").select("rep")))
     sets = _shingle_rows(rows, size, _filter.build(needed, F.col("h")))
@@ -243,14 +277,19 @@ def join_documents(
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     survey = _survey(rows, size)
-    members = survey.filter("part is null").select("doc", "n", "node")
-    classes = stored(members.filter("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("rep")))
+    members = survey.filter("part is null").select("doc", "n", "node", "bits", *_BITS)
+    usable = members.filter("n > 0 and doc is not null")
+    # The bitmaps go by the document that stands for its class.
+    classes = usable.groupBy("node").agg(F.min("doc").alias("rep"))
+    classes = stored(usable.withColumnRenamed("doc", "rep").join(stored(classes), ["node", "rep"]).dropDuplicates(["node"]))
+    members = members.select("doc", "n", "node")
     levels = _levels(survey)
     named = rows.filter("text is not null and doc is not null")
-    lists = _entries(named, size, threshold, levels).groupBy("token").agg(F.min(F.struct("pri", "node")).alias("lead"), F.min("node").alias("x"), F.max("node").alias("y"))
-    lists = stored(lists.filter("x < y").select("token", F.col("lead.node").alias("lead")))
-    entries = _entries(named, size, threshold, levels, _filter.build(lists, F.col("token")))
+    shared = stored(_entries(named, size, threshold, levels).groupBy("token").count().filter("count > 1").select("token"))
+    entries = _entries(named, size, threshold, levels, _filter.build(shared, F.col("token")))
     entries = stored(entries.dropDuplicates(["token", "node"]))
+    lists = entries.groupBy("token").agg(F.min(F.struct("pri", "node")).alias("lead"), F.count("*").alias("k"))
+    lists = stored(lists.filter("k > 1").select("token", F.col("lead.node").alias("lead")))
 
     spark = docs.sparkSession
     first = spark.createDataFrame([], "a long, b long")
@@ -260,13 +299,14 @@ def join_documents(
         tried = stored(best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
         first = _verified(tried, classes, named, size, threshold)
         comps = components(first)
-        marked = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        grouped = stored(classes.select("node", *_BITS).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         leads = lists.join(comps.select(F.col("node").alias("lead"), F.col("comp").alias("main")), "lead", "left").select("token", F.coalesce("main", "lead").alias("main"))
     else:
-        marked = entries.withColumn("comp", F.col("node"))
+        grouped = classes.select("node", *_BITS, F.col("node").alias("comp"))
         leads = lists.select("token", F.col("lead").alias("main"))
     # Those outside the main component of a list, and, in lists that have such, all.
-    odd = stored(marked.join(stored(leads), "token").filter("comp <> main"))
+    marked = entries.join(stored(leads), "token").join(grouped, "node")
+    odd = stored(marked.filter("comp <> main"))
     open_lists = stored(odd.select("token").distinct())
     every = stored(marked.join(open_lists, "token", "left_semi"))
     part, whole = threshold
@@ -279,7 +319,7 @@ def join_documents(
         & ((F.col("b.comp") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
         & (F.col("a.n") * whole >= F.col("b.n") * part)
         & (F.col("b.n") * whole >= F.col("a.n") * part)
-        & ((F.greatest("a.n", "b.n") > BITMAP_LIMIT) | (differ * (part + whole) <= both * (whole - part)))
+        & (differ * (part + whole) <= both * (whole - part))
     )
     matches = F.least(F.col("a.pri") % MOST_MATCHES, F.col("b.pri") % MOST_MATCHES) + 1
     pairs = a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), matches.alias("needed"))
