@@ -69,10 +69,12 @@ def drawn_strings(n: int = DRAWN_STRINGS, seed: int = 7) -> list[str]:
 class MarkovPair:
     """First-order models of random strings and of ordinary words; `score` is the mean log-likelihood ratio."""
 
-    def __init__(self, random_counts: np.ndarray, ordinary_counts: np.ndarray, smoothing: float = 0.5):
+    def __init__(self, random_counts: np.ndarray, ordinary_counts: np.ndarray, smoothing: float = 0.5, backing: float = 8.0):
         def log(counts: np.ndarray) -> np.ndarray:
-            table = counts.reshape(_SIZE, _SIZE) + smoothing
-            return np.log(table / table.sum(1, keepdims=True))
+            """Pairs backed by the frequencies of single characters, so that a context never seen tells something too."""
+            table = counts.reshape(_SIZE, _SIZE).astype(float)
+            single = table.sum(0) + smoothing
+            return np.log((table + backing * single / single.sum()) / (table.sum(1, keepdims=True) + backing))
 
         self.ratio = (log(random_counts) - log(ordinary_counts)).ravel()
 
