@@ -1,0 +1,446 @@
+"""The ten operators against brute force, libraries and round trips, with nulls, empty and long texts, repeats and ties."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tessera.llm import bpe, chat_format, components, decontaminate, jaccard_join, language_id, secrets, substring_dedup, transport_stream, url_filter
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD = "[^\x20\x09-\x0d]+"
+#: Columns that nothing should read, named like those the operators use themselves.
+CLASH = ["key", "n", "node", "row", "spans", "body", "token", "lang_pred", "redacted"]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def documents(spark, *texts, ids=None):
+    rows = [(i, t, *["x"] * len(CLASH)) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    return spark.createDataFrame(rows, "doc_id long, text string" + "".join(f", {c} string" for c in CLASH)).repartition(3)
+
+
+def got(df, key="doc_id"):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is not None, r))
+
+
+ODD = [None, "", " ", "a", "<|endoftext|>", "x<|endoftext|>\n\n y  ", "é" * 50, "日本 語🎉", "a" * 9000, "\u0000\u00a0\u3000 z", "don't  'll\t1234 ..!!", "word " * 3000]
+
+
+# 2 and 4
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def test_token_counts(spark, library):
+    found = got(bpe.token_counts(documents(spark, *ODD), VOCABULARY, limit=5))
+    for i, (_, n_bytes, n, over) in enumerate(found):
+        want = len(library.encode(ODD[i] or "", add_special_tokens=False).ids)
+        assert (n_bytes, n, over) == (len((ODD[i] or "").encode()), want, want > 5)
+
+
+def test_encode_decode(spark, library):
+    found = got(bpe.encode_decode(documents(spark, *ODD), VOCABULARY))
+    for i, (_, n, ids, decoded) in enumerate(found):
+        want = library.encode(ODD[i] or "", add_special_tokens=False).ids
+        assert ids == want and n == len(want) and decoded == library.decode(want, skip_special_tokens=False)
+    digest = got(bpe.encode_decode(documents(spark, *ODD), VOCABULARY, digest=True))
+    assert [r[3] for r in digest] == [sha(r[3]) for r in found]
+    assert [r[2] for r in digest] == [hashlib.sha256(np.array(r[2], "<u4").tobytes()).hexdigest() for r in found]
+    carried = bpe.encode_decode(documents(spark, "a", None, ids=[1, None]), VOCABULARY, carry=True).select("row.*")
+    assert carried.columns == ["doc_id", "text", *CLASH] and carried.count() == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=80))
+def test_words_encode_as_the_library_does(library, text):
+    coder = bpe.load(VOCABULARY)
+    want = library.encode(text, add_special_tokens=False).ids
+    packed = bpe.encode_ids(coder, bpe._Memo(coder.encode_words), [text])[0]
+    assert np.frombuffer(packed, "<u4").tolist() == want
+
+
+def test_merging_forms_agree():
+    coder = bpe.load(VOCABULARY)
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abeinortx01", k=draw.randint(1, 60))).encode() for _ in range(300)] + [b"a" * 77, b"ababab" * 9]
+    sym, n = coder.merge(*coder.symbols(words))
+    cuts = np.append(0, np.cumsum(n))
+    whole = [sym[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert whole == [coder.merge_long(coder.symbols([w])[0]) for w in words]
+    assert whole == [np.frombuffer(p, "<u4").tolist() for p in coder.encode_words(words)]
+
+
+def test_pairs_are_told_exactly():
+    coder = bpe.load(VOCABULARY)
+    draw = random.Random(5)
+    common = [i for i in range(256, 3000)]
+    a, b = np.array(draw.choices(common, k=3000)), np.array(draw.choices(common, k=3000))
+    want = [coder.merge_long(coder.symbols([coder.bytes_of[x] + coder.bytes_of[y]])[0]) == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert coder.compatible(a, b).tolist() == want
+
+
+# 1
+
+
+def test_hosts_and_rules(spark):
+    rules = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+    cases = {
+        "http://A.Example.NET/en/x?q": ("a.example.net", "/en/x", "example.net/en/", "allow"),
+        "https://example.net/de/#top": ("example.net", "/de/", "net/", "block"),
+        "https://example.net": ("example.net", "", None, "allow"),
+        "https://example.net?x=/en/": ("example.net", "", None, "allow"),
+        "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"),
+        "http://m.example.com/de/a://b/": ("m.example.com", "/de/a://b/", "example.com/de/", "block"),
+        "no scheme": ("", "", None, "allow"),
+        "http://É.org/fr/": ("É.org", "/fr/", "org/fr/", "allow"),
+        None: ("", "", None, "allow"),
+        "": ("", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = url_filter.filter_urls(pages, labels, rules).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in found] == list(cases.values())
+    assert url_filter.filter_urls(pages.limit(0), labels, rules).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.matching_rule(F.col("h"), F.col("p"), [("block", f"h{i}/") for i in range(501)])
+
+
+def test_reputation_blocks_bad_hosts(spark):
+    rows = [(i, f"http://{h}/p{i}") for i, h in enumerate(["bad.a.com"] * 60 + ["good.a.com"] * 60 + ["new.a.com"] * 2 + ["good.b.org"] * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if "bad" in u else 1, None) for i, u in rows if "new" not in u] + [(None, 0, 1), (0, None, None)], "doc_id long, quality int, toxic int")
+    found = {r["host"]: (r["verdict"], r["bad_mean"], r["bad_bound"]) for r in url_filter.filter_urls(pages, labels).collect()}
+    assert {h: v for h, (v, *_) in found.items()} == {"bad.a.com": "block", "good.a.com": "allow", "new.a.com": "allow", "good.b.org": "allow"}
+    assert found["good.a.com"][1] < found["new.a.com"][1] < found["bad.a.com"][1] and all(b <= m for _, m, b in found.values())
+
+
+# 3
+
+
+def test_base_patterns():
+    text = "API_KEY: 'abcdefgh' passwd=short token=token:abcdefgh1 AKIAABCDEFGHIJKL AKIA12 " + "0f" * 16 + "g" + "a" * 31
+    spans = [(k, text[a:b]) for a, b, k in secrets.base_spans(text)]
+    assert spans == [("assign", "API_KEY: 'abcdefgh"), ("access", "AKIAABCDEFGHIJKL"), ("hex", "0f" * 16)]
+    assert secrets.base_spans("ſecret=abcdefgh") == [] and secrets.base_spans("to\u212aen=abcdefgh") == []
+
+
+def slow_spans(text):
+    out = []
+    for k, p, least in (("assign", secrets.ASSIGN, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 16), ("hex", re.compile("[0-9a-f]+"), 32)):
+        out += [(m.start(), secrets.KINDS.index(k), m.end()) for m in p.finditer(text) if (len(m[2]) if k == "assign" else len(m[0])) >= least]
+    return [(a, e, secrets.KINDS[k]) for a, k, e in sorted(out)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["AKIA", "token", "=", ":", " ", "a1b2c3d4", "ABCD1234", "é", "'", '"', "0" * 20, "secret", "\n"]), max_size=25))
+def test_base_spans_agree(parts):
+    assert secrets.base_spans("".join(parts)) == slow_spans("".join(parts))
+
+
+def test_models_tell_random_strings(spark):
+    draw = random.Random(1)
+    words = ["configuration", "recommendation", "understanding", "information", "international", "responsibility"]
+    prose = [" ".join(draw.choices(words, k=40)) + f" token={draw.getrandbits(80):x}" for _ in range(60)]
+    model = secrets.train(documents(spark, *prose, None))
+    key = "zX9qLw0PvB7nT4kJ2mYc8RgD"
+    texts = [f"see {key} here", "informationrecommendationunderstanding", None, "", f"token={key}"]
+    found = got(secrets.scan(documents(spark, *texts), model))
+    assert found[0][6] == f"random:4:{4 + len(key)}" and found[0][5] == sha("") and found[0][7] == "see [SECRET] here"
+    assert found[1][6] == "" and found[2][1:5] == (0, 0, 0, 0)
+    assert found[4][6] == f"assign:0:{6 + len(key)}"
+    assert secrets.scan(documents(spark, "a").limit(0), model).count() == 0
+
+
+# 5
+
+
+def brute_components(texts, size, part, whole):
+    sets = {}
+    for k, t in texts:
+        words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else ({tuple(words)} if words else set())
+    comp = {k: k for k in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if a < b and comp[a] != comp[b]:
+                    common = len(sets[a] & sets[b])
+                    if common and whole * common >= part * (len(sets[a]) + len(sets[b]) - common):
+                        low, high = sorted((comp[a], comp[b]))
+                        comp = {k: low if v == high else v for k, v in comp.items()}
+                        changed = True
+    return sorted((k, len(s), comp[k]) for k, s in sets.items())
+
+
+def near_copies(seed=2, groups=6, copies=14, length=60):
+    draw = random.Random(seed)
+    texts = []
+    passage = " ".join(draw.choices("uvwxyz", k=30))
+    for g in range(groups):
+        base = [f"w{draw.randint(0, 40)}" for _ in range(length)]
+        for c in range(copies):
+            words = list(base)
+            for _ in range(c % 5):
+                words[draw.randrange(length)] = f"edit{g}x{c}"
+            texts.append(" ".join(words).upper() if c == 3 else " ".join(words))
+        texts.append(passage + " " + " ".join(f"own{g}n{i}" for i in range(20)))
+    return texts + [texts[0], "one two", "one two", "One  TWO", "three", None, "", "  "]
+
+
+@pytest.mark.parametrize("size, threshold", [(4, (85, 100)), (5, (80, 100)), (3, (50, 100))])
+def test_jaccard_components(spark, size, threshold):
+    texts = list(enumerate(near_copies()))
+    want = brute_components(texts, size, *threshold)
+    assert got(jaccard_join.near_duplicates(documents(spark, *(t for _, t in texts)), size, threshold)) == want
+    assert sum(c != k for k, _, c in want) > 20
+
+
+def test_jaccard_links_are_all_there(spark):
+    texts = list(enumerate(near_copies(groups=3)))
+    members, links = jaccard_join.join_documents(documents(spark, *(t for _, t in texts)), 4, (85, 100), all_links=True)
+    node = {r["doc"]: r["node"] for r in members.collect()}
+    sets = {k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, t in texts if len(w := re.findall(WORD, (t or "").lower())) >= 4}
+    want = {tuple(sorted((node[a], node[b]))) for a in sets for b in sets if node[a] != node[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} == want and want
+
+
+def test_jaccard_odd_rows(spark):
+    docs = documents(spark, "a b c d e", "a b c d e", "a b c d e", None, ids=[7, 7, None, None])
+    assert got(jaccard_join.near_duplicates(docs)) == [(None, 0, None), (None, 1, None), (7, 1, 7), (7, 1, 7)]
+    assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_prefixes_share_enough():
+    draw = np.random.default_rng(1)
+    levels = draw.integers(0, 40, 1 << jaccard_join.CELL_BITS).astype(np.uint8)
+    for _ in range(200):
+        base = np.unique(draw.integers(0, 2**63, 80).astype(np.uint64))
+        other = np.unique(np.append(base[draw.random(len(base)) > 0.08], draw.integers(0, 2**63, 3).astype(np.uint64)))
+        common = len(np.intersect1d(base, other))
+        if 100 * common < 85 * (len(base) + len(other) - common):
+            continue
+        (x, lx, _), (y, ly, _) = (jaccard_join.choose_prefix(s, levels, (85, 100)) for s in (base, other))
+        assert len(np.intersect1d(x, y)) >= min(lx, ly)
+
+
+def test_bitmaps_bound_differences():
+    draw = np.random.default_rng(2)
+    for n, m in ((5, 400), (300, 280), (1000, 1100)):
+        a, b = (np.unique(draw.integers(0, 2**40, k).astype(np.uint64)) for k in (n, m))
+        x, y = jaccard_join._parity(a), jaccard_join._parity(b)
+        size = min(len(x), len(y))
+        differ = np.bitwise_count(jaccard_join._folded(x, size) ^ jaccard_join._folded(y, size)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (300, 300)]
+    found = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert found == dict.fromkeys(range(41), 0) | {100: 100, 200: 100, 150: 100, 300: 300}
+
+
+# 6
+
+
+def test_decontamination(spark):
+    item = "One two THREE four five six seven eight nine ten eleven"
+    benchmark = [(10, item), (9, "tiny item"), (2, "short-item, here!"), (3, None), (4, "..."), (10, item), (5, "solo")]
+    texts = [item, "x " + " ".join(item.split()[:10]) + " y", " ".join(item.split()[:9]), "tiny  ITEM tiny item", None, "", "short item here " * 3, "été solo solo", "a " * 3000 + item]
+    table = spark.createDataFrame(benchmark, "item_id long, text string")
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    want = []
+    for k, t in enumerate(texts):
+        w, hit, items = words(t), set(), set()
+        for name, said in benchmark:
+            p = words(said)
+            size = min(10, len(p))
+            for i in range(len(p) - size + 1 if size else 0):
+                for j in range(len(w) - size + 1):
+                    if w[j : j + size] == p[i : i + size]:
+                        hit |= set(range(j, j + size))
+                        items.add(str(name))
+        want.append((k, len(w), len(hit), len(items), sorted(items), sha(",".join(sorted(items))), bool(hit)))
+    for most in (1 << 20, 60):
+        assert got(decontaminate.find_contamination(documents(spark, *texts), table, pass_bytes=most)) == want
+    assert all(not r[-1] for r in got(decontaminate.find_contamination(documents(spark, *texts), table.limit(0))))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), max_size=5))
+def test_wu_manber_finds_all(words, patterns):
+    words = [w.encode() for w in words]
+    for a in decontaminate.searchers([(str(i), " ".join(p)) for i, p in enumerate(patterns)], window=4):
+        found = {(i, n) for i, items in a.search(words) for n in items}
+        want = set()
+        for n, p in enumerate(patterns):
+            p = [w.encode() for w in p]
+            size = min(4, len(p))
+            if size == a.length:
+                windows = [p[i : i + size] for i in range(len(p) - size + 1)]
+                want |= {(i, str(n)) for i in range(len(words) - size + 1) if words[i : i + size] in windows}
+        assert found == want
+
+
+# 7
+
+
+def test_chats_round_trip(spark):
+    mark = "</s>[INST] ok [/INST]"
+    rows = [(1, 0, "user", mark), (1, 1, "assistant", "a\\b<s>[x]"), (1, 70, "assistant", None), (2, None, None, "odd"), (2, 5, "a]<b", ""), (3, 1, "user", "same"), (3, 1, "user", "same")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(chat_format.to_events(conv))
+    back = {r["conv_id"]: r for r in out.withColumn("turns", chat_format.parse(F.col("formatted"))).collect()}
+    assert [tuple(t) for t in back[1]["turns"]] == [("user", mark), ("assistant", "a\\b<s>[x]"), ("assistant", "")]
+    assert [tuple(t) for t in back[2]["turns"]] == [("", "odd"), ("a]<b", "")]
+    assert [tuple(t) for t in back[3]["turns"]] == [("user", "same")] * 2
+    shown = back[1]["formatted"]
+    assert shown.count("[INST]") == 3 and shown.count("</s>") == 3
+    assert [shown[s["start"] : s["end"]] for s in back[1]["loss_spans"]] == ["a\\\\b<\\s>[\\x]", ""]
+    assert chat_format.format_chats(chat_format.to_events(conv.limit(0))).count() == 0
+
+
+def test_events_fold(spark):
+    log = [(0, "open", "assistant", None), (1, "delta", None, "dra"), (2, "delta", None, "ft"), (3, "regenerate", None, None), (4, "delta", None, "fin"), (5, "delta", None, "al")]
+    rows = [(1, 0, 0, *e) for e in log] + [(1, 1, 0, 0, "open", "user", "first"), (1, 1, 0, 1, "edit", None, "second"), (1, 1, 0, 2, "delta", None, "!"), (1, 2, 0, 0, "open", "user", "x"), (1, 2, 0, 1, "delete", None, None), (1, 3, 0, 0, "delta", None, "stray")]
+    events = spark.createDataFrame(rows, "conv_id long, turn long, part int, seq int, event string, role string, text string")
+    found = sorted((r["turn"], r["role"], r["text"]) for r in chat_format.fold_events(events).collect())
+    assert found == [(0, "assistant", "final"), (1, "user", "second!"), (3, "", "stray")]
+
+
+# 8
+
+
+def test_language_is_learned(spark):
+    draw = random.Random(4)
+    sounds = {"aa": "the and ing tion er", "bb": "der ung sch ein ich", "cc": "ción dad mente los que"}
+    rows = [(i, " ".join(draw.choices(sounds[lang].split(), k=draw.randint(10, 120))), lang) for i, lang in enumerate(draw.choices(list(sounds), k=400))]
+    docs = spark.createDataFrame(rows + [(1000, None, "aa"), (1001, "12 !", "bb"), (1002, "", None), (None, "the and ing", None)], "doc_id long, text string, lang string").repartition(3)
+    network = language_id.fit(docs, per_label=100)
+    assert network.labels == ["aa", "bb", "cc"]
+    found = {r["doc_id"]: r for r in language_id.predict(docs, network).collect()}
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(found[i]["held_out"] for i, _ in held) and sum(found[i]["lang_pred"] == lang for i, lang in held) / len(held) > 0.97
+    assert [found[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and found[None]["lang_pred"] == "aa"
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    none = language_id.fit(docs.limit(0))
+    assert {r["lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 127, 128, 129, 253, 254, 5000])
+def test_windows_cover_texts(n):
+    data = np.arange(1, n + 1, dtype=np.int64).astype(np.uint8)
+    held = language_id.windows(data)
+    step = language_id.LENGTH - 3
+    assert held.shape[1] == language_id.LENGTH and (len(held) - 1) * step + language_id.LENGTH >= n
+    grams = Counter(bytes(data[i : i + 4]) for i in range(n - 3))
+    assert set(grams) <= {bytes(w[i : i + 4]) for w in held for i in range(language_id.LENGTH - 3)}
+
+
+def test_labelled_text_without_letters_is_unknown():
+    assert not language_id.has_letter("²½_12") and language_id.has_letter("1ж")
+
+
+# 9
+
+
+def test_media_round_trip(spark):
+    texts = [None, "", "a", "b" * 576, "c" * 577, "é" * 5000, "b" * 576]
+    found = {r["doc_id"]: r for r in transport_stream.media_column(documents(spark, *texts)).collect()}
+    for k, t in enumerate(texts):
+        r, data = found[k], (t or "").encode()
+        want = data + b"\xff" * (-len(data) % 576 if data else 576)
+        s = transport_stream.demux(bytes(r["media"]))
+        assert s.payload == want and s.continuity_errors == 0 and r["payload_sha256"] == hashlib.sha256(want).hexdigest()
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(want), zlib.crc32(want[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+        assert r["stamps"] == [i * 25920 for i in range(-(-len(want) // 2304))] and len(r["access_points"]) == -(-len(r["stamps"]) // 4)
+    assert found[3]["feature"] == found[6]["feature"]
+
+
+def test_streams_are_checked():
+    whole = transport_stream.mux(bytes(range(256)) * 36)
+    packets = [whole[i : i + 188] for i in range(0, len(whole), 188)]
+    assert transport_stream.demux(b"".join(packets[:5] + packets[4:5] + packets[5:])).payload == bytes(range(256)) * 36
+    lost = transport_stream.demux(b"".join(packets[:5] + packets[6:]))
+    assert lost.continuity_errors == 1 and len(lost.payload) < 9216
+    assert transport_stream.demux(whole).programs == {1: {0x100: 6}}
+    for broken in (b"", whole[:-1], b"\x00" + whole[1:], b"".join(packets[2:])):
+        with pytest.raises(ValueError):
+            transport_stream.demux(broken)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 40))
+def test_any_number_of_frames(n):
+    data = random.Random(n).randbytes(576 * n)
+    assert transport_stream.demux(transport_stream.mux(data)).payload == data
+
+
+# 10
+
+
+def brute_removal(texts, window):
+    words = [(k, re.findall(WORD, t or "")) for k, t in texts]
+    first = {}
+    for k, w in words:
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            first[key] = min(first.get(key, k), k)
+    out = []
+    for k, w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < k:
+                gone |= set(range(i, i + window))
+        out.append((k, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return sorted(out)
+
+
+def repeated_passages(seed=6):
+    draw = random.Random(seed)
+    new = lambda n: [f"{draw.choice('abcdef')}{draw.randint(0, 500)}" for _ in range(n)]
+    passages = [new(n) for n in (49, 50, 51, 80, 140)]
+    texts = []
+    for _ in range(60):
+        words = new(draw.randint(0, 60))
+        for p in draw.sample(passages, draw.randint(0, 3)):
+            cut = draw.randint(0, 10) if draw.random() < 0.4 else 0
+            words += p[cut : len(p) - (draw.randint(0, 10) if draw.random() < 0.4 else 0)] + new(draw.randint(0, 30))
+        texts.append("  ".join(words) + draw.choice(["", "\n", "\u00a0x"]))
+    texts += texts[:5] + ["z " * 300, "z " * 120, " ".join(new(70)) * 1, None, "", "   "]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("window, gram", [(50, 20), (30, 10), (12, 12), (5, 1)])
+def test_repeats_are_removed(spark, window, gram):
+    texts = repeated_passages()
+    found = got(substring_dedup.remove_repeats(documents(spark, *(t for _, t in texts)), window, gram, keep_text=False))
+    want = brute_removal(texts, window)
+    assert found == want and sum(r[2] for r in want) > 500
+
+
+def test_repeats_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = documents(spark, text, text, text + " more", text, ids=[4, 4, None, 9])
+    assert [(r[0], r[2]) for r in got(substring_dedup.remove_repeats(docs))] == [(None, 0), (4, 0), (4, 0), (9, 60)]
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
