@@ -108,6 +108,27 @@ def recent_questions(conversations: DataFrame, n: int = 4) -> DataFrame:
     return held.select("conv_id", F.transform("q", lambda q: q["text"]).alias("questions"))
 
 
+def highlights(text: Column, most: int = 2, width: int = 90) -> Column:
+    """The first list items of a text, else its first sentences, cut with an ellipsis."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    items = F.transform(F.filter(lines, lambda x: x.rlike(r"^(?:[-*+]|\d+[.、)])\s+")), lambda x: F.regexp_replace(x, r"^(?:[-*+]|\d+[.、)])\s+", ""))
+    sentences = F.filter(F.transform(F.split(text, r"[。！？!?\n]+|\.\s"), lambda x: F.trim(x)), lambda x: x != "")
+    cut = lambda x: F.when(F.length(x) > width, F.concat(F.substring(x, 1, width), F.lit("…"))).otherwise(x)
+    return F.transform(F.slice(F.when(F.size(items) > 0, items).otherwise(sentences), 1, most), cut)
+
+
+def summaries(conversations: DataFrame, n: int = 4) -> DataFrame:
+    """Per conversation: its number of turns, its last `n` questions, and two highlights of each of its last `n` answers, six in all."""
+    newest = Window.partitionBy("conv_id", "role").orderBy(F.desc("turn"))
+    last = clean_messages(conversations).withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n)
+    held = last.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))).alias("q"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", highlights(F.col("text")).alias("h"))))).alias("a"),
+    )
+    counts = segment_turns(conversations).groupBy("conv_id").agg((F.max("turn_no") + 1).alias("n_turns"))
+    return held.join(counts, "conv_id").select("conv_id", "n_turns", F.transform("q", lambda q: q["text"]).alias("questions"), F.slice(F.flatten(F.transform("a", lambda a: a["h"])), 1, 6).alias("highlights"))
+
+
 def label(role: Column) -> Column:
     return F.create_map(*(F.lit(v) for r, name in C.ROLE_LABELS.items() for v in (r, name)))[role]
 

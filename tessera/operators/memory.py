@@ -14,6 +14,7 @@ from tessera.schemas import MEMORY_RECORDS, require_columns
 # Scores, time constants and key patterns of memory records.
 THRESHOLD, STALE_DAYS, RETENTION_DAYS, EXPIRY_DAYS = 20.0, 180, 30, 90
 EVENT_DAYS, PROFILE_DAYS, MOST_BONUS, BONUS = 90.0, 365.0, 15.0, 2.5
+MOST_VALUE = 4000
 PROFILE_KEY = r"^[a-z][a-z0-9_.-]{1,127}$"
 
 
@@ -136,6 +137,17 @@ def register_events(records: DataFrame, rows: DataFrame, as_of: datetime, lexico
     return _versioned(records, last, "event", now, in_place=False)
 
 
+def parse_candidates(answers: DataFrame) -> DataFrame:
+    """Profile candidates out of a model's answers (user_id, conversation_id, session_id, answer), fences and prose around allowed.
+
+    One row for each of the answer's `memories`, in their order; answers without a JSON object give none.
+    """
+    kind = "struct<memories:array<struct<memory_key:string,value:string,confidence:string,importance:string,action:string>>>"
+    body = F.regexp_extract("answer", r"(?s)(\{.*\})", 1)
+    held = answers.select("user_id", "conversation_id", "session_id", F.posexplode(F.from_json(body, kind)["memories"]).alias("position", "m"))
+    return held.select("user_id", "m.memory_key", F.substring("m.value", 1, MOST_VALUE).alias("value"), "m.action", "m.confidence", "m.importance", "conversation_id", "session_id", "position")
+
+
 def is_live(as_of: Column) -> Column:
     return (F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
 

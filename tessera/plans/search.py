@@ -15,6 +15,7 @@ from tessera.storage import stored
 
 KEY = ["document_id", "chunk_index"]
 NO_RESULTS = "当前知识库未检索到足够相关资料"
+METHODS = ("hybrid", "dense", "sparse")
 
 
 def ingest(spark: SparkSession, path: str, readers: dict[str, files.Reader] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,6 +100,41 @@ def search(
     return evidence.expand_parents(cited, parents)
 
 
+def raw_search(children: DataFrame, query: str, k: int = 5, vectors: DataFrame | None = None, embed: Callable[[dict[str, str]], DataFrame] | None = None, method: str = "sparse") -> DataFrame:
+    """One route's own results with their content, neither reranked nor expanded."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
+    queries = {"q": query}
+    found = hybrid(children, queries, min(50, max(1, k)), vectors, embed(queries) if embed and vectors is not None else None, method)
+    return found.join(children, KEY)
+
+
+def chat_messages(
+    query: str, history: Sequence[dict] = (), context: str = "", profile: Sequence[str] = (), memories: Sequence[str] = (), strategy: str = "window",
+    n: int = 5, m: int = 10, summarise: Callable[[str, list[dict]], str] | None = None,
+) -> list[dict]:
+    """Messages for a model: system messages, the profile, memories, the context, short-term history, and the query.
+
+    `window` keeps the last `n` turns; `summary` also folds older turns, max(m - n, 1) at a time, into one summary.
+    """
+    if strategy not in ("window", "summary") or n < 1 or (strategy == "summary" and m <= n):
+        raise ValueError("strategy is window or summary, n at least 1, and m more than n for a summary")
+    system = [x for x in history if x["role"] == "system"]
+    turns: list[list[dict]] = []
+    for x in history:
+        if x["role"] == "user" or (not turns and x["role"] == "assistant"):
+            turns.append([])
+        if x["role"] in ("user", "assistant"):
+            turns[-1].append(x)
+    say = lambda text: [{"role": "system", "content": text}] if text else []
+    older, told = turns[:-n], ""
+    if strategy == "summary" and summarise is not None:
+        for i in range(0, len(older), max(m - n, 1)):
+            told = summarise(told, [x for t in older[i : i + max(m - n, 1)] for x in t])
+    recent = [x for t in turns[-n:] for x in t]
+    return [*system, *say("\n".join(profile)), *say("\n".join(memories)), *say(context), *say(told), *recent, {"role": "user", "content": query}]
+
+
 def answer(
     children: DataFrame, query: str, llm: Callable[[list[dict]], str], k: int = 5, parents: DataFrame | None = None, history: Sequence[dict] = (), lexicon: Lexicon = CHINESE, **options
 ) -> dict:
@@ -113,5 +149,4 @@ def answer(
             return {"answer": NO_RESULTS, "intent": intent, "context": "", "sources": []}
         context = made["context"]
         sources = [r.asDict() for r in evidence.group_sources(found).collect()]
-    messages = [*({"role": "system", "content": context} for _ in range(bool(context))), *history, {"role": "user", "content": query}]
-    return {"answer": Q.tidy_answer(llm(messages)), "intent": intent, "context": context, "sources": sources}
+    return {"answer": Q.tidy_answer(llm(chat_messages(query, history, context))), "intent": intent, "context": context, "sources": sources}

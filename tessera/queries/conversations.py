@@ -61,6 +61,11 @@ def recent_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recent_questions(table(spark, sf_dir, "conversations")).select("conv_id", F.md5(F.array_join("questions", "|")).alias("questions_md5"))
 
 
+@_registry.add()
+def conversation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.summaries(table(spark, sf_dir, "conversations"))
+
+
 @_registry.add(
     "WITH" + _CLEAN + """, o AS (SELECT conv_id, turn_no, string_agg(CASE role WHEN 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) ORDER BY turn) AS x FROM t GROUP BY 1, 2)
 SELECT conv_id, count(*) AS n_turns, md5(string_agg(x, chr(10) || chr(10) ORDER BY turn_no)) AS transcript_md5 FROM o GROUP BY 1"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import query as Q
 from tessera.functions import text as X
 from tessera.lexicon import ENGLISH
-from tessera.operators import chunks, evidence, fusion, recall, rerank
+from tessera.operators import chunks, embedding, evidence, fusion, recall, rerank
 from tessera.plans import search
 from tessera.queries.registry import Registry, table
 from tessera.storage import stored
@@ -391,6 +391,17 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.estimated_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
+@_registry.add()
+def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both routes over all documents: hashed words as vectors, and BM25; the ten best of each query."""
+    held = as_chunks(spark, sf_dir)
+    vectors = stored(embedding.with_vectors(held).select("document_id", "chunk_index", "embedding"))
+    queries = asked(spark, sf_dir)
+    texts = spark.createDataFrame(list(queries.items()), "query_id string, content string")
+    found = search.hybrid(held, queries, 10, vectors, embedding.with_vectors(texts))
+    return found.select("query_id", F.col("document_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+
+
 @_registry.add()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search for each query: recall, fusion over variants, reranking and the final filter, with parents."""

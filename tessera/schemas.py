@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,11 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df
 
 
+def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+    """A catalog table, or an empty one where it isn't there yet: what isn't ready has no rows, it is no error."""
+    return require_columns(spark.table(name), schema.names) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
+
+
 def wrong_dimensions(df: DataFrame, vector: str, dimension: int) -> DataFrame:
     """The rows whose vector is null or has another number of components."""
     return df.filter(F.col(vector).isNull() | (F.size(vector) != dimension))

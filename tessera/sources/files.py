@@ -6,7 +6,6 @@ are given by the caller.
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
@@ -17,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import sheet_rows
+
 Reader = Callable[[bytes], str]
 
-# Encodings in the order they are tried, and the marks of tables and notes.
+# Encodings in the order they are tried, and the mark of a table.
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb18030")
-TABLE_MARK, NOTE_MARK, SHEET_MARK = "[表格]", "[说明]", "[Sheet]"
+TABLE_MARK = "[表格]"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -122,14 +123,8 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
 
 
 def read_xlsx(data: bytes) -> str:
-    """Sheets as a marker line and CSV rows; rows that are blank are dropped."""
-
-    def line(row: list[str]) -> str:
-        out = io.StringIO()
-        csv.writer(out, lineterminator="").writerow(row)
-        return out.getvalue()
-
-    return "\n".join("\n".join([f"{SHEET_MARK} {name}", *(line(r) for r in rows if any(r))]) for name, rows in workbook_rows(data) if any(map(any, rows)))
+    """Each sheet's marker, header, notes above it and data rows in CSV; see functions.sheet_rows."""
+    return "\n".join(filter(None, (sheet_rows.sheet_text(name, rows) for name, rows in workbook_rows(data))))
 
 
 READERS: dict[str, Reader] = {"txt": read_text, "md": read_text, "csv": read_text, "tsv": read_text, "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}

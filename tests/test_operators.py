@@ -271,3 +271,71 @@ def test_search_and_answer(spark):
     assert told["answer"].startswith("[资料1] 来源: 0.txt") and told["sources"][0]["source_name"] == "0.txt"
     assert search.answer(held, "合同编号 ZZ-99", lambda m: "never")["answer"] == search.NO_RESULTS
     assert search.answer(held, "你好", lambda m: "hi")["answer"] == "hi"
+
+
+def test_sheet_text_has_notes_and_fills():
+    from tessera.functions import sheet_rows as S
+
+    rows = [["Staff list", "", "", ""], ["", "", "", ""], ["部门", "name", "", "工资"], ["研发", "a", "x", "1"], ["", "b", "", "2"], ["", "c", "", ""]]
+    assert S.sheet_text("s", rows) == "[Sheet] s\n部门,name,列3,工资\n[说明] Staff list\n研发,a,x,1\n研发,b,,2\n研发,c,,"
+    assert S.preview('[Sheet] s\na,"b,c"\n1') == [("s", ["a", "b,c"], [["1", ""]])]
+    assert S.sheet_text("s", [["", " "]]) == "" and S.header_row([["only"]]) == 0
+
+
+def test_messages_in_order():
+    history = [{"role": "system", "content": "s"}] + [{"role": r, "content": f"{r[0]}{i}"} for i in range(3) for r in ("user", "assistant")]
+    said = [m["content"] for m in search.chat_messages("q", history, "ctx", ["p"], ["m"], n=1)]
+    assert said == ["s", "p", "m", "ctx", "u2", "a2", "q"]
+    folded = search.chat_messages("q", history, strategy="summary", n=1, m=2, summarise=lambda s, b: s + b[0]["content"])
+    assert [m["content"] for m in folded] == ["s", "u0u1", "u2", "a2", "q"]
+    with pytest.raises(ValueError):
+        search.chat_messages("q", strategy="summary", n=3, m=3)
+
+
+def test_embedding_and_raw_search(spark):
+    from tessera.operators import embedding
+
+    held = chunk_rows(spark, "alpha beta", "gamma delta", None)
+    vectors = embedding.with_vectors(held).select("document_id", "chunk_index", "embedding")
+    queries = lambda q: embedding.with_vectors(spark.createDataFrame(list(q.items()), "query_id string, content string"))
+    got = search.raw_search(held, "gamma delta", 1, vectors, queries, "dense").collect()
+    assert [r["document_id"] for r in got] == ["doc-2"]
+    both = search.raw_search(held, "gamma delta", 2, vectors, queries, "hybrid").orderBy("rank").collect()
+    assert both[0]["document_id"] == "doc-2"
+    with pytest.raises(ValueError):
+        search.raw_search(held, "x", method="other")
+
+
+def test_sessions_slide(spark):
+    from tessera.operators import accounts
+
+    t = lambda m: NOW + timedelta(minutes=m)
+    sessions = spark.createDataFrame([("u", "s1", t(60), None), ("u", "s2", t(60), None), ("v", "s3", t(0), None)], "user_id string, session_id string, expires_at timestamp, revoked_at timestamp")
+    asked = spark.createDataFrame([("s1", t(50)), ("s1", t(109)), ("s2", t(60)), ("s2", t(61))], "session_id string, at timestamp")
+    moved = {r["session_id"]: r["expires_at"] for r in accounts.renewed(sessions, asked).collect()}
+    assert moved == {"s1": t(169), "s2": t(60), "s3": t(0)}
+    users = spark.createDataFrame([("u", True), ("v", True)], "user_id string, is_active boolean")
+    claims = spark.createDataFrame([("u", "s1"), ("v", "s3"), ("v", "s1")], "user_id string, session_id string")
+    assert [r["session_id"] for r in accounts.authorised(claims, users, sessions, NOW).collect()] == ["s1"]
+    assert accounts.revoked(sessions, "u", "s1", NOW).filter("revoked_at is not null").count() == 1
+    assert accounts.password_fits("pw", "00ff", accounts.password_hash("pw", "00ff")) and not accounts.password_fits("pW", "00ff", accounts.password_hash("pw", "00ff"))
+
+
+def test_candidates_from_answers(spark):
+    told = '```json\n{"memories":[{"memory_key":"profile.name","value":"Ann","confidence":0.9,"importance":"80"},{"memory_key":"profile.city","action":"delete"}]}\n```'
+    answers = spark.createDataFrame([("u", None, None, told), ("u", None, None, "none")], "user_id string, conversation_id string, session_id string, answer string")
+    given = memory.parse_candidates(answers)
+    assert [r["memory_key"] for r in given.orderBy("position").collect()] == ["profile.name", "profile.city"]
+    after = memory.upsert_profiles(record(spark).limit(0), given, NOW).collect()
+    assert [(r["memory_key"], r["importance_score"], r["confidence_score"]) for r in after] == [("profile.name", 80.0, 0.9)]
+
+
+def test_conversation_summaries(spark):
+    rows = [("c", 0, "user", "first?"), ("c", 1, "assistant", "intro\n- one\n- two\n- three"), ("c", 2, "user", "second?"), ("c", 3, "assistant", "A. B. C.")]
+    got = conversations.summaries(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).first()
+    assert (got["n_turns"], got["questions"], got["highlights"]) == (2, ["first?", "second?"], ["one", "two", "A", "B"])
+
+
+def test_missing_tables_are_empty(spark):
+    assert schemas.table_or_empty(spark, "no_such_table", schemas.PARENTS).count() == 0
+    assert schemas.wrong_dimensions(spark.createDataFrame([([1.0],), (None,)], "v array<double>"), "v", 1).count() == 1
