@@ -1,6 +1,7 @@
 """A membership filter of bounded size, built on the executors and handed to every task.
 
-It only ever lets through too much, so it may decide what is worth sending, not what is true.
+It only ever lets through too much, so it may decide what is worth sending, not what is true. Where there are too
+many keys for its size, there is none, and callers join with the keys instead.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The filter has at most so many bits (8 MB); beyond it more gets through, and results stay the same.
-MOST_BITS = 1 << 26
+#: A filter has at most so many bits (16 MB), and at least eight for each key, which lets one in eight others through.
+MOST_BITS, LEAST_PER_KEY = 1 << 27, 8
 
 
-def build(keys: DataFrame, key: Column) -> Broadcast:
-    """A bit table of the 64-bit hashes in `key`, of about 16 bits a key."""
+def build(keys: DataFrame, key: Column) -> Broadcast | None:
+    """A bit table of the 64-bit hashes in `key`, of about 16 bits a key; None for more keys than one may hold."""
     hashed = keys.select(key.alias("h"))
     n = hashed.count()
+    if n * LEAST_PER_KEY > MOST_BITS:
+        return None
     bits = min(MOST_BITS, 1 << max(10, (16 * n).bit_length()))
     # The top bits choose the place; keys are well mixed.
     place = F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1))

@@ -14,8 +14,9 @@ from ._arrow import map_slices, taken
 WINDOW = 10
 #: Words of a block of the shift tables.
 BLOCK = 3
-#: Test items are searched in passes of about this many bytes of text, so what a task holds is bounded.
-PASS_BYTES = 16 << 20
+#: Test items are searched in passes of at most this many bytes of text (four for each character), so that the
+#: tables of a pass, some hundred times the text, fit beside a task.
+PASS_BYTES = 4 << 20
 
 # ASCII letters in lower case, digits and all other characters make words; the rest of ASCII parts them.
 _TABLE = bytes(

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 from . import _filter, _words
 from ._arrow import map_slices, slices
-from ._shared import stored
 from .components import components
 
 #: The sketch has 2**22 counters (16 MB) whatever the input; it decides the order and the costs, never a result.
@@ -151,9 +152,9 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _entries(rows: DataFrame, size: int, threshold: tuple[int, int], levels, only=None) -> DataFrame:
-    """Prefix entries: tokens alone or, of the tokens that the filter `only` lets through, (token, node, pri, n)."""
-    names = ["token", "node", "pri", "n"] if only is not None else ["token"]
+def _entries(rows: DataFrame, size: int, threshold: tuple[int, int], levels, whole: bool = False, only=None) -> DataFrame:
+    """Prefix entries: tokens alone or, if `whole`, (token, node, pri, n) of tokens that the filter `only` lets through."""
+    names = ["token", "node", "pri", "n"] if whole else ["token"]
 
     def work():
         table, wanted = levels.value, only.value if only is not None else None
@@ -172,25 +173,25 @@ def _entries(rows: DataFrame, size: int, threshold: tuple[int, int], levels, onl
                 heads.append((_fingerprint(s), min(rare, 1 << 24) * MOST_MATCHES + matches - 1, len(s)))
                 counts.append(len(prefix))
             columns = [pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64))]
-            if wanted is not None:
+            if whole:
                 node, pri, n = (np.repeat(np.array(x, np.int64), counts) for x in zip(*heads, strict=True)) if heads else [np.zeros(0, np.int64)] * 3
                 columns += [pa.array(node), pa.array(pri.astype(np.int32)), pa.array(n.astype(np.int32))]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         return step
 
-    return map_slices(rows, work, "token long, node long, pri int, n int" if only is not None else "token long", most=_SLICE)
+    return map_slices(rows, work, "token long, node long, pri int, n int" if whole else "token long", most=_SLICE)
 
 
 def _shingle_rows(rows: DataFrame, size: int, wanted) -> DataFrame:
-    """Rows (node, shingles) of the documents that the filter `wanted` lets through, each set once a task."""
+    """Rows (node, shingles) of the documents that the filter `wanted` lets through (all without one), each set once a task."""
 
     def work():
-        table, seen = wanted.value, set()
+        table, seen = wanted.value if wanted is not None else None, set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             docs = batch.column("doc").fill_null(0).to_numpy()
-            keep = _filter.contains(table, _words.mix(docs.view(np.uint64)))
+            keep = _filter.contains(table, _words.mix(docs.view(np.uint64))) if table is not None else np.ones(len(docs), bool)
             nodes, packed = [], []
             if keep.any():
                 if len(seen) > 100_000:
@@ -241,8 +242,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     part, whole = threshold
     pairs = stored(_near(pairs, classes, threshold))
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = stored(_mixed(classes.join(named, "node", "left_semi").select("rep")))
-    sets = _shingle_rows(rows, size, _filter.build(needed, F.col("h")))
+    needed = stored(classes.join(named, "node", "left_semi").select("rep"))
+    wanted = _filter.build(_mixed(needed), F.col("h"))
+    sets = _shingle_rows(rows if wanted is not None else rows.join(needed.withColumnRenamed("rep", "doc"), "doc", "left_semi"), size, wanted)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -286,7 +288,9 @@ def join_documents(
     levels = _levels(survey)
     named = rows.filter("text is not null and doc is not null")
     shared = stored(_entries(named, size, threshold, levels).groupBy("token").count().filter("count > 1").select("token"))
-    entries = _entries(named, size, threshold, levels, _filter.build(shared, F.col("token")))
+    only = _filter.build(shared, F.col("token"))
+    entries = _entries(named, size, threshold, levels, True, only)
+    entries = entries if only is not None else entries.join(shared, "token", "left_semi")
     entries = stored(entries.dropDuplicates(["token", "node"]))
     lists = entries.groupBy("token").agg(F.min(F.struct("pri", "node")).alias("lead"), F.count("*").alias("k"))
     lists = stored(lists.filter("k > 1").select("token", F.col("lead.node").alias("lead")))

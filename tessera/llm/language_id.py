@@ -125,7 +125,7 @@ def held_out(key: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = DOCUMENTS_PER_LABEL) -> Network:
     """Train on about `per_label` documents of each label, of those that have one and aren't held out.
 
-    They are picked by a hash of the key; of each, windows spread evenly over its whole text come to the driver.
+    They are picked by a hash of key and text; of each, windows spread evenly over its whole text come to the driver.
     Without labelled documents the network has no label.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     if not labels:
         return train(np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), [])
     share = F.create_map(*(F.lit(v) for k in labels for v in (k, min(1.0, 1.3 * per_label / counts[k]))))
-    draw = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("key", "text", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     picked = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("label")]).select("draw", "label", "text")
 
     def run(batches):
@@ -146,7 +146,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
                 out.append(w[np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOCUMENT)).astype(int)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("label"), pa.array(out, pa.binary())], names=["draw", "label", "windows"])
 
-    got = sorted((r["draw"], bytes(r["windows"]), r["label"]) for r in picked.mapInArrow(run, "draw double, label string, windows binary").collect())
+    # The limit binds only where a great many rows have the same key and text.
+    sample = picked.mapInArrow(run, "draw double, label string, windows binary").limit(2 * per_label * len(labels) + 1000)
+    got = sorted((r["draw"], bytes(r["windows"]), r["label"]) for r in sample.collect())
     x, y, used = [], [], dict.fromkeys(labels, 0)
     for _, held, name in got:
         if used[name] < per_label:

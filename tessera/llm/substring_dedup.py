@@ -10,9 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 from . import _filter, _words
 from ._arrow import map_slices
-from ._shared import stored
 
 WINDOW, GRAM = 50, 20
 _SLICE = 1 << 20
@@ -73,6 +74,37 @@ def _map(rows: DataFrame, work, schema: str) -> DataFrame:
     return map_slices(rows, work, schema, most=_SLICE)
 
 
+_WINDOWS = "window long, doc long, body long, at int"
+
+
+def _spread(batch: pa.RecordBatch, r: _words.Ranges, offsets: np.ndarray, text: np.ndarray, lo: np.ndarray, size: np.ndarray, window: int) -> pa.RecordBatch:
+    """The windows of runs that begin at the words `lo` of the texts `text` and have `size` windows each."""
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    text = np.repeat(text, size)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(r.of(at, at + window).view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array((at - offsets[text]).astype(np.int32))],
+        names=["window", "doc", "body", "at"],
+    )
+
+
+def _windows_of(rows: DataFrame, window: int, gram: int, firsts: DataFrame) -> DataFrame:
+    """The same as `_windows`, with the runs of `firsts` (context, first) found by joins: for more than a filter holds."""
+    runs = _seeds(rows, window, gram).join(firsts.withColumnRenamed("first", "doc"), ["context", "doc"], "left_semi")
+    runs = runs.groupBy("doc", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+
+    def work():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words, offsets = _words.word_hashes(*_words.buffers(batch.column(2)), fold=False)
+            held = batch.column(3)
+            text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo, hi = (held.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            return _spread(batch, _words.Ranges(words), offsets, text, lo + offsets[text], hi - lo + 1, window)
+
+        return step
+
+    return _map(rows.join(runs, ["doc", "body"]).select("doc", "body", "text", "runs"), work, _WINDOWS)
+
+
 def _windows(rows: DataFrame, window: int, gram: int, firsts) -> DataFrame:
     """Rows (window hash, doc, body, at) of the windows of those runs whose (context, doc) passes the filter."""
 
@@ -84,17 +116,11 @@ def _windows(rows: DataFrame, window: int, gram: int, firsts) -> DataFrame:
             r, _, context, text, lo, hi = _anchors(words, offsets, window, gram)
             docs = batch.column(0).to_numpy()
             keep = _filter.contains(table, _pair(context, docs[text])) if len(text) else np.zeros(0, bool)
-            text, lo, size = text[keep], lo[keep], (hi - lo + 1)[keep]
-            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            text = np.repeat(text, size)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(r.of(at, at + window).view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array((at - offsets[text]).astype(np.int32))],
-                names=["window", "doc", "body", "at"],
-            )
+            return _spread(batch, r, offsets, text[keep], lo[keep], (hi - lo + 1)[keep], window)
 
         return step
 
-    return _map(rows, work, "window long, doc long, body long, at int")
+    return _map(rows, work, _WINDOWS)
 
 
 def _pair(context: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -143,7 +169,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str =
         .filter("doc > first")
         .select("doc", "body", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
     )
-    seen = stored(_windows(rows, window, gram, _filter.build(stored(_pair_keys(both)), F.col("h"))))
+    firsts = _filter.build(stored(_pair_keys(both)), F.col("h"))
+    seen = stored(_windows(rows, window, gram, firsts) if firsts is not None else _windows_of(rows, window, gram, both))
     least = seen.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     part = seen.join(stored(least.select("window", "first")), "window").filter("doc > first").select("doc", "body", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     return whole.unionByName(part).groupBy("doc", "body").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))

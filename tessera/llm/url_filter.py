@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 # Public suffixes of two labels, below which one registers a name; all other suffixes count as one label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "org.uk")
 
@@ -83,14 +85,15 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     most of all pages is one row by task. Without labels every mean is 0.
     """
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
+    # Stored tables keep the joins plain, so that Spark can split a host or domain that holds most of the rows.
+    hosts = stored(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    domains = stored(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
     mean, k_suffix = _strength(suffixes.select(F.col("sn").alias("n"), F.col("sbad").alias("bad")))
     _, k_domain = _strength(domains.select(F.col("dn").alias("n"), F.col("dbad").alias("bad")))
     _, k_host = _strength(hosts)
     suffixes = suffixes.select("suffix", ((F.col("sbad") + k_suffix * mean) / (F.col("sn") + k_suffix)).alias("smean"))
-    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("dbad") + k_domain * F.col("smean")) / (F.col("dn") + k_domain)).alias("dmean"))
+    domains = stored(domains.join(stored(suffixes), "suffix").select("domain", ((F.col("dbad") + k_domain * F.col("smean")) / (F.col("dn") + k_domain)).alias("dmean")))
     a = F.col("bad") + k_host * F.col("dmean")
     total = F.col("n") + F.lit(k_host)
     return (
@@ -129,6 +132,6 @@ def filter_urls(
     outcomes = seen.join(known, "key", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     reputation = host_reputation(outcomes, z).select("host", F.col("mean").alias("bad_mean"), F.col("bound").alias("bad_bound"))
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = seen.join(reputation, "host", "left").withColumns({"rule": rule, "says": says})
+    judged = seen.join(stored(reputation), "host", "left").withColumns({"rule": rule, "says": says})
     verdict = F.coalesce("says", F.when(F.col("bad_bound") > most_bad, "block").otherwise("allow"))
     return judged.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "bad_mean", "bad_bound")

@@ -221,6 +221,13 @@ def test_jaccard_links_are_all_there(spark):
     assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} == want and want
 
 
+def test_results_do_not_depend_on_filters(spark, monkeypatch):
+    texts, passages = list(enumerate(near_copies(groups=3))), repeated_passages()
+    monkeypatch.setattr("tessera.llm._filter.MOST_BITS", 8)
+    assert got(jaccard_join.near_duplicates(documents(spark, *(t for _, t in texts)))) == brute_components(texts, 5, 80, 100)
+    assert got(substring_dedup.remove_repeats(documents(spark, *(t for _, t in passages)), keep_text=False)) == brute_removal(passages, 50)
+
+
 def test_jaccard_odd_rows(spark):
     docs = documents(spark, "a b c d e", "a b c d e", "a b c d e", None, ids=[7, 7, None, None])
     assert got(jaccard_join.near_duplicates(docs)) == [(None, 0, None), (None, 1, None), (7, 1, 7), (7, 1, 7)]
