@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard_join, language_id, secrets
-from tessera.llm._shared import folder
+from tessera.storage import shared_folder
 
 #: A document whose best language has a mean probability below this is rejected; with four languages 0.25 is chance.
 LEAST_SCORE = 0.3
@@ -68,7 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
+    base = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
