@@ -9,8 +9,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Spark hands over Arrow batches of at most about this many bytes, where its own setting is the default.
+BATCH_BYTES, _SETTING, _DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Texts are handed to the Python code in slices of about this many UTF-8 bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, with Arrow batches that texts of any length leave room for: buffers live in both processes."""
+    conf = df.sparkSession.conf
+    if conf.get(_SETTING, _DEFAULT) == _DEFAULT:
+        conf.set(_SETTING, BATCH_BYTES)
+    return df
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -27,32 +37,37 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
     yield batch.slice(start)
 
 
-def taken(df: DataFrame, key: str, text: str, carry: bool = False) -> tuple[DataFrame, str, str]:
-    """The columns an operator reads: key, text and, if rows are carried along, the whole row as one struct.
+def taken(df: DataFrame, key: str, text: str, carry: bool = False) -> tuple[DataFrame, str, str, int | None]:
+    """The columns an operator reads: key and text or, if rows are carried along, key and the whole row as one struct.
 
-    Whatever other columns are called, they can't clash with those. Also returns the key's type and the schema of
-    the carried column.
+    Whatever other columns are called, they can't clash with those. Also returns the key's type, the schema of the
+    carried column and the place of the text in it: a carried text isn't sent twice.
     """
-    columns = [F.col(key).alias("key"), F.col(text).alias("text")] + ([F.struct("*").alias("row")] if carry else [])
-    out = df.select(*columns)
-    return out, out.schema["key"].dataType.simpleString(), f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
+    out = df.select(F.col(key).alias("key"), F.struct("*").alias("row") if carry else F.col(text).alias("text"))
+    kind = out.schema["key"].dataType.simpleString()
+    return (out, kind, f", row {out.schema['row'].dataType.simpleString()}", df.columns.index(text)) if carry else (out, kind, "", None)
 
 
 def map_slices(
-    df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text", most: int = SLICE_BYTES
+    df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text", most: int = SLICE_BYTES, inner: int | None = None
 ) -> DataFrame:
     """Apply a per-slice function over `df` on the executors.
 
     `work()` runs once per task and returns the function, so that models and caches are set up once. Rows stay
-    where the scan put them: there is no shuffle, and a lost executor costs only its own partitions.
+    where the scan put them: there is no shuffle, and a lost executor costs only its own partitions. With `inner` the
+    text is that field of the last column, and the function sees it as the second column.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
         for batch in batches:
+            if inner is not None:
+                first, *rest = batch.columns
+                batch = pa.RecordBatch.from_arrays([first, rest[-1].field(inner), *rest], names=["key", "text", *batch.schema.names[1:]])
             for part in slices(batch, text, most):
                 out = step(part)
                 if out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

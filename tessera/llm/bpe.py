@@ -26,7 +26,7 @@ from ._arrow import map_slices, taken
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words remembered per task. Beyond it the memory is emptied and filled again; results do not depend on it.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Words of more symbols than this are merged one at a time, rank by rank, instead of in a ragged batch.
 LONG_WORD = 2048
 _SHIFT = 20
@@ -369,7 +369,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     own, a null key is passed on, other columns are not read, and an empty table gives an empty result. With `carry`
     the whole input row follows as the struct `row`.
     """
-    rows, kind, row = taken(docs, key, text, carry)
+    rows, kind, row, inner = taken(docs, key, text, carry)
 
     def work():
         bpe = load(path)
@@ -393,5 +393,5 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         return step
 
     names = ("ids_sha256 string", "decoded_sha256 string") if digest else ("ids array<int>", "decoded string")
-    out = map_slices(rows, work, f"key {kind}, n_tokens long, x {names[0].split()[1]}, y {names[1].split()[1]}{row}")
+    out = map_slices(rows, work, f"key {kind}, n_tokens long, x {names[0].split()[1]}, y {names[1].split()[1]}{row}", inner=inner)
     return out.toDF(key, "n_tokens", *(n.split()[0] for n in names), *(["row"] if carry else []))

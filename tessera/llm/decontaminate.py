@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,7 +79,7 @@ def searchers(items: Iterable[tuple[str, str | None]], window: int = WINDOW) ->
     return [WuManber(patterns, size) for size, patterns in sorted(by.items())]
 
 
-def _passes(benchmark: DataFrame, item: str, text: str, most: int) -> Iterable[list[tuple[str, str | None]]]:
+def _passes(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str | None]]]:
     held, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
     for r in rows.toLocalIterator():
@@ -115,16 +115,19 @@ def find_contamination(
     not read, and an empty table gives an empty result, an empty benchmark no hits. With `carry` the whole input row
     follows as the struct `row`.
     """
-    rows, kind, row = taken(docs, key, text, carry)
-    out = rows.select("key", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *(["row"] if carry else []))
-    passes = list(_passes(benchmark, item, item_text, pass_bytes))
-    shared = docs.sparkSession.sparkContext.broadcast
-    for k, block in enumerate(passes):
-        out = _scan(out, shared(searchers(block, window)), kind, row, k == len(passes) - 1)
+    rows, kind, row, inner = taken(docs, key, text, carry)
+    out = rows.select("key", *([] if carry else ["text"]), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *(["row"] if carry else []))
+    passes = _passes(benchmark, item, item_text, pass_bytes)
+    block = next(passes)
+    while block is not None:  # one pass at a time is on the driver
+        following = next(passes, None)
+        patterns = docs.sparkSession.sparkContext.broadcast(searchers(block, window))
+        out = _scan(out, patterns, kind, row, inner, following is None)
+        block = following
     return out.withColumnRenamed("key", key)
 
 
-def _scan(rows: DataFrame, patterns, kind: str, row: str, final: bool) -> DataFrame:
+def _scan(rows: DataFrame, patterns, kind: str, row: str, inner: int | None, final: bool) -> DataFrame:
     def work():
         automata = patterns.value
 
@@ -144,7 +147,9 @@ def _scan(rows: DataFrame, patterns, kind: str, row: str, final: bool) -> DataFr
                 marks.append(mark)
                 names.append(sorted(items))
             if not final:
-                return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m and bytes(m) for m in marks], pa.binary()), pa.array(names, pa.list_(pa.string())), *batch.columns[4:]], names=["key", "text", "hit", "items", *batch.schema.names[4:]])
+                text = [] if inner is not None else [batch.column(1)]
+                columns = [batch.column(0), *text, pa.array([m and bytes(m) for m in marks], pa.binary()), pa.array(names, pa.list_(pa.string())), *batch.columns[4:]]
+                return pa.RecordBatch.from_arrays(columns, names=["key", *(["text"] if text else []), "hit", "items", *batch.schema.names[4:]])
             hits = [sum(m) if m else 0 for m in marks]
             return pa.RecordBatch.from_arrays(
                 [
@@ -159,6 +164,6 @@ def _scan(rows: DataFrame, patterns, kind: str, row: str, final: bool) -> DataFr
     schema = (
         f"key {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
         if final
-        else f"key {kind}, text string, hit binary, items array<string>"
+        else f"key {kind}, {'' if inner is not None else 'text string, '}hit binary, items array<string>"
     )
-    return map_slices(rows, work, schema + row)
+    return map_slices(rows, work, schema + row, inner=inner)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.storage import stored
 
 from . import _filter, _words
-from ._arrow import map_slices, slices
+from ._arrow import map_slices, slices, small_batches
 from .components import components
 
 #: The sketch has 2**22 counters (16 MB) whatever the input; it decides the order and the costs, never a result.
@@ -93,7 +93,7 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
             )
 
     short = "".join(f", {b} long" for b in _BITS)
-    return stored(rows.mapInArrow(run, f"doc long, n int, node long, bits binary{short}, slot int, part int, cells binary"))
+    return stored(small_batches(rows).mapInArrow(run, f"doc long, n int, node long, bits binary{short}, slot int, part int, cells binary"))
 
 
 def _add_up(key, table):
@@ -234,7 +234,7 @@ def _near(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> D
                 keep.append(differ * (part + whole) <= (na.as_py() + nb.as_py()) * (whole - part))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+    return small_batches(joined.select("a", "b", "na", "nb", "x", "y")).mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
@@ -257,7 +257,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
                 keep.append(whole * common >= part * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
+    return stored(small_batches(joined.select("a", "b", "x", "y")).mapInArrow(run, "a long, b long").distinct())
 
 
 def join_documents(

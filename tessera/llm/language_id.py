@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._arrow import map_slices, taken
+from ._arrow import map_slices, small_batches, taken
 
 WIDTHS, FILTERS, DIM, LENGTH = (2, 3, 4), 8, 8, 128
 UNKNOWN = "und"
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("label"), pa.array(out, pa.binary())], names=["draw", "label", "windows"])
 
     # The limit binds only where a great many rows have the same key and text.
-    sample = picked.mapInArrow(run, "draw double, label string, windows binary").limit(2 * per_label * len(labels) + 1000)
+    sample = small_batches(picked).mapInArrow(run, "draw double, label string, windows binary").limit(2 * per_label * len(labels) + 1000)
     got = sorted((r["draw"], bytes(r["windows"]), r["label"]) for r in sample.collect())
     x, y, used = [], [], dict.fromkeys(labels, 0)
     for _, held, name in got:
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str =
     where no label was learned. Repeated rows are judged each, a null key is passed on, other columns are not read,
     and an empty table gives an empty result. With `carry` the whole input row follows as the struct `row`.
     """
-    rows, kind, row = taken(docs, key, text, carry)
+    rows, kind, row, inner = taken(docs, key, text, carry)
 
     def work():
         tables = network.tables()
@@ -197,5 +197,5 @@ def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str =
 
         return step
 
-    out = map_slices(rows, work, f"key {kind}, lang_pred string, score double{row}", most=1 << 20)
+    out = map_slices(rows, work, f"key {kind}, lang_pred string, score double{row}", inner=inner)
     return out.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "lang_pred", "score", *(["row"] if carry else []))

@@ -149,7 +149,7 @@ def scan(docs: DataFrame, model: MarkovPair, threshold: float = 1.0, key: str =
     are not read, and an empty table gives an empty result. With `carry` the whole input row follows as the struct
     `row`.
     """
-    rows, key_type, row = taken(docs, key, text, carry)
+    rows, key_type, row, inner = taken(docs, key, text, carry)
 
     def work():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,4 +165,4 @@ def scan(docs: DataFrame, model: MarkovPair, threshold: float = 1.0, key: str =
         return step
 
     schema = f"key {key_type}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string{row}"
-    return map_slices(rows, work, schema).withColumnRenamed("key", key)
+    return map_slices(rows, work, schema, inner=inner).withColumnRenamed("key", key)

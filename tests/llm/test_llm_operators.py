@@ -289,6 +289,8 @@ def test_decontamination(spark):
         want.append((k, len(w), len(hit), len(items), sorted(items), sha(",".join(sorted(items))), bool(hit)))
     for most in (1 << 20, 60):
         assert got(decontaminate.find_contamination(documents(spark, *texts), table, pass_bytes=most)) == want
+        carried = decontaminate.find_contamination(documents(spark, *texts), table, pass_bytes=most, carry=True)
+        assert got(carried.drop("row")) == want and got(carried.select("row.doc_id", "row.text")) == list(enumerate(texts))
     assert all(not r[-1] for r in got(decontaminate.find_contamination(documents(spark, *texts), table.limit(0))))
 
 
