@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import query as Q
 from tessera.functions import text as X
+from tessera.storage import stored
 
 K1, B = 1.5, 0.75
 #: Queries are written into the plan, so their number is bounded; more come in several calls.
@@ -57,6 +58,8 @@ def sparse_retrieve(
     corpus = matched.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= (scan or Q.scan_limit(k))).drop("n")
     if not queries:
         return corpus.withColumns({"score": F.lit(0.0), "rank": F.lit(1)})
+    # Stored, the bounded candidates cost one scan of the chunks, though they are read twice.
+    corpus = stored(corpus)
     text = X.search_text(F.col("source_name"), F.col("content"))
     asked = F.create_map(*(F.lit(v) for q, t in queries.items() for v in (q, t)))[F.col("query_id")]
     corpus = corpus.withColumns({"tokens": X.tokens(text), "wanted": X.tokens(asked)})
