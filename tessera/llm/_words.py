@@ -1,7 +1,8 @@
 """Word and shingle hashes of whole texts, vectorised over Arrow buffers.
 
 Words are runs of anything but the bytes 0x20 and 0x09 to 0x0D. Hashes have 64 bits and depend on the words alone,
-so they agree between tasks and machines.
+so they agree between tasks and machines. Every step mixes its input before it adds, so that no pattern of equal
+parts, however long, cancels out; what must be told exactly is compared itself by the operators, or by 128 bits.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-#: Bytes hashed at a time; longer words are hashed whole.
-PIECE = 1 << 20
+_GOLDEN = _U(0x9E3779B97F4A7C15)
+#: Parts of eight bytes that long words are hashed by at a time.
+PARTS = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,29 +27,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.full(size, _U(base % (1 << 64)), _U)
-            have[0] = 1
-            have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
-
-
-_BYTE = mix(np.arange(1, 257, dtype=_U))
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,56 +46,74 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts that lie end to end, and the n+1 word offsets of the texts.
-
-    `fold` takes A-Z as a-z.
-    """
+def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of texts that lie end to end start and end, and the n+1 word offsets of the texts."""
     if not len(data):
-        return np.zeros(0, _U), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     space = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     before = np.append(True, space[:-1]) | edge[:-1]
     after = np.append(space[1:], True) | edge[1:]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    out = np.empty(len(starts), _U)
-    values = _FOLDED if fold else _BYTE
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(b - a + 1, _U)
-        np.cumsum(values[data[a:b]] * _power(_BASE, b - a), out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((sums[e] - sums[s]) * _power(_INVERSE, b - a)[s] + (e - s).astype(_U))
-        i = j
-    return out, np.searchsorted(starts, bounds)
-
+    return starts, ends, np.searchsorted(starts, bounds)
 
-class Ranges:
-    """Hashes of any range of a word sequence, from prefix sums."""
 
-    def __init__(self, words: np.ndarray):
-        self.sums = np.zeros(len(words) + 1, _U)
-        np.cumsum(words * _power(_BASE, max(1, len(words)))[: len(words)], out=self.sums[1:])
-        self.inverse = _power(_INVERSE, len(words) + 1)
+def word_hashes(data: np.ndarray, bounds: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts that lie end to end, and the n+1 word offsets of the texts.
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U) * _U(_BASE))
+    `fold` takes A-Z as a-z. A word is read eight bytes at a time; each part is mixed with its place in the word.
+    """
+    starts, ends, offsets = word_bounds(data, bounds)
+    if not len(starts):
+        return np.zeros(0, _U), offsets
+    size = ends - starts
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = _LOWER[data] if fold else data
+    eight = np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
+    out = mix(mix(eight[starts] & _LOW[np.minimum(size, 8)]) + size.astype(_U) * _GOLDEN)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8  # parts after the first
+        last = np.cumsum(more)
+        rest = np.zeros(len(long), _U)
+        for i in range(0, int(last[-1]), PARTS):
+            part = np.arange(i, min(i + PARTS, int(last[-1])))
+            word = np.searchsorted(last, part, "right")
+            k = part - (last - more)[word] + 1
+            at = starts[long[word]] + 8 * k
+            value = eight[at] & _LOW[np.minimum(ends[long[word]] - at, 8)]
+            np.add.at(rest, word, mix(mix(value) + k.astype(_U) * _GOLDEN))
+        out[long] = mix(out[long] + rest)
+    return out, offsets
+
+
+def spans(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all ranges of `length` words of a word sequence, by where they start.
+
+    Ranges are put together from halves of halves, each mixed before it is used.
+    """
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    half, size, at, out = words, 1, 0, None
+    while True:
+        if length & size:
+            out = half[at : at + n] if out is None else mix(out * _GOLDEN + half[at : at + n])
+            at += size
+        if 2 * size > length:
+            return mix(out + _U(length * int(_GOLDEN) % (1 << 64)))
+        half = mix(half[:-size] * _GOLDEN + half[size:])
+        size *= 2
 
 
 def shingle_sets(words: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """The distinct shingles (sorted hashes) of each text; a text of fewer words is one shingle, one without none."""
-    r = Ranges(words)
     out = []
-    n = len(words)
-    every = r.of(np.arange(max(0, n - size + 1)), np.arange(size, n + 1)) if n >= size else np.zeros(0, _U)
+    every = spans(words, size)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= size:
             out.append(np.unique(every[a : b - size + 1]))
-        elif b > a:
-            out.append(r.of(np.array([a]), np.array([b])))
         else:
-            out.append(np.zeros(0, _U))
+            out.append(spans(words[a:b], b - a) if b > a else np.zeros(0, _U))
     return out

@@ -26,7 +26,7 @@ def _anchors(words: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     in equal places. The context of a run is all words that its windows cover, with the anchor's place in them.
     """
     n = len(words)
-    r = _words.Ranges(words)
+    whole = _words.spans(words, window)
     length = np.diff(offsets)
     valid = np.zeros(max(0, n - window + 1), bool)
     for a, size in zip(offsets[:-1].tolist(), length.tolist(), strict=True):
@@ -34,8 +34,8 @@ def _anchors(words: np.ndarray, offsets: np.ndarray, window: int, gram: int):
             valid[a : a + size - window + 1] = True
     start = np.flatnonzero(valid)
     if not len(start):
-        return r, *(np.zeros(0, np.int64) for _ in range(5))
-    grams = r.of(np.arange(n - gram + 1), np.arange(gram, n + 1))
+        return whole, np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    grams = _words.spans(words, gram)
     view = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
     place = np.concatenate([view[start[i : i + 65536]].argmin(1) for i in range(0, len(start), 65536)]) + start
     text = np.searchsorted(offsets, start, "right") - 1
@@ -43,8 +43,10 @@ def _anchors(words: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     lo = start[new]
     hi = start[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
     at = place[new]
-    context = _words.mix(r.of(lo, hi + window) + (at - lo).astype(np.uint64))
-    return r, grams[at], context, text[new], lo, hi
+    # A run is no longer than a window, so its first and its last window cover all its words.
+    context = _words.mix(_words.mix(whole[lo] + (hi - lo).astype(np.uint64)) + whole[hi])
+    context = _words.mix(context + (at - lo).astype(np.uint64))
+    return whole, grams[at], context, text[new], lo, hi
 
 
 def _seeds(rows: DataFrame, window: int, gram: int, shared=None) -> DataFrame:
@@ -77,12 +79,12 @@ def _map(rows: DataFrame, work, schema: str) -> DataFrame:
 _WINDOWS = "window long, doc long, body long, at int"
 
 
-def _spread(batch: pa.RecordBatch, r: _words.Ranges, offsets: np.ndarray, text: np.ndarray, lo: np.ndarray, size: np.ndarray, window: int) -> pa.RecordBatch:
+def _spread(batch: pa.RecordBatch, whole: np.ndarray, offsets: np.ndarray, text: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     """The windows of runs that begin at the words `lo` of the texts `text` and have `size` windows each."""
     at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
     text = np.repeat(text, size)
     return pa.RecordBatch.from_arrays(
-        [pa.array(r.of(at, at + window).view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array((at - offsets[text]).astype(np.int32))],
+        [pa.array(whole[at].view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array((at - offsets[text]).astype(np.int32))],
         names=["window", "doc", "body", "at"],
     )
 
@@ -98,7 +100,7 @@ def _windows_of(rows: DataFrame, window: int, gram: int, firsts: DataFrame) -> D
             held = batch.column(3)
             text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64))
             lo, hi = (held.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            return _spread(batch, _words.Ranges(words), offsets, text, lo + offsets[text], hi - lo + 1, window)
+            return _spread(batch, _words.spans(words, window), offsets, text, lo + offsets[text], hi - lo + 1)
 
         return step
 
@@ -113,10 +115,10 @@ def _windows(rows: DataFrame, window: int, gram: int, firsts) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             words, offsets = _words.word_hashes(*_words.buffers(batch.column(2)), fold=False)
-            r, _, context, text, lo, hi = _anchors(words, offsets, window, gram)
+            whole, _, context, text, lo, hi = _anchors(words, offsets, window, gram)
             docs = batch.column(0).to_numpy()
             keep = _filter.contains(table, _pair(context, docs[text])) if len(text) else np.zeros(0, bool)
-            return _spread(batch, r, offsets, text[keep], lo[keep], (hi - lo + 1)[keep], window)
+            return _spread(batch, whole, offsets, text[keep], lo[keep], (hi - lo + 1)[keep])
 
         return step
 
