@@ -6,31 +6,33 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark hands over Arrow batches of at most about this many bytes, where its own setting is the default.
+#: Arrow batches of at most about so many bytes leave room for texts of any length: their buffers live in the JVM and in Python.
 BATCH_BYTES, _SETTING, _DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-#: Texts are handed to the Python code in slices of about this many UTF-8 bytes.
-SLICE_BYTES = 1 << 20
+#: Texts are handed to the Python code in slices of about this many UTF-8 bytes, and of at most so many rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 14
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows, with Arrow batches that texts of any length leave room for: buffers live in both processes."""
-    conf = df.sparkSession.conf
-    if conf.get(_SETTING, _DEFAULT) == _DEFAULT:
-        conf.set(_SETTING, BATCH_BYTES)
-    return df
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bound the session's Arrow batches to BATCH_BYTES, unless it has a setting of its own.
+
+    The setting belongs to the session, so whoever owns it calls this (queries and pipeline do); operators don't.
+    """
+    if spark.conf.get(_SETTING, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_SETTING, BATCH_BYTES)
+    return spark
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about `most` bytes of text, one row at least."""
+    """Cut a batch so that each part holds about `most` bytes of text and at most SLICE_ROWS rows, one row at least."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64")
-    start = held = 0
+    start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if held and held + n > most:
+        if i > start and (held + n > most or i - start == SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -70,4 +72,4 @@ def map_slices(
                     yield out
         pa.default_memory_pool().release_unused()
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -11,18 +11,18 @@ from tessera.storage import stored
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, comp): for each node of `links` (a, b) the smallest node it can reach.
 
-    Every round takes the least label among a node's neighbours and then the label of that label, so chains halve
-    and stars end at once. Each round is written to the shared folder; only a count of changes comes to the driver.
+    Every round a node takes the least label of its neighbours' labels, so chains halve and stars end at once; where
+    nothing changes, neighbours agree. Each round is one table in the shared folder, and only a flag comes to the driver.
+    Nodes may have any type that can be ordered; repeated links and links of a node to itself do no harm, and an
+    empty table gives an empty result.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
     label = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")))
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        near = stored(near)
-        step = stored(label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")))
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        label = stored(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")))
-        changed = label.filter("comp <> old").limit(1).count()
-        label = label.select("node", "comp")
-        if not changed:
+        far = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+        jumped = label.join(far, "comp").select("node", "comp", "far")
+        near = both.join(jumped.select(F.col("node").alias("b"), "far"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
+        step = stored(jumped.join(near, "node").select("node", F.least("far", "near").alias("comp"), (F.least("far", "near") < F.col("comp")).alias("changed")))
+        label = step.select("node", "comp")
+        if step.filter("changed").isEmpty():
             return label

@@ -1,29 +1,35 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
-A document is the set of its distinct shingles; equal sets are one class (by a 64-bit fingerprint and the size).
-Shingles have one order for all documents, rare ones first by the counts of a sketch of fixed size. If two sets
-are similar enough, their prefixes that leave out `least overlap - l` shingles share l shingles at least. Each
-set takes the l that costs least by the counts: longer prefixes need more shared shingles before a pair is
-verified, and a pair needs the smaller l of its two.
+A document is the set of its distinct shingles; equal sets are one class (by a 128-bit fingerprint). Shingles have
+one order for all documents, rare ones first by exact counts. If two sets are similar enough, their prefixes that
+leave out `least overlap - l` shingles share l shingles at least. Each set takes the l that costs least by the
+counts: longer prefixes need more shared shingles before a pair is verified, and a pair needs the smaller l of its
+two.
+
+The counts are exact and not broadcast. Each scan task cuts its documents into chunks and sends a chunk's shingles
+to the buckets that count them; a bucket sends back to each chunk only those that other documents have too, with
+their counts. Chunks and buckets are of like, bounded size, whatever the input, and no key gets more than a row a
+chunk, however common a shingle is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.storage import stored
 
 from . import _filter, _words
-from ._arrow import map_slices, slices, small_batches
+from ._arrow import map_slices, slices
 from .components import components
 
-#: The sketch has 2**22 counters (16 MB) whatever the input; it decides the order and the costs, never a result.
-CELL_BITS, PARTS = 22, 64
-#: Merged at a time where the tasks' sketches are added up.
-MERGE = 64
+#: Bytes of text that a chunk and a bucket stand for: by the square root of the input, between these.
+LEAST_WIDTH, MOST_WIDTH, WIDTH_SCALE = 2 << 20, 64 << 20, 4096
+#: Documents of a chunk at most; their numbers have 16 bits.
+CHUNK_DOCUMENTS = 1 << 16
 #: Prefixes ask for 1 to this many shared shingles; verifying a pair costs about as much as so many list entries.
 MOST_MATCHES, VERIFY_COST = 8, 8.0
 _SLICE = 1 << 20
@@ -41,97 +47,143 @@ def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     return _words.shingle_sets(words, offsets, size)
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    if not len(s):
-        return 0
-    h = _words.mix(s)
-    both = _words.mix(np.array([h.sum(dtype=np.uint64) ^ np.uint64(len(s)), np.bitwise_xor.reduce(h)], np.uint64))
-    return int(_words.mix(both[:1] + both[1:] * np.uint64(3)).view(np.int64)[0])
-
-
-def _survey(rows: DataFrame, size: int) -> DataFrame:
-    """One scan: a row (doc, n, node, bits, short bitmap) a document, and each task's sketch in parts (slot, part, cells)."""
+def _fingerprints(sets: list[np.ndarray]) -> pa.Array:
+    """128 bits for each set, null for an empty one: two sums of its shingles, mixed in two ways."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros((len(sets), 2), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        flat, first = np.concatenate(sets), (np.cumsum(n) - n)[full]
+        for k, salt in enumerate((0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)):
+            sums = np.add.reduceat(_words.mix(_words.mix(flat ^ np.uint64(salt))), first)
+            out[full, k] = _words.mix(sums + n[full].astype(np.uint64) * np.uint64(salt))
+    held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sets), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+    return pc.if_else(pa.array(n > 0), held, pa.nulls(len(sets), pa.binary()))
+
+
+def _chunk(number: int, buckets: int, docs: pa.Array, sets: list[np.ndarray]):
+    """The rows of a chunk: its shingles by bucket, and one row that describes its documents."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    ids = (flat >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)
+    order = np.argsort(ids, kind="stable")
+    ids, idx = ids[order], np.repeat(np.arange(len(sets), dtype=np.uint16), n)[order]
+    # Shingles of one document that fall on the same id count once; prefixes allow for it.
+    keep = np.append(True, (ids[1:] != ids[:-1]) | (idx[1:] != idx[:-1]))[: len(ids)]
+    ids, idx = ids[keep], idx[keep]
+    distinct = np.bincount(idx, minlength=len(sets))
+    maps = list(map(_parity, sets))
+    short = np.array([_folded(m, 32).view(np.int64) for m in maps]).reshape(len(sets), len(_BITS)).T
+    head = pa.RecordBatch.from_arrays(
+        [docs, pa.array(n.astype(np.int32)), pa.array(distinct.astype(np.int32)), _fingerprints(sets), pa.array([m.tobytes() for m in maps], pa.binary()), *map(pa.array, short)],
+        names=["doc", "n", "distinct", "node", "bits", *_BITS],
+    )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, head.schema) as writer:
+        writer.write_batch(head)
+    bucket = (ids >> np.uint64(32)).astype(np.int32)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    low, cuts = (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32), [*first.tolist(), len(ids)]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([*bucket[first].tolist(), -1 - number % buckets], pa.int32()), pa.array([number] * (len(spans) + 1), pa.int64()),
+            pa.array([*(low[a:b].tobytes() for a, b in spans), None], pa.binary()), pa.array([*(idx[a:b].tobytes() for a, b in spans), None], pa.binary()),
+            pa.array([*[None] * len(spans), sink.getvalue().to_pybytes()], pa.binary()),
+        ],
+        names=["bucket", "chunk", "low", "idx", "head"],
+    )
+
+
+def _count(key, table):
+    """In a bucket: what each chunk has of the shingles that several documents have, with the counts."""
+    names = ["chunk", "bucket", "low", "idx", "n", "head"]
+    if key[0].as_py() < 0:
+        none = pa.nulls(table.num_rows, pa.binary())
+        return pa.table([table["chunk"], table["bucket"], none, none, none, table["head"]], names=names)
+    low = [np.frombuffer(v.as_buffer(), np.uint32) for v in table["low"]]
+    idx = [np.frombuffer(v.as_buffer(), np.uint16) for v in table["idx"]]
+    flat = np.concatenate(low)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+    run = np.diff(np.append(first, len(flat)))
+    n = np.empty(len(flat), np.uint32)
+    n[order] = np.repeat(run, run)
+    rows, at = [], 0
+    for chunk, x, i in zip(table["chunk"].to_pylist(), low, idx, strict=True):
+        c = n[at : at + len(x)]
+        at += len(x)
+        more = c > 1
+        if more.any():
+            rows.append((chunk, key[0].as_py(), x[more].tobytes(), i[more].tobytes(), c[more].tobytes(), None))
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
+
+
+def choose_prefix(counts: np.ndarray, n: int, distinct: int, threshold: tuple[int, int]) -> tuple[int, int]:
+    """How many shared shingles of a set belong to its prefix, and the number of matches that it asks for.
+
+    `counts` are those of the set's shared shingles, in order; its other distinct ids are rare and come before.
+    """
+    rare, first = distinct - len(counts), n - least_overlap(n, threshold)
+    matches = np.arange(1, min(MOST_MATCHES, n - first) + 1)
+    taken = np.clip(first + matches - rare, 0, len(counts))
+    cost = np.append(0, np.cumsum(counts - 1.0))[taken] * (1 + VERIFY_COST / matches)
+    best = int(np.argmin(cost))
+    return int(taken[best]), int(matches[best])
+
+
+def _prefixes(threshold: tuple[int, int]):
+    def work(key, table):
+        """In a chunk: a row for each document, with the shared shingles of its prefix."""
+        described = pc.is_valid(table["head"])
+        head = pa.ipc.open_stream(table["head"].filter(described)[0].as_buffer()).read_all()
+        parts = table.filter(pc.invert(described))
+        size, distinct = head["n"].to_numpy(), head["distinct"].to_numpy()
+        pri, tokens = np.minimum(distinct, 1 << 24).astype(np.int64) * MOST_MATCHES, [[]] * len(size)
+        if parts.num_rows:
+            low, idx, n = ([np.frombuffer(v.as_buffer(), k) for v in parts[c]] for c, k in (("low", np.uint32), ("idx", np.uint16), ("n", np.uint32)))
+            ids = np.repeat(parts["bucket"].to_numpy().astype(np.uint64) << np.uint64(32), list(map(len, low))) | np.concatenate(low)
+            idx, n = np.concatenate(idx), np.concatenate(n)
+            order = np.lexsort((ids, n, idx))
+            ids, idx, n = ids[order].view(np.int64), idx[order], n[order]
+            first = np.flatnonzero(np.append(True, np.diff(idx.astype(np.int32)) != 0))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(idx)], strict=True):
+                d = int(idx[a])
+                taken, matches = choose_prefix(n[a:b], int(size[d]), int(distinct[d]), threshold)
+                pri[d] = min(int(distinct[d]) - (b - a), 1 << 24) * MOST_MATCHES + matches - 1
+                tokens[d] = ids[a : a + taken]
+        return pa.table([*(head[c] for c in ("doc", "n", "node", "bits", *_BITS)), pa.array(pri.astype(np.int32)), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "n", "node", "bits", *_BITS, "pri", "tokens"])
+
+    return work
+
+
+def _front(rows: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """One row a document: doc, n, node, bits and a short bitmap, pri, and the shared tokens of its prefix; stored."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = int(min(max((total * WIDTH_SCALE) ** 0.5, LEAST_WIDTH), MOST_WIDTH))
+    buckets = max(1, -(-total // width))
 
     def run(batches):
         from pyspark import TaskContext
 
-        cells, waiting, held = np.zeros(1 << CELL_BITS, np.int32), [], 0
-        shift = np.uint64(64 - CELL_BITS)
-
-        def add() -> None:
-            nonlocal waiting, held
-            if waiting:
-                cells[:] += np.bincount(np.concatenate(waiting), minlength=len(cells)).astype(np.int32)
-            waiting, held = [], 0
-
+        number, docs, sets, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for part in slices(batch, most=_SLICE):
-                sets = _sets(part, size)
-                for s in sets:
-                    waiting.append((s >> shift).astype(np.int32))
-                    held += len(s)
-                if held > 1 << 21:
-                    add()
-                k = part.num_rows
-                maps = list(map(_parity, sets))
-                short = np.array([_folded(m, 32).view(np.int64) for m in maps]).reshape(k, len(_BITS)).T
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_fingerprint(s) for s in sets], pa.int64()),
-                        pa.array([m.tobytes() for m in maps], pa.binary()), *map(pa.array, short), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
-                    ],
-                    names=["doc", "n", "node", "bits", *_BITS, "slot", "part", "cells"],
-                )
-        add()
-        if cells.any():
-            parts = cells.reshape(PARTS, -1)
-            slot = TaskContext.get().partitionId()
-            none = pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, pa.nulls(PARTS, pa.int32()), none, pa.nulls(PARTS, pa.binary()), *[none] * len(_BITS), pa.array([slot] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())],
-                names=["doc", "n", "node", "bits", *_BITS, "slot", "part", "cells"],
-            )
-
+                if sets and (held + part.nbytes > width or len(sets) + part.num_rows > CHUNK_DOCUMENTS):
+                    yield _chunk(number, buckets, pa.concat_arrays(docs), sets)
+                    number, docs, sets, held = number + 1, [], [], 0
+                docs.append(part.column("doc"))
+                sets += _sets(part, size)
+                held += part.nbytes
+        if sets:
+            yield _chunk(number, buckets, pa.concat_arrays(docs), sets)
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    sent = rows.mapInArrow(run, "bucket int, chunk long, low binary, idx binary, head binary")
+    counted = sent.groupBy("bucket").applyInArrow(_count, "chunk long, bucket int, low binary, idx binary, n binary, head binary")
     short = "".join(f", {b} long" for b in _BITS)
-    return stored(small_batches(rows).mapInArrow(run, f"doc long, n int, node long, bits binary{short}, slot int, part int, cells binary"))
-
-
-def _add_up(key, table):
-    width = (1 << CELL_BITS) // PARTS
-    total = np.zeros(width, np.int64)
-    for c in table.column("cells"):
-        total += np.frombuffer(pa.decompress(c.as_py(), 4 * width, "zstd", asbytes=True), np.int32)
-    packed = pa.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), "zstd", asbytes=True)
-    return pa.table({"slot": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([packed], pa.binary())})
-
-
-def _levels(survey: DataFrame):
-    """The sketch as steps of a quarter octave above its noise: one byte a cell, on every executor."""
-    sketch = survey.filter("part is not null").select("slot", "part", "cells")
-    slots = (sketch.agg(F.max("slot")).first()[0] or 0) + 1
-    while slots > 1:
-        sketch = sketch.withColumn("slot", F.floor(F.col("slot") / MERGE).cast("int")).groupBy("part", "slot").applyInArrow(_add_up, "slot int, part int, cells binary")
-        slots = -(-slots // MERGE)
-    cells = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.float64)
-    for r in sketch.toLocalIterator():
-        cells[r["part"]] = np.frombuffer(pa.decompress(bytes(r["cells"]), 4 * cells.shape[1], "zstd", asbytes=True), np.int32)
-    cells, mean = cells.ravel(), float(cells.mean())
-    excess = np.where(cells > mean + 4 * mean**0.5 + 1, cells - mean, 0)
-    levels = np.minimum(255, np.ceil(4 * np.log2(1 + excess))).astype(np.uint8)
-    return survey.sparkSession.sparkContext.broadcast(levels)
-
-
-def choose_prefix(s: np.ndarray, levels: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, int, int]:
-    """The prefix of a set, its number of matches, and how many of the set's shingles look rare."""
-    level = levels[s >> np.uint64(64 - CELL_BITS)]
-    order = np.argsort(level, kind="stable")
-    n = len(s)
-    first = n - least_overlap(n, threshold)
-    most = min(MOST_MATCHES, n - first)
-    rare = int((level == 0).sum())
-    cost = np.cumsum(2.0 ** (level[order[: first + most]] / 4.0) - 1)[first:]
-    matches = 1 + int(np.argmin(cost * (1 + VERIFY_COST / np.arange(1, most + 1))))
-    return s[order[: first + matches]], matches, rare
+    return stored(counted.groupBy("chunk").applyInArrow(_prefixes(threshold), f"doc {kind}, n int, node binary, bits binary{short}, pri int, tokens array<long>"))
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
@@ -152,37 +204,6 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _entries(rows: DataFrame, size: int, threshold: tuple[int, int], levels, whole: bool = False, only=None) -> DataFrame:
-    """Prefix entries: tokens alone or, if `whole`, (token, node, pri, n) of tokens that the filter `only` lets through."""
-    names = ["token", "node", "pri", "n"] if whole else ["token"]
-
-    def work():
-        table, wanted = levels.value, only.value if only is not None else None
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, heads, counts = [], [], []
-            for s in _sets(batch, size):
-                if not len(s):
-                    continue
-                prefix, matches, rare = choose_prefix(s, table, threshold)
-                if wanted is not None:
-                    prefix = prefix[_filter.contains(wanted, prefix)]
-                    if not len(prefix):
-                        continue
-                tokens.append(prefix)
-                heads.append((_fingerprint(s), min(rare, 1 << 24) * MOST_MATCHES + matches - 1, len(s)))
-                counts.append(len(prefix))
-            columns = [pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64))]
-            if whole:
-                node, pri, n = (np.repeat(np.array(x, np.int64), counts) for x in zip(*heads, strict=True)) if heads else [np.zeros(0, np.int64)] * 3
-                columns += [pa.array(node), pa.array(pri.astype(np.int32)), pa.array(n.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
-        return step
-
-    return map_slices(rows, work, "token long, node long, pri int, n int" if whole else "token long", most=_SLICE)
-
-
 def _shingle_rows(rows: DataFrame, size: int, wanted) -> DataFrame:
     """Rows (node, shingles) of the documents that the filter `wanted` lets through (all without one), each set once a task."""
 
@@ -190,31 +211,23 @@ def _shingle_rows(rows: DataFrame, size: int, wanted) -> DataFrame:
         table, seen = wanted.value if wanted is not None else None, set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            docs = batch.column("doc").fill_null(0).to_numpy()
-            keep = _filter.contains(table, _words.mix(docs.view(np.uint64))) if table is not None else np.ones(len(docs), bool)
+            if table is not None:
+                batch = batch.filter(pa.array(_filter.contains(table, batch.column("h").to_numpy())))
             nodes, packed = [], []
-            if keep.any():
+            if batch.num_rows:
                 if len(seen) > 100_000:
                     seen.clear()
-                for s in _sets(batch.filter(pa.array(keep)), size):
-                    node = _fingerprint(s)
-                    if node not in seen:
+                sets = _sets(batch, size)
+                for s, node in zip(sets, _fingerprints(sets).to_pylist(), strict=True):
+                    if node is not None and node not in seen:
                         seen.add(node)
                         nodes.append(node)
                         packed.append(s.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["node", "shingles"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
         return step
 
-    return map_slices(rows, work, "node long, shingles binary", most=_SLICE)
-
-
-def _mixed(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_words.mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
-
-    return docs.mapInArrow(run, "h long")
+    return map_slices(rows.select(F.xxhash64("doc").alias("h"), "text"), work, "node binary, shingles binary", most=_SLICE)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -234,7 +247,7 @@ def _near(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> D
                 keep.append(differ * (part + whole) <= (na.as_py() + nb.as_py()) * (whole - part))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(joined.select("a", "b", "na", "nb", "x", "y")).mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
@@ -243,7 +256,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     pairs = stored(_near(pairs, classes, threshold))
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(classes.join(named, "node", "left_semi").select("rep"))
-    wanted = _filter.build(_mixed(needed), F.col("h"))
+    wanted = _filter.build(needed, F.xxhash64("rep"))
     sets = _shingle_rows(rows if wanted is not None else rows.join(needed.withColumnRenamed("rep", "doc"), "doc", "left_semi"), size, wanted)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -257,7 +270,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
                 keep.append(whole * common >= part * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(small_batches(joined.select("a", "b", "x", "y")).mapInArrow(run, "a long, b long").distinct())
+    return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary").distinct())
 
 
 def join_documents(
@@ -268,51 +281,43 @@ def join_documents(
     A-Z are lower-cased; words part at the bytes 0x20 and 0x09 to 0x0D; a document's set has its distinct shingles
     of `size` words, or its whole sequence if it has fewer. Sets link when whole * |x & y| >= part * |x | y|.
 
-    membership: doc, n (size of the set) and node (its class: equal sets share one). links: pairs (a, b) of linked
-    classes; with `all_links` every one, otherwise enough to connect all that are connected: pairs already in one
-    component are not verified again. Texts that are null or have no words have n = 0 and no link. Keys may be null or repeated: each row is a
-    document. Other columns are not read, and empty tables give empty results.
+    membership: doc, n (size of the set) and node (its class: equal sets share one, empty ones have null). links:
+    pairs (a, b) of linked classes; with `all_links` every one, otherwise enough to connect all that are connected:
+    pairs already in one component are not verified again. Texts that are null or have no words have n = 0 and no
+    link. Keys may be of any type that can be ordered, null (then without links) or repeated: each row is a
+    document. Other columns are not read, and empty tables give empty results. `docs` is read several times, in the
+    same partitions, as tables give them. Texts travel in Arrow batches, whose bytes the session bounds.
 
-    Where many sets meet in a list, they are first compared with the one of them that has the fewest rare
-    shingles, a pair a set. Only sets that this leaves in different components are then paired, so a large group
-    of near copies isn't enumerated.
+    Where many sets meet in a list, each is first compared with one leader, the set of a list with the fewest rare
+    shingles: a pair a set. Only sets that this leaves in different components are then paired, so a large group of
+    near copies isn't enumerated.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    survey = _survey(rows, size)
-    members = survey.filter("part is null").select("doc", "n", "node", "bits", *_BITS)
-    usable = members.filter("n > 0 and doc is not null")
-    # The bitmaps go by the document that stands for its class.
-    classes = usable.groupBy("node").agg(F.min("doc").alias("rep"))
-    classes = stored(usable.withColumnRenamed("doc", "rep").join(stored(classes), ["node", "rep"]).dropDuplicates(["node"]))
-    members = members.select("doc", "n", "node")
-    levels = _levels(survey)
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    front = _front(rows, size, threshold)
+    members = front.select("doc", "n", "node")
+    usable = front.filter("node is not null and doc is not null")
+    # Any document stands for its class.
+    classes = stored(usable.select("node", F.col("doc").alias("rep"), "n", "bits", *_BITS).dropDuplicates(["node"]))
     named = rows.filter("text is not null and doc is not null")
-    shared = stored(_entries(named, size, threshold, levels).groupBy("token").count().filter("count > 1").select("token"))
-    only = _filter.build(shared, F.col("token"))
-    entries = _entries(named, size, threshold, levels, True, only)
-    entries = entries if only is not None else entries.join(shared, "token", "left_semi")
-    entries = stored(entries.dropDuplicates(["token", "node"]))
+    entries = usable.select(F.explode("tokens").alias("token"), "node", "pri", "n").dropDuplicates(["token", "node"])
+    entries = stored(entries.withColumn("n", F.col("n").cast("int")))
+
     lists = entries.groupBy("token").agg(F.min(F.struct("pri", "node")).alias("lead"), F.count("*").alias("k"))
     lists = stored(lists.filter("k > 1").select("token", F.col("lead.node").alias("lead")))
 
-    spark = docs.sparkSession
-    first = spark.createDataFrame([], "a long, b long")
+    asked = links = docs.sparkSession.createDataFrame([], "a binary, b binary")
     if not all_links:
         led = entries.select("token", "node").join(lists, "token").filter("node <> lead").groupBy("node", "lead").count()
         best = led.groupBy("node").agg(F.max(F.struct("count", "lead")).alias("m")).select("node", F.col("m.lead").alias("lead"))
-        tried = stored(best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-        first = _verified(tried, classes, named, size, threshold)
-        comps = components(first)
-        grouped = stored(classes.select("node", *_BITS).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        leads = lists.join(comps.select(F.col("node").alias("lead"), F.col("comp").alias("main")), "lead", "left").select("token", F.coalesce("main", "lead").alias("main"))
-    else:
-        grouped = classes.select("node", *_BITS, F.col("node").alias("comp"))
-        leads = lists.select("token", F.col("lead").alias("main"))
-    # Those outside the main component of a list, and, in lists that have such, all.
-    marked = entries.join(stored(leads), "token").join(grouped, "node")
+        asked = stored(best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+        links = _verified(asked, classes, named, size, threshold)
+    comps = components(links)
+    grouped = stored(classes.select("node", *_BITS).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    mains = lists.join(grouped.select(F.col("node").alias("lead"), F.col("comp").alias("main")), "lead").select("token", "main")
+    # Those outside the leader's component in a list and, in lists that have such, all.
+    marked = entries.join(stored(mains), "token").join(grouped, "node")
     odd = stored(marked.filter("comp <> main"))
-    open_lists = stored(odd.select("token").distinct())
-    every = stored(marked.join(open_lists, "token", "left_semi"))
+    every = stored(marked.join(stored(odd.select("token").distinct()), "token", "left_semi"))
     part, whole = threshold
     a, b = odd.alias("a"), every.alias("b")
     differ = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in _BITS[1:]), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
@@ -328,24 +333,19 @@ def join_documents(
     matches = F.least(F.col("a.pri") % MOST_MATCHES, F.col("b.pri") % MOST_MATCHES) + 1
     pairs = a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), matches.alias("needed"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).filter("shared >= needed").select("a", "b")
-    if not all_links:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    links = _verified(stored(pairs), classes, named, size, threshold)
-    return members, links if all_links else stored(first.unionByName(links))
+    more = _verified(stored(pairs.join(asked, ["a", "b"], "left_anti")), classes, named, size, threshold)
+    return members, links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_shingles and component_id, the smallest key that links reach (itself without any).
 
-    See `join_documents` for sets and links. A null key has a null component.
+    See `join_documents` for sets, links, and odd rows. A null key has a null component.
     """
     members, links = join_documents(docs, size, threshold, key, text)
-    classes = members.filter("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("rep"))
-    found = classes.join(components(links), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    found = stored(found)
-    least = stored(found.groupBy("comp").agg(F.min("rep").alias("least")))
-    named = stored(found.join(least, "comp").select("node", "least"))
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    out = members.join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("least"))).otherwise(F.col("doc"))
-    return out.select(F.col("doc").cast(kind).alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    linked = members.filter("node is not null and doc is not null")
+    linked = stored(linked.join(components(links), "node", "left").select("doc", "n", F.coalesce("comp", "node").alias("comp")))
+    least = stored(linked.groupBy("comp").agg(F.min("doc").alias("least")))
+    alone = members.filter("node is null or doc is null").select("doc", "n", F.col("doc").alias("least"))
+    out = linked.join(least, "comp").select("doc", "n", "least").unionByName(alone)
+    return out.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._arrow import map_slices, small_batches, taken
+from ._arrow import map_slices, taken
 
 WIDTHS, FILTERS, DIM, LENGTH = (2, 3, 4), 8, 8, 128
 UNKNOWN = "und"
+#: Labels that one network tells apart at most; more is an error.
+MOST_LABELS = 1000
 #: Documents of each label that train the model, and windows taken of each: the bounded sample.
 DOCUMENTS_PER_LABEL, WINDOWS_PER_DOCUMENT = 600, 6
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 11
@@ -125,18 +127,21 @@ def held_out(key: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = DOCUMENTS_PER_LABEL) -> Network:
     """Train on about `per_label` documents of each label, of those that have one and aren't held out.
 
-    They are picked by a hash of key and text; of each, windows spread evenly over its whole text come to the driver.
-    Without labelled documents the network has no label.
+    They are picked by a hash of key and text, equal rows once; of each, windows spread evenly over its whole text come
+    to the driver. Without labelled documents the network has no label; more than MOST_LABELS labels are an error.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     rows = rows.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
     labels = sorted(counts)
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"column {label} has more than {MOST_LABELS} values")
     if not labels:
         return train(np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), [])
     share = F.create_map(*(F.lit(v) for k in labels for v in (k, min(1.0, 1.3 * per_label / counts[k]))))
-    draw = F.pmod(F.xxhash64("key", "text", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("label")]).select("draw", "label", "text")
+    draw = F.xxhash64("key", "text", F.lit("language"))
+    place = F.pmod(draw, F.lit(1 << 20)) / float(1 << 20)
+    picked = rows.withColumn("draw", draw).filter(place < share[F.col("label")]).groupBy("draw", "label").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -146,8 +151,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
                 out.append(w[np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOCUMENT)).astype(int)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("label"), pa.array(out, pa.binary())], names=["draw", "label", "windows"])
 
-    # The limit binds only where a great many rows have the same key and text.
-    sample = small_batches(picked).mapInArrow(run, "draw double, label string, windows binary").limit(2 * per_label * len(labels) + 1000)
+    sample = picked.mapInArrow(run, "draw long, label string, windows binary")
     got = sorted((r["draw"], bytes(r["windows"]), r["label"]) for r in sample.collect())
     x, y, used = [], [], dict.fromkeys(labels, 0)
     for _, held, name in got:

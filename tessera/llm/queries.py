@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, decontaminate, jaccard_join, language_id, secrets, substring_dedup, transport_stream, url_filter
+from ._arrow import bound_batches
 from .oracles import ORACLES  # noqa: F401  the driver's entry reads it here
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,12 +17,13 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    shown = (F.round(c, 9).alias(c) for c in ("bad_mean", "bad_bound"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", *shown)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transport_stream.media_column(table(spark, sf_dir, "documents"), keep_media=False)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "access_points")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
