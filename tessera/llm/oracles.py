@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .url_filter import TWO_LABEL_SUFFIXES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -21,22 +23,26 @@ OP1 = rf"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
-h AS (SELECT host, sum(coalesce(n, 0)) AS n, sum(coalesce(bad, 0)) AS bad, array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:2]), '.') AS domain,
-  list_reverse(string_split(host, '.'))[1] AS suffix FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host),
+b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM p),
+g AS (SELECT name, sum(coalesce(n, 0)) AS n, sum(coalesce(bad, 0)) AS bad, list_reverse(string_split(name, '.')) AS x,
+  regexp_matches(name, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') OR starts_with(name, '[') AS address FROM b LEFT JOIN l ON doc_id = page_id GROUP BY name),
+k AS (SELECT *, CASE WHEN array_to_string(list_reverse(x[1:2]), '.') IN {TWO_LABEL_SUFFIXES} THEN 2 ELSE 1 END AS k FROM g),
+h AS (SELECT name, n, bad, CASE WHEN address THEN name ELSE array_to_string(list_reverse(x[1:k]), '.') END AS suffix,
+  CASE WHEN address THEN name ELSE array_to_string(list_reverse(x[1:k + 1]), '.') END AS domain FROM k),
 d AS (SELECT domain, suffix, sum(n) AS dn, sum(bad) AS dbad FROM h GROUP BY 1, 2),
 s AS (SELECT suffix, sum(dn) AS sn, sum(dbad) AS sbad FROM d GROUP BY 1),
 {_strength("s", "sn", "sbad", "ss")}, {_strength("d", "dn", "dbad", "dd")}, {_strength("h", "n", "bad", "hh")},
 sm AS (SELECT suffix, (sbad + ss_k.k * ss_k.p) / (sn + ss_k.k) AS m FROM s, ss_k),
 dm AS (SELECT domain, (dbad + dd_k.k * sm.m) / (dn + dd_k.k) AS m FROM d JOIN sm USING (suffix), dd_k),
-hm AS (SELECT host, (bad + hh_k.k * dm.m) / (n + hh_k.k) AS m, n + hh_k.k AS total FROM h JOIN dm USING (domain), hh_k),
-r AS (SELECT p.*, m - 1.645 * sqrt(m * (1 - m) / (total + 1)) AS bound,
+hm AS (SELECT name, (bad + hh_k.k * dm.m) / (n + hh_k.k) AS m, n + hh_k.k AS total FROM h JOIN dm USING (domain), hh_k),
+r AS (SELECT b.*, m, m - 1.645 * sqrt(m * (1 - m) / (total + 1)) AS bound,
   CASE WHEN (host = 'example.net' OR suffix_net) AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (host = 'example.com' OR suffix_com) AND starts_with(path, '/de/') THEN 'example.com/de/'
        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM (SELECT *, ends_with(host, '.example.net') AS suffix_net, ends_with(host, '.example.com') AS suffix_com FROM p) p JOIN hm USING (host))
+  FROM (SELECT *, ends_with(host, '.example.net') AS suffix_net, ends_with(host, '.example.com') AS suffix_com FROM b) b JOIN hm USING (name))
 SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
-  ELSE CASE WHEN bound > 0.3 THEN 'block' ELSE 'allow' END END AS verdict FROM r
+  ELSE CASE WHEN bound > 0.3 THEN 'block' ELSE 'allow' END END AS verdict, round(m, 9) AS bad_mean, round(bound, 9) AS bad_bound FROM r
 """
 
 OP5 = rf"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.storage import stored
 
-# Public suffixes of two labels, below which one registers a name; all other suffixes count as one label.
+# Public suffixes of two labels, below which one registers a name; a last label alone is always one.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "org.uk")
 
 #: Rules are written into the plan as one expression; a longer list belongs in a table, to be joined by host.
@@ -28,17 +28,31 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -2)).otherwise(
-        F.substring_index(host, ".", -1)
-    )
+def name_of(host: Column) -> Column:
+    """A host without what may stand before `@` and without a port: what reputations go by."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: one label more than the suffix."""
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(
-        F.substring_index(host, ".", -2)
-    )
+def is_address(name: Column) -> Column:
+    """Whether a name is an IP address, which no domain is registered for: four numbers, or anything in brackets."""
+    return name.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") | name.startswith("[")
+
+
+def with_domains(names: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Add `suffix` and `domain` to distinct hosts (name): the longest public suffix, and one label more.
+
+    `suffixes` (suffix) lists the suffixes of several labels; where none fits, the last label is the suffix. An
+    address is its own suffix and domain. The list is joined by the hosts' tails of up to as many labels as it has.
+    """
+    known = suffixes.filter("suffix is not null").select(F.lower("suffix").alias("tail")).distinct()
+    most = known.agg(F.max(F.size(F.split("tail", r"\.")))).first()[0] or 1
+    labels = F.size(F.split("name", r"\."))
+    tails = names.filter(~is_address(F.col("name"))).select("name", F.explode(F.sequence(F.lit(1), F.least(labels, F.lit(most)))).alias("k"))
+    tails = tails.withColumn("tail", F.call_function("substring_index", F.col("name"), F.lit("."), -F.col("k")))
+    found = tails.join(known, "tail").groupBy("name").agg(F.max("k").alias("k"))
+    k = F.coalesce("k", F.lit(1))
+    tail = lambda n: F.when(is_address(F.col("name")), F.col("name")).otherwise(F.call_function("substring_index", F.col("name"), F.lit("."), -n))
+    return names.join(found, "name", "left").withColumns({"suffix": tail(k), "domain": tail(k + 1)}).drop("k")
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -73,20 +87,21 @@ def _strength(stats: DataFrame) -> tuple[float, float]:
     return p, 1 / rho - 1
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: DataFrame, z: float = 1.645) -> DataFrame:
     """Posterior share of bad pages by host.
 
-    `outcomes`: rows (host, n, bad) with labelled counts, hosts without a label included (n = 0). The share of a
+    `outcomes`: rows (host, n, bad) with labelled counts, hosts without a label included (n = 0); `suffixes`: public
+    suffixes (see `with_domains`). Hosts are taken by their names, without user and port. The share of a
     suffix is shrunk towards that of all pages, a registered domain's towards its suffix's, and a host's towards
-    its domain's, each with a beta prior whose strength is estimated from that level's groups. Returns host, n,
+    its domain's, each with a beta prior whose strength is estimated from that level's groups. Returns name, n,
     bad, mean and bound: the posterior mean less z posterior standard deviations.
 
     Only three rows of sums come to the driver. Counts are summed before any shuffle, so a host or suffix with
     most of all pages is one row by task. Without labels every mean is 0.
     """
-    hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = outcomes.groupBy(name_of(F.col("host")).alias("name")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Stored tables keep the joins plain, so that Spark can split a host or domain that holds most of the rows.
-    hosts = stored(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = stored(with_domains(stored(hosts), suffixes))
     domains = stored(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
     mean, k_suffix = _strength(suffixes.select(F.col("sn").alias("n"), F.col("sbad").alias("bad")))
@@ -98,8 +113,8 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     total = F.col("n") + F.lit(k_host)
     return (
         hosts.join(domains, "domain")
-        .select("host", "n", "bad", (a / total).alias("mean"), total.alias("total"))
-        .select("host", "n", "bad", "mean", (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1))).alias("bound"))
+        .select("name", "n", "bad", (a / total).alias("mean"), total.alias("total"))
+        .select("name", "n", "bad", "mean", (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1))).alias("bound"))
     )
 
 
@@ -112,11 +127,13 @@ def filter_urls(
     key: str = "page_id",
     url: str = "url",
     label_key: str = "doc_id",
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """Judge every page's URL: by the longest list rule that fits, else by its host's reputation.
 
     `labels` has page outcomes (label_key, quality 0/1, toxic 0/1); a page is bad if its quality is 0 or it is
-    toxic. A host is blocked when the posterior bound of its share of bad pages exceeds `most_bad`.
+    toxic. A host is blocked when the posterior bound of its share of bad pages exceeds `most_bad`. `suffixes` (suffix)
+    is a public suffix list; by default there are only TWO_LABEL_SUFFIXES and last labels.
 
     Returns key, host, path, rule, verdict, bad_mean and bad_bound, one row for each row of pages. A null URL or
     one without `://` has an empty host and path, no rule, and the reputation of the empty host. Labels that are
@@ -130,8 +147,10 @@ def filter_urls(
     # One row by page, so that repeated labels don't repeat pages.
     known = known.groupBy(F.col(label_key).alias("key")).agg(F.count("*").alias("n"), F.sum(bad).alias("bad"))
     outcomes = seen.join(known, "key", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    reputation = host_reputation(outcomes, z).select("host", F.col("mean").alias("bad_mean"), F.col("bound").alias("bad_bound"))
+    if suffixes is None:
+        suffixes = pages.sparkSession.createDataFrame([(s,) for s in TWO_LABEL_SUFFIXES], "suffix string")
+    reputation = host_reputation(outcomes, suffixes, z).select("name", F.col("mean").alias("bad_mean"), F.col("bound").alias("bad_bound"))
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = seen.join(stored(reputation), "host", "left").withColumns({"rule": rule, "says": says})
+    judged = seen.withColumn("name", name_of(F.col("host"))).join(stored(reputation), "name", "left").withColumns({"rule": rule, "says": says})
     verdict = F.coalesce("says", F.when(F.col("bad_bound") > most_bad, "block").otherwise("allow"))
     return judged.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "bad_mean", "bad_bound")
