@@ -50,6 +50,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Sorted spans as ranges that don't overlap: nested and overlapping ones together."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def transitions(strings: list[str]) -> np.ndarray:
     """Counts of character pairs, each string with its start."""
     counts = np.zeros(_SIZE * _SIZE, np.int64)
@@ -98,9 +109,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts = [np.zeros(_SIZE * _SIZE, np.int64), np.zeros(_SIZE * _SIZE, np.int64)]
             for t in pc.fill_null(batch.column(1), "").to_pylist():
-                spans = base_spans(t)
-                counts[1] += transitions([r for a, b, _ in spans for r in ORDINARY.findall(t[a:b]) if len(r) >= 16])
-                ends = [0, *(x for a, b, _ in spans for x in (a, b)), len(t)]
+                spans = apart(base_spans(t))
+                counts[1] += transitions([r for a, b in spans for r in ORDINARY.findall(t[a:b]) if len(r) >= 16])
+                ends = [0, *(x for span in spans for x in span), len(t)]
                 counts[0] += transitions([r for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b for r in ORDINARY.findall(t[a:b])])
             where = [np.flatnonzero(c) for c in counts]
             return pa.RecordBatch.from_arrays(
@@ -134,10 +145,9 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]") -> str:
     """The text with each span (overlapping ones together) replaced by a mark."""
     out, at = [], 0
-    for a, b, _ in spans:
-        if a >= at:
-            out += [text[at:a], mark]
-        at = max(at, b)
+    for a, b in apart(spans):
+        out += [text[at:a], mark]
+        at = b
     return "".join([*out, text[at:]])
 
 
