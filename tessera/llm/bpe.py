@@ -27,7 +27,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 #: Words remembered per task. Beyond it the memory is emptied and filled again; results do not depend on it.
 CACHE_WORDS = 100_000
-#: Words of more symbols than this are merged one at a time, rank by rank, instead of in a ragged batch.
+#: Failing or counted words of more symbols than this are merged one at a time: rank by rank as well, all places of a
+#: rank together, but from lists of places, since a pass over a very long word for each of its ranks is far slower.
 LONG_WORD = 2048
 _SHIFT = 20
 _NONE = np.int32(2**31 - 1)
@@ -98,7 +99,7 @@ class ByteBPE:
         old = SPLIT.replace(r" ?\p{L}+", rf" ?(?:(?![{new}])\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?![{new}])\p{{N}})+")
         self.split_old = regex.compile(old.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])+"))
         self._ranks: dict[int, int] | None = None
-        self._greedy: tuple[dict[bytes, int], int] | None = None
+        self._greedy: tuple[dict[bytes, int], dict[bytes, int]] | None = None
 
     def words(self, text: str) -> tuple[list[str], list[int]]:
         """The pre-tokens of a text; a special string's id comes as the (negative) place in the second list."""
@@ -210,14 +211,17 @@ class ByteBPE:
             first = np.cumsum(n) - n
             fits = (n == 1) & (sym[first] == np.array([i for _, i in own]))
             table = {b: i for (b, i), ok in zip(own, fits.tolist(), strict=True) if ok}
-            self._greedy = table, max(map(len, table))
-        table, longest = self._greedy
+            reach: dict[bytes, int] = {}  # the longest token by its first two bytes
+            for b in table:
+                reach[b[:2]] = max(reach.get(b[:2], 1), len(b))
+            self._greedy = table, reach
+        table, reach = self._greedy
         flat: list[int] = []
         lens = np.zeros(len(words), np.int64)
         for k, w in enumerate(words):
             i, n, before = 0, len(w), len(flat)
             while i < n:
-                j = min(n, i + longest)
+                j = min(n, i + reach.get(w[i : i + 2], 1))
                 while (t := table.get(w[i:j])) is None:
                     j -= 1
                 flat.append(t)
@@ -252,30 +256,26 @@ class ByteBPE:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
-        long = {i for i, w in enumerate(words) if len(w) > LONG_WORD}
-        short = [w for i, w in enumerate(words) if i not in long]
-        ids, lens = self.greedy(short)
+        ids, lens = self.greedy(words)
         ends = np.cumsum(lens)
         inner = np.ones(len(ids), bool)
         inner[ends - 1] = False
         seam = np.flatnonzero(inner)
         broken = seam[~self.compatible(ids[seam], ids[seam + 1])]
-        failing = np.unique(np.searchsorted(ends, broken, "right"))
+        failing = np.unique(np.searchsorted(ends, broken, "right")).tolist()
         packed = ids.astype("<u4").tobytes()
         cuts = (4 * np.append(0, ends)).tolist()
         out = [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        if len(failing):
-            sym, n = self.merge(*self.symbols([short[i] for i in failing.tolist()]))
+        short = [i for i in failing if len(words[i]) <= LONG_WORD]
+        if short:
+            sym, n = self.merge(*self.symbols([words[i] for i in short]))
             packed, cuts = sym.astype("<u4").tobytes(), (4 * np.append(0, np.cumsum(n))).tolist()
-            for k, i in enumerate(failing.tolist()):
+            for k, i in enumerate(short):
                 out[i] = packed[cuts[k] : cuts[k + 1]]
-        if not long:
-            return out
-        rest = iter(out)
-        return [
-            np.array(self.merge_long(self.symbols([w])[0]), "<u4").tobytes() if i in long else next(rest)
-            for i, w in enumerate(words)
-        ]
+        for i in failing:
+            if len(words[i]) > LONG_WORD:
+                out[i] = np.array(self.merge_long(self.symbols([words[i]])[0]), "<u4").tobytes()
+        return out
 
     def count_words(self, words: list[bytes]) -> list[int]:
         """The number of tokens of each word."""
