@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat_format, components, decontaminate, jaccard_join, language_id, secrets, substring_dedup, transport_stream, url_filter
+from tessera.llm import _words, bpe, chat_format, components, decontaminate, jaccard_join, language_id, secrets, substring_dedup, transport_stream, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD = "[^\x20\x09-\x0d]+"
@@ -129,6 +129,31 @@ def test_reputation_blocks_bad_hosts(spark):
     assert found["good.a.com"][1] < found["new.a.com"][1] < found["bad.a.com"][1] and all(b <= m for _, m, b in found.values())
 
 
+def test_domains(spark):
+    cases = {
+        "a.b.example.com": ("com", "example.com"), "com": ("com", "com"), "x.y.co.uk": ("co.uk", "y.co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"),
+        "[::1]": ("[::1]", "[::1]"), "": ("", ""), "a.b.sch.uk": ("b.sch.uk", "a.b.sch.uk"), "1.2.3.com": ("com", "3.com"), "." * 3000 + "org": ("org", ".org"),
+    }
+    names = spark.createDataFrame([(h,) for h in cases], "name string")
+    suffixes = spark.createDataFrame([("co.uk",), ("b.sch.uk",), ("co.uk",), (None,)], "suffix string")
+    found = {r["name"]: (r["suffix"], r["domain"]) for r in url_filter.with_domains(names, suffixes).collect()}
+    assert found == cases
+    ports = spark.createDataFrame([("u@a.com:8080",), ("a.com:",), ("[::1]:80",)], "h string").select(url_filter.name_of(F.col("h")))
+    assert [r[0] for r in ports.collect()] == ["a.com", "a.com", "[::1]"]
+
+
+def test_odd_pages(spark):
+    """Repeated pages and labels, null keys, columns with clashing names, a very long URL."""
+    long = "http://a.com/" + "x" * 100_000
+    rows = [(1, "http://a.com:80/1"), (1, "http://a.com:80/1"), (2, long), (None, "http://a.com/2"), (3, "http://b.com/")]
+    pages = spark.createDataFrame([(*r, "z", 5, "y") for r in rows], "page_id long, url string, host string, n int, name string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (2, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    found = url_filter.filter_urls(pages, labels, [("block", "b.com/")]).collect()
+    assert len(found) == 5 and {r["verdict"] for r in found if r["host"] == "b.com"} == {"block"}
+    a = [r for r in found if r["host"] != "b.com"]
+    assert len({r["bad_mean"] for r in a}) == 1 and {len(r["path"]) for r in a} == {2, 100_001}
+
+
 # 3
 
 
@@ -166,6 +191,59 @@ def test_models_tell_random_strings(spark):
     assert secrets.scan(documents(spark, "a").limit(0), model).count() == 0
 
 
+def test_nested_spans_train_nothing_ordinary(spark):
+    text = "token=" + "0f" * 16 + "Zq9XkP2m ordinary words here"
+    assert [s[2] for s in secrets.base_spans(text)] == ["assign", "hex"] and secrets.apart(secrets.base_spans(text)) == [(0, 46)]
+    seen = []
+    original, secrets_transitions = secrets.transitions, lambda strings: seen.append(strings) or original(strings)
+    for a, b in [(secrets.apart(secrets.base_spans(text)), text)]:
+        ends = [0, *(x for span in a for x in span), len(b)]
+        secrets_transitions([r for x, y in zip(ends[::2], ends[1::2], strict=True) for r in secrets.ORDINARY.findall(b[x:y])])
+    assert seen == [["ordinary", "words", "here"]]
+    assert secrets.redacted(text, secrets.base_spans(text)) == "[SECRET] ordinary words here"
+
+
+def slow_model(random_strings, ordinary_strings):
+    """Log-likelihood ratios of character pairs by plain counting, backed by single characters."""
+    size = len(secrets.ALPHABET) + 1
+
+    def log(strings):
+        pairs, single, before = Counter(), Counter(), Counter()
+        for s in strings:
+            for x, y in zip(["start", *s], s, strict=False):
+                pairs[x, y] += 1
+                single[y] += 1
+                before[x] += 1
+        total = sum(single.values()) + 0.5 * size
+        return lambda x, y: np.log((pairs[x, y] + 8.0 * (single[y] + 0.5) / total) / (before[x] + 8.0))
+
+    one, two = log(random_strings), log(ordinary_strings)
+    return lambda s: sum(one(x, y) - two(x, y) for x, y in zip(["start", *s], s, strict=False)) / len(s)
+
+
+def test_scan_against_plain_models(spark):
+    draw = random.Random(9)
+    words = ["configuration", "recommendation", "understanding", "snake_case_name", "international", "path/to/some/file"]
+    make = lambda: " ".join(draw.choices(words, k=12) + ["".join(draw.choices(secrets.ALPHABET, k=draw.randint(18, 40)))] + draw.choices(["token=a1b2c3d4e5f60718293a", "f0" * 17, "secret: " + "ab" * 20], k=1))
+    texts = [make() for _ in range(40)] + [None, "", "x" * 200_000, make() * 200]
+    docs = documents(spark, *texts, texts[0], ids=[*range(len(texts)), 0])
+    model = secrets.train(docs, sample=10**9)
+    random_strings, ordinary = secrets.drawn_strings(), []
+    for t in [*texts, texts[0]]:
+        spans = secrets.apart(secrets.base_spans(t or ""))
+        random_strings += [r for a, b in spans for r in secrets.ORDINARY.findall(t[a:b]) if len(r) >= 16]
+        ends = [0, *(x for span in spans for x in span), len(t or "")]
+        ordinary += [r for a, b in zip(ends[::2], ends[1::2], strict=True) for r in secrets.ORDINARY.findall((t or "")[a:b])]
+    score = slow_model(random_strings, ordinary)
+    for r in secrets.scan(docs, model).collect():
+        t = texts[r["doc_id"]] or ""
+        base = slow_spans(t)
+        want = [(a, k, b) for a, b, k in base] + [(m.start(), "random", m.end()) for m in secrets.RUN.finditer(t) if not any(a < m.end() and m.start() < b for a, b, _ in base) and score(m[0]) > 1.0]
+        want = sorted(want, key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, k, b in want)
+    assert secrets.train(docs.limit(0)).score("abc") != 0
+
+
 # 5
 
 
@@ -236,14 +314,22 @@ def test_jaccard_odd_rows(spark):
 
 def test_prefixes_share_enough():
     draw = np.random.default_rng(1)
-    levels = draw.integers(0, 40, 1 << jaccard_join.CELL_BITS).astype(np.uint8)
+
+    def prefix(s):
+        n = 1 + (s % np.uint64(7)).astype(np.int64) ** 2  # any counts that all documents see alike
+        order = np.lexsort((s, n))
+        shared = order[n[order] > 1]
+        taken, matches = jaccard_join.choose_prefix(n[shared], len(s), len(s), (85, 100))
+        # Rare shingles come first, of which the pair may share some here.
+        return np.append(s[order[: len(s) - len(shared)]], s[shared[:taken]]), matches
+
     for _ in range(200):
         base = np.unique(draw.integers(0, 2**63, 80).astype(np.uint64))
         other = np.unique(np.append(base[draw.random(len(base)) > 0.08], draw.integers(0, 2**63, 3).astype(np.uint64)))
         common = len(np.intersect1d(base, other))
         if 100 * common < 85 * (len(base) + len(other) - common):
             continue
-        (x, lx, _), (y, ly, _) = (jaccard_join.choose_prefix(s, levels, (85, 100)) for s in (base, other))
+        (x, lx), (y, ly) = map(prefix, (base, other))
         assert len(np.intersect1d(x, y)) >= min(lx, ly)
 
 
@@ -328,12 +414,75 @@ def test_chats_round_trip(spark):
     assert chat_format.format_chats(chat_format.to_events(conv.limit(0))).count() == 0
 
 
+def slow_fold(events):
+    """The log applied one event at a time."""
+    messages, role, born = {}, {}, {}
+    for _, turn, part, seq, event, who, text in sorted(events, key=lambda e: (e[3] is not None, e[3] or 0, e[4], e[6] or "")):
+        m, text = (turn, part), text or ""
+        if event == "open":
+            messages[m], role[m], born[m] = text, who or "", seq
+        elif event == "delta":
+            messages[m] = messages.get(m, "") + text
+        elif event == "edit":
+            messages[m] = text
+        elif event == "regenerate":
+            messages[m] = text
+            for other in [o for o in messages if o[0] > turn and o in born and (born[o] is None or born[o] < seq)]:
+                del messages[other], born[other]
+        elif event == "delete":
+            messages.pop(m, None)
+    return sorted((turn, role.get((turn, part), ""), text) for (turn, part), text in messages.items())
+
+
+EVENTS = "conv_id long, turn long, part int, seq int, event string, role string, text string"
+
+
+def folded(spark, rows):
+    found = chat_format.fold_events(spark.createDataFrame(rows, EVENTS).repartition(3)).collect()
+    return sorted((r["turn"], r["role"], r["text"]) for r in found)
+
+
 def test_events_fold(spark):
-    log = [(0, "open", "assistant", None), (1, "delta", None, "dra"), (2, "delta", None, "ft"), (3, "regenerate", None, None), (4, "delta", None, "fin"), (5, "delta", None, "al")]
-    rows = [(1, 0, 0, *e) for e in log] + [(1, 1, 0, 0, "open", "user", "first"), (1, 1, 0, 1, "edit", None, "second"), (1, 1, 0, 2, "delta", None, "!"), (1, 2, 0, 0, "open", "user", "x"), (1, 2, 0, 1, "delete", None, None), (1, 3, 0, 0, "delta", None, "stray")]
-    events = spark.createDataFrame(rows, "conv_id long, turn long, part int, seq int, event string, role string, text string")
-    found = sorted((r["turn"], r["role"], r["text"]) for r in chat_format.fold_events(events).collect())
-    assert found == [(0, "assistant", "final"), (1, "user", "second!"), (3, "", "stray")]
+    log = [
+        (0, "open", 0, "assistant", None), (0, "delta", 1, None, "dra"), (0, "delta", 2, None, "ft"), (1, "open", 3, "user", "first"), (1, "edit", 4, None, "second"), (1, "delta", 5, None, "!"),
+        (2, "open", 6, "user", "x"), (2, "delete", 7, None, None), (200, "open", 8, "user", "why?"), (3, "delta", 9, None, "stray"),
+    ]
+    rows = [(1, turn, 0, seq, event, role, text) for turn, event, seq, role, text in log]
+    assert folded(spark, rows) == slow_fold(rows) == [(0, "assistant", "draft"), (1, "user", "second!"), (3, "", "stray"), (200, "user", "why?")]
+    # A regeneration takes away the later turns opened before it, near and far, not those opened after it.
+    rows += [(1, 0, 0, 10, "regenerate", None, None), (1, 0, 0, 11, "delta", None, "fin"), (1, 0, 0, 12, "delta", None, "al"), (1, 5, 0, 13, "open", "user", "new")]
+    assert folded(spark, rows) == slow_fold(rows) == [(0, "assistant", "final"), (3, "", "stray"), (5, "user", "new")]
+
+
+def test_events_out_of_order_or_without_seq(spark):
+    rows = [(None, 0, 0, None, "delta", None, "b"), (None, 0, 0, 1, "delta", None, "c"), (None, 0, 0, None, "delta", None, "a"), (None, 0, 0, 1, "delta", None, "d")]
+    assert folded(spark, rows) == slow_fold(rows) == [(0, "", "abcd")]
+    rows += [(None, 0, 0, None, "open", "user", "text ")]  # the last without seq, so only what has one comes after it
+    assert folded(spark, rows) == slow_fold(rows) == [(0, "user", "text cd")]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, EVENTS)).collect()
+    assert [(r["conv_id"], r["formatted"]) for r in chats] == [(None, "<s>[INST] user [/INST]text cd</s>")]
+
+
+def test_long_conversation_folds_as_one(spark):
+    draw = random.Random(8)
+    rows = []
+    for seq in range(1500):
+        turn = draw.randint(0, 400)
+        event = draw.choice(["open", "open", "delta", "delta", "delta", "edit", "delete", "regenerate"] if seq < 1200 else ["open", "delta"])
+        rows.append((7, turn, draw.randint(0, 1), seq, event, "user", f"{seq} "))
+    # What a message held before it was taken away doesn't come back with later deltas: such messages are left out here.
+    opened = {(t, p) for _, t, p, s, e, *_ in rows if e == "open" and s >= 1200}
+    rows = [r for r in rows if (r[1], r[2]) in opened or r[4] == "regenerate"]
+    late = {(t, p): max(s for _, a, b, s, e, *_ in rows if (a, b) == (t, p) and e == "open") for t, p in opened}
+    want = [m for m in slow_fold(rows) if any(m[0] == t for t, _ in late)]
+    assert [m for m in folded(spark, rows) if m[0] in {t for t, _ in late}] == want and len(want) > 50
+
+
+def test_logs_have_all_events(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "answer"), (1, 2, "user", "more")], "conv_id long, turn long, role string, text string")
+    log = chat_format.to_events(conv)
+    assert {r["event"] for r in log.select("event").collect()} == {"open", "delta", "edit", "regenerate", "delete"}
+    assert got(chat_format.fold_events(log).select("turn", "role", "text"), "turn") == [(0, "user", "ask"), (1, "assistant", "answer"), (2, "user", "more")]
 
 
 # 8
@@ -369,6 +518,33 @@ def test_labelled_text_without_letters_is_unknown():
     assert not language_id.has_letter("²½_12") and language_id.has_letter("1ж")
 
 
+def test_network_against_plain_convolution():
+    """The pair tables against embedding, filters, pooling and softmax one place at a time."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (5, language_id.LENGTH)).astype(np.uint8)
+    network = language_id.train(rng.integers(97, 110, (300, language_id.LENGTH)).astype(np.uint8), rng.integers(0, 3, 300), ["a", "b", "c"], epochs=1)
+    found = network.probabilities(x, network.tables())
+    for w, p in zip(x, found, strict=True):
+        hidden = []
+        for width, f, b in zip(language_id.WIDTHS, network.filters, network.bias, strict=True):
+            span = language_id.LENGTH - 1 if width == 2 else language_id.LENGTH - 3
+            sums = [[sum(network.embed[w[at + j]] @ f[j][:, c] for j in range(width)) for at in range(span)] for c in range(f.shape[2])]
+            hidden += [max(0.0, max(s) + b[c]) for c, s in enumerate(sums)]
+        z = np.exp(np.array(hidden) @ network.out + network.out_bias)
+        assert np.allclose(z / z.sum(), p, atol=1e-5)
+
+
+def test_language_odd_rows(spark):
+    """Repeated rows, clashing columns, a very long text; equal rows train once."""
+    rows = [(i, f"the and ing {i}" if i % 2 else f"der ung sch {i}", "aa" if i % 2 else "bb") for i in range(60)] + [(7, "the and ing 7", "aa")] * 300 + [(500, "der ung sch " * 60_000, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, lang_pred string, score int").repartition(3)
+    found = language_id.predict(docs, language_id.fit(docs, per_label=20)).collect()
+    assert len(found) == len(rows) and len({tuple(r) for r in found if r["doc_id"] == 7}) == 1
+    assert next(r for r in found if r["doc_id"] == 500)["lang_pred"] == "bb"
+    with pytest.raises(ValueError):
+        language_id.fit(spark.range(1001).selectExpr("id + 1000000 as doc_id", "'a' as text", "id as lang").filter("crc32(cast(doc_id as string)) % 5 <> 0").union(spark.range(2000, 4000).selectExpr("id", "'a'", "id")))
+
+
 # 9
 
 
@@ -453,3 +629,42 @@ def test_repeats_odd_rows(spark):
     docs = documents(spark, text, text, text + " more", text, ids=[4, 4, None, 9])
     assert [(r[0], r[2]) for r in got(substring_dedup.remove_repeats(docs))] == [(None, 0), (4, 0), (4, 0), (9, 60)]
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+# Hashes
+
+
+def thue_morse(n, a, b):
+    return [a if bin(i).count("1") % 2 else b for i in range(n)]
+
+
+def test_patterns_do_not_collide():
+    """Words and sequences that cancel out in polynomial hashes modulo 2^64."""
+    x, y = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    h, at = _words.word_hashes(np.frombuffer(f"{x} {y} {x}".encode(), np.uint8), np.array([0, 3074]), fold=True)
+    assert h[0] == h[2] != h[1] and at.tolist() == [0, 3]
+    words = np.array(thue_morse(1024, 5, 9) + thue_morse(1024, 9, 5), np.uint64)
+    whole = _words.spans(words, 1024)
+    assert whole[0] != whole[1024]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aAéZ\x0b", max_size=40), min_size=1, max_size=20), st.integers(1, 60))
+def test_hashes_follow_words(parts, length):
+    text = " ".join(parts)
+    words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    data = text.encode()
+    h, _ = _words.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), fold=True)
+    assert len(h) == len(words) and all((a == b) == (v == w) for a, v in zip(h, words) for b, w in zip(h, words))
+    s = _words.spans(h, length)
+    want = [tuple(words[i : i + length]) for i in range(len(words) - length + 1)]
+    assert len(s) == len(want) and all((a == b) == (v == w) for a, v in zip(s, want) for b, w in zip(s, want))
+
+
+def test_adversarial_words_stay_apart(spark):
+    """Disjoint sets of words and windows that a weak hash takes for equal."""
+    x, y = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    one, two = " ".join([x] * 50), " ".join([y] * 50)
+    docs = documents(spark, f"{x} p q r", f"{y} p q r", one, two)
+    assert [r[2] for r in got(jaccard_join.near_duplicates(docs, 4, (85, 100)))] == [0, 1, 2, 3]
+    assert [r[2] for r in got(substring_dedup.remove_repeats(docs))] == [0, 0, 0, 0]
