@@ -140,17 +140,107 @@ def _pair_keys(firsts: DataFrame) -> DataFrame:
     return firsts.select("context", "first").mapInArrow(run, "h long")
 
 
+def _extended(words: list[bytes], others: list[bytes], seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """The maximal ranges of `words` that hold a window of a seed and occur in `others`; seeds come sorted.
+
+    Each seed's windows are looked up among the other text's by hash, compared word for word, and extended both ways
+    as far as the words agree.
+    """
+    h, g = (_words.word_hashes(np.frombuffer(t, np.uint8), np.array([0, len(t)]), fold=False)[0] for t in (b" ".join(words), b" ".join(others)))
+    mine, theirs = _words.spans(h, window), _words.spans(g, window)
+    order = np.argsort(theirs, kind="stable")
+    ranked = theirs[order]
+    out: list[tuple[int, int]] = []
+    for start, end in seeds:
+        at = start
+        while at + window <= end:
+            if out and out[-1][0] <= at and at + window <= out[-1][1]:
+                at = out[-1][1] - window + 1
+                continue
+            found = None
+            for k in range(int(np.searchsorted(ranked, mine[at])), len(ranked)):
+                q = int(order[k])
+                if ranked[k] != mine[at]:
+                    break
+                if words[at : at + window] == others[q : q + window]:
+                    found = q
+                    break
+            if found is None:
+                at += 1
+                continue
+            i, j, left, right = at, found, at + window, found + window
+            while i and j and words[i - 1] == others[j - 1]:
+                i, j = i - 1, j - 1
+            while left < len(words) and right < len(others) and words[left] == others[right]:
+                left, right = left + 1, right + 1
+            out.append((i, left))
+            at = left - window + 1
+    return out
+
+
+def _slices(rows: DataFrame) -> DataFrame:
+    """Of rows (doc, body, first, seeds, text) the words from the first seed to the last, and where they start."""
+
+    def run(batches):
+        for batch in batches:
+            texts, starts = [], []
+            for seeds, t in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+                start = seeds[0]["start"]
+                texts.append(b" ".join(t.as_py().encode().split()[start : max(s["end"] for s in seeds)]).decode())
+                starts.append(start)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(starts, pa.int32()), pa.array(texts, pa.string())], names=["doc", "body", "first", "seeds", "begin", "part"])
+
+    return rows.mapInArrow(run, "doc long, body long, first long, seeds array<struct<start:int,end:int>>, begin int, part string")
+
+
+def _by_pairs(rows: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
+    """Rows (doc, body, start, end): the seeds (doc, body, first, start, end), extended in pairs of texts."""
+    pairs = stored(seeds.groupBy("doc", "body", "first").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("seeds")))
+
+    def only(key: str) -> DataFrame:
+        wanted = pairs.select(F.col(key).alias("doc")).distinct()
+        held = _filter.build(wanted, F.xxhash64("doc"))
+        if held is None:
+            return rows.join(stored(wanted), "doc", "left_semi")
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_filter.contains(held.value, batch.column(0).to_numpy()))).select([1, 2, 3])
+
+        return rows.select(F.xxhash64("doc"), "doc", "body", "text").mapInArrow(run, "doc long, body long, text string")
+
+    mine = _slices(only("doc").join(pairs, ["doc", "body"]).select("doc", "body", "first", "seeds", "text"))
+    both = mine.join(only("first").select(F.col("doc").alias("first"), F.col("text").alias("other")), "first").select("doc", "body", "seeds", "begin", "part", "other")
+
+    def run(batches):
+        for batch in batches:
+            at, starts, ends = [], [], []
+            for k, (seeds_, begin, part, other) in enumerate(zip(*(batch.column(i) for i in range(2, 6)), strict=True)):
+                begin = begin.as_py()
+                ranges = [(s["start"] - begin, s["end"] - begin) for s in seeds_.as_py()]
+                for a, b in _extended(part.as_py().encode().split(), other.as_py().encode().split(), ranges, window):
+                    at.append(k)
+                    starts.append(a + begin)
+                    ends.append(b + begin)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc", "body", "start", "end"])
+
+    return both.mapInArrow(run, "doc long, body long, start int, end int")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Maximal ranges of words (doc, body, spans of start and end) that also occur in a document with a smaller key.
 
     A range is covered by windows of `window` words whose sequence starts in a smaller document as well; `body`
     (a hash of the text) tells apart rows that share a key.
 
-    Seeds are winnowed grams: documents that share a window share its anchor. A seed is extended both ways to the
-    words of all windows that chose it, and a run whose whole context occurs in a smaller document is a repeat as
-    it stands. What is left are the first runs of their context whose anchor occurs with other contexts: these
-    alone are compared window by window. Every step groups by hashes with sums made before the shuffle, or joins
-    rows to one row by key, so groups of copies cost a row each and never meet in pairs.
+    Seeds are winnowed grams: documents that share a window share its anchor. Around an anchor stand the words of all
+    windows that chose it, its context, and a run whose whole context occurs in a smaller document has the first such
+    document as its partner. What is left are the first runs of their context whose anchor occurs with other
+    contexts: these alone look for a partner window by window. So each seed has one partner, however many documents
+    share it: steps group by hashes with sums made before the shuffle, or join rows to one row by key, and groups of
+    copies cost a row each and never meet in pairs. At last each document is joined with its partners, and seeds are
+    extended both ways by comparing the words themselves: hashes only propose, and nothing is removed by them.
     """
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text")
@@ -169,13 +259,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str =
         _seeds(rows, window, gram, shared)
         .join(again, "context")
         .filter("doc > first")
-        .select("doc", "body", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
+        .select("doc", "body", "first", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
     )
     firsts = _filter.build(stored(_pair_keys(both)), F.col("h"))
     seen = stored(_windows(rows, window, gram, firsts) if firsts is not None else _windows_of(rows, window, gram, both))
     least = seen.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    part = seen.join(stored(least.select("window", "first")), "window").filter("doc > first").select("doc", "body", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    return whole.unionByName(part).groupBy("doc", "body").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    part = seen.join(stored(least.select("window", "first")), "window").filter("doc > first").select("doc", "body", "first", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    return _by_pairs(rows, whole.unionByName(part), window).groupBy("doc", "body").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -183,7 +273,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
 
     Kept words are joined by one space. Windows are judged on the input, so the first document with a passage
     keeps it; within one document repeats stay. A null text has no words, a null key is compared with nothing, rows
-    that share a key are not compared with each other, other columns are not read, and an empty table gives an
+    that share a key are not compared with each other, keys are integers, other columns are not read, and an empty table gives an
     empty result. Texts are whole, and no number of copies is too many.
     """
     kind = docs.select(key).schema[0].dataType.simpleString()

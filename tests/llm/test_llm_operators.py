@@ -624,6 +624,20 @@ def test_repeats_are_removed(spark, window, gram):
     assert found == want and sum(r[2] for r in want) > 500
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), max_size=40), st.integers(1, 5))
+def test_seeds_are_extended(words, others, window):
+    words, others = ([w.encode() for w in x] for x in (words, others))
+    shared = {tuple(others[i : i + window]) for i in range(len(others) - window + 1)}
+    starts = [i for i in range(len(words) - window + 1) if tuple(words[i : i + window]) in shared]
+    covered = lambda spans: {k for a, b in spans for k in range(a, b)}
+    seeds = [(i, i + window) for i in starts]
+    assert covered(substring_dedup._extended(words, others, seeds, window)) == covered(seeds)
+    # A seed that no window of the other text bears out, as after a collision of hashes, is left alone.
+    every = [(i, i + window) for i in range(len(words) - window + 1)]
+    assert covered(substring_dedup._extended(words, others, every, window)) == covered(seeds)
+
+
 def test_repeats_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = documents(spark, text, text, text + " more", text, ids=[4, 4, None, 9])
