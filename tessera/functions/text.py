@@ -83,32 +83,38 @@ def identifier_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s_-]+", ""))
 
 
-def contains_identifier(content: Column, source_name: Column, document_id: Column, identifier: str) -> Column:
+def contains_identifier(content: Column, source_name: Column, document_id: Column, identifier: str | Column) -> Column:
     """Whether a result has an identifier, whatever its case and separators."""
     held = F.concat_ws("\n", F.coalesce(content, F.lit("")), F.coalesce(source_name, F.lit("")), F.coalesce(document_id, F.lit("")))
-    return F.contains(identifier_key(held), identifier_key(F.lit(identifier)))
+    return F.contains(identifier_key(held), identifier_key(identifier if isinstance(identifier, Column) else F.lit(identifier)))
 
 
-def weighted(terms: Sequence[str], weights: Sequence[float]) -> Column:
-    """A literal list of terms with weights: one flat expression, however many terms."""
-    return F.array(*(F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("weight")) for t, w in zip(terms, weights, strict=True)))
+def term_array(terms: Sequence[str] | Column) -> Column:
+    """Terms as an array column: a literal list, or each row's own."""
+    return terms if isinstance(terms, Column) else F.array(*map(F.lit, terms)).cast("array<string>")
 
 
-def count_terms(terms: Sequence[str], text: Column) -> Column:
+def weighted(terms: Sequence[str] | Column, most: int) -> Column:
+    """Terms with weights: their length, as a share of `most` characters, at most 1."""
+    return F.transform(term_array(terms), lambda t: F.struct(t.alias("term"), (F.least(F.length(t), F.lit(most)) / float(most)).alias("weight")))
+
+
+def total_weight(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["weight"])
+
+
+def count_terms(terms: Sequence[str] | Column, text: Column) -> Column:
     """How many of the terms occur."""
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))) if terms else F.lit(0)
+    return F.size(F.filter(term_array(terms), lambda t: F.contains(text, t)))
 
 
-def coverage(terms: Sequence[str], normalized: Column) -> Column:
+def coverage(terms: Sequence[str] | Column, normalized: Column) -> Column:
     """The weighted share of (normalised) terms that occur; the first three in a row add 1; at most 1."""
-    kept = [t for t in terms if t]
-    if not kept:
-        return F.lit(0.0)
-    weights = [min(len(t), 12) / 12 for t in kept]
-    found = F.filter(weighted(kept, weights), lambda t: F.contains(normalized, t["term"]))
-    hits = F.aggregate(found, F.lit(0.0), lambda s, t: s + t["weight"])
-    phrase = F.when(F.contains(normalized, F.lit("".join(kept[:3]))), 1.0).otherwise(0.0)
-    return F.when(normalized == "", 0.0).otherwise(F.least(F.lit(1.0), (phrase + hits) / sum(weights)))
+    kept = F.filter(term_array(terms), lambda t: t != "")
+    held = weighted(kept, 12)
+    hits = total_weight(F.filter(held, lambda t: F.contains(normalized, t["term"])))
+    phrase = F.when(F.contains(normalized, F.array_join(F.slice(kept, 1, 3), "")), 1.0).otherwise(0.0)
+    return F.when((normalized == "") | (F.size(kept) == 0), 0.0).otherwise(F.least(F.lit(1.0), (phrase + hits) / total_weight(held)))
 
 
 def count_occurrences(text: Column, markers: Sequence[str]) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from tessera.storage import stored
 K1, B = 1.5, 0.75
 #: Queries are written into the plan, so their number is bounded; more come in several calls.
 MOST_QUERIES = 2000
+#: Candidates' keys that are broadcast at most, some hundred bytes each.
+BROADCAST_KEYS = 200_000
 #: Query vectors are multiplied in blocks of at most this many.
 QUERY_BLOCK = 4096
 
@@ -42,6 +45,45 @@ def _matched(chunks: DataFrame, terms: dict[str, Sequence[str]]) -> DataFrame:
     return chunks.withColumn("query_id", F.explode(F.array_compact(F.array(*tests))))
 
 
+def _first_keys(keys: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` keys (query_id, document_id, chunk_index) of each query; tasks keep no more before the shuffle."""
+    order = [(c, "ascending") for c in ("query_id", "document_id", "chunk_index")]
+
+    def cut(held: pa.Table) -> pa.Table:
+        held = held.take(pc.sort_indices(held, sort_keys=order, null_placement="at_start"))
+        q = held["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        at = np.arange(len(q))
+        first = np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1])[: len(q)], at, 0))
+        return held.filter(pa.array(at - first < limit))
+
+    def run(batches):
+        held, size = None, 0
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows > max(2 * size, 1 << 16):
+                held = cut(held)
+                size = held.num_rows
+        if held is not None:
+            yield from cut(held).to_batches()
+
+    kept = keys.mapInArrow(run, keys.schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "chunk_index"))
+    return kept.withColumn("place", place).filter(F.col("place") <= limit)
+
+
+def candidates(chunks: DataFrame, terms: dict[str, Sequence[str]], limit: int) -> DataFrame:
+    """For some queries: the first `limit` chunks, by document and chunk number, with any of a query's terms.
+
+    Rows are those of `chunks` with query_id and place. Two scans for all queries: one finds the keys, of which each
+    task keeps the first ones; the other fetches the chunks. Keys are broadcast where they are at most
+    BROADCAST_KEYS, else joined.
+    """
+    matched = _matched(chunks, terms).select("query_id", "document_id", "chunk_index")
+    keys = stored(_first_keys(matched, limit))
+    return chunks.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, ["document_id", "chunk_index"])
+
+
 def sparse_retrieve(
     chunks: DataFrame, queries: dict[str, str], k: int, terms_of: Callable[[str], list[str]] = Q.recall_terms, scan: int | None = None
 ) -> DataFrame:
@@ -53,13 +95,11 @@ def sparse_retrieve(
 
     `chunks`: document_id, chunk_index, source_name, content; others are kept. Queries without terms get no rows.
     """
-    matched = _matched(chunks, {q: terms_of(text) for q, text in queries.items()})
-    first = Window.partitionBy("query_id").orderBy("document_id", "chunk_index")
-    corpus = matched.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= (scan or Q.scan_limit(k))).drop("n")
     if not queries:
-        return corpus.withColumns({"score": F.lit(0.0), "rank": F.lit(1)})
-    # Stored, the bounded candidates cost one scan of the chunks, though they are read twice.
-    corpus = stored(corpus)
+        return chunks.limit(0).withColumns({"query_id": F.lit(""), "bm25": F.lit(0.0), "overlap": F.lit(0.0), "score": F.lit(0.0), "rank": F.lit(1)})
+    corpus = candidates(chunks, {q: terms_of(text) for q, text in queries.items()}, scan or Q.scan_limit(k)).drop("place")
+    # Stored, the bounded candidates cost one scan of the chunks, though they are read twice; dealt out, all cores score them.
+    corpus = stored(corpus.repartition(chunks.sparkSession.sparkContext.defaultParallelism, "query_id", "document_id"))
     text = X.search_text(F.col("source_name"), F.col("content"))
     asked = F.create_map(*(F.lit(v) for q, t in queries.items() for v in (q, t)))[F.col("query_id")]
     corpus = corpus.withColumns({"tokens": X.tokens(text), "wanted": X.tokens(asked)})
@@ -95,12 +135,26 @@ def sparse_retrieve(
     return kept.join(top, ["query_id", "row_id"]).drop("row_id")
 
 
+def as_results(hits: DataFrame) -> DataFrame:
+    """Hits of whatever store as chunks: `content` is the first of child_text, chunk_text and text that isn't empty.
+
+    Columns that a store doesn't have are null, no text at all is an empty content, `distance` serves as the score
+    where there is none, and other columns are kept.
+    """
+    have = set(hits.columns)
+    texts = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("child_text", "chunk_text", "text", "content") if c in have]
+    scores = [F.col(c).cast("double") for c in ("distance", "score") if c in have]
+    kinds = dict.fromkeys(("child_id", "document_id", "parent_id", "source_name", "file_type", "content_type"), "string") | dict.fromkeys(("parent_index", "chunk_index"), "int")
+    missing = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in have}
+    return hits.withColumns({**missing, "content": F.coalesce(*texts, F.lit("")), "score": F.coalesce(*scores, F.lit(0.0))})
+
+
 def dense_retrieve(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
     """Exact cosine neighbours: query_id, key, score, rank for each query's `k` nearest.
 
     `queries`: query_id and vector, a stated set; they are collected in blocks of bounded size and multiplied with
-    every partition of the corpus, which keeps its own best `k` of each query, so the shuffle has k rows a query and
-    partition. Vectors that are null, empty or zero have no neighbours. Scores are compared at nine digits, ties
+    every batch of the corpus, which keeps its own best `k` of each query, so the shuffle has k rows a query and
+    batch. Vectors that are null, empty or zero have no neighbours. Scores are compared at nine digits, ties
     go by key.
     """
     kind = corpus.schema[key].dataType.simpleString()

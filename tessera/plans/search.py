@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import logging
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import query as Q
@@ -28,12 +29,21 @@ def ingest(spark: SparkSession, path: str, readers: dict[str, files.Reader] | No
     return documents.withColumnRenamed("error", "error_message"), parents, children
 
 
+def _route(name: str, make: Callable[[], DataFrame]) -> DataFrame | None:
+    """A route's rows, stored; none where the route fails, as when its table or model isn't there."""
+    try:
+        return stored(make())
+    except Exception:
+        logging.getLogger(__name__).warning("the %s route failed and counts as empty", name, exc_info=True)
+        return None
+
+
 def hybrid(
     children: DataFrame,
-    queries: dict[str, str],
+    queries: Mapping[str, str],
     k: int,
     vectors: DataFrame | None = None,
-    query_vectors: DataFrame | None = None,
+    query_vectors: DataFrame | Callable[[], DataFrame] | None = None,
     method: str = "hybrid",
     weights: tuple[float, float] = (0.6, 0.4),
     terms_of: Callable[[str], list[str]] = Q.recall_terms,
@@ -42,62 +52,89 @@ def hybrid(
 
     `vectors` (key columns, embedding) and `query_vectors` (query_id, embedding) make the dense route; where they are
     missing the sparse one serves alone, and the other way round by `method`. Queries with an identifier never go
-    by vectors alone.
+    by vectors alone. Of two routes one that fails counts as empty; the only one's failure is an error.
     """
-    named = any(map(Q.is_identifier_query, queries.values()))
     use_dense = vectors is not None and query_vectors is not None and method != "sparse"
-    use_sparse = method != "dense" or named or not use_dense
-    sparse = recall.sparse_retrieve(children, queries, k, terms_of).select("query_id", *KEY, "rank", "score") if use_sparse else None
+    worded = {q: t for q, t in queries.items() if not use_dense or method != "dense" or Q.is_identifier_query(t)}
+
+    def sparse() -> DataFrame:
+        return recall.sparse_retrieve(children, worded, k, terms_of).select("query_id", *KEY, "rank", "score")
+
+    def dense() -> DataFrame:
+        kind = vectors.select(F.struct(*KEY).alias("key")).schema["key"].dataType.simpleString()
+        asked = query_vectors() if callable(query_vectors) else query_vectors
+        near = recall.dense_retrieve(vectors.select(F.to_json(F.struct(*KEY)).alias("vec"), "embedding"), asked, k, "vec")
+        return near.withColumn("key", F.from_json("vec", kind)).select("query_id", "key.*", "rank", "score")
+
     if not use_dense:
-        return sparse
-    near = recall.dense_retrieve(vectors.select(F.struct(*KEY).alias("key"), "embedding").withColumn("vec", F.to_json("key")), query_vectors, k, "vec")
-    near = near.withColumn("key", F.from_json("vec", vectors.select(F.struct(*KEY).alias("key")).schema["key"].dataType.simpleString()))
-    dense = near.select("query_id", "key.*", "rank", "score")
-    return dense if sparse is None else fusion.fuse_dense_sparse(dense, sparse, KEY, weights, k).select("query_id", *KEY, "rank", "score")
+        return sparse()
+    if not worded:
+        return dense()
+    both = [r for r in (_route("dense", dense), _route("sparse", sparse)) if r is not None]
+    if not both:
+        return children.limit(0).select(F.lit("").alias("query_id"), *KEY, F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+    return both[0] if len(both) == 1 else fusion.fuse_dense_sparse(*both, KEY, weights, k).select("query_id", *KEY, "rank", "score")
 
 
-def search(
+def search_many(
     children: DataFrame,
-    query: str,
+    queries: Mapping[str, str],
     k: int = 5,
     parents: DataFrame | None = None,
     vectors: DataFrame | None = None,
     embed: Callable[[dict[str, str]], DataFrame] | None = None,
     method: str = "hybrid",
     lexicon: Lexicon = CHINESE,
-    variants: Sequence[str] | None = None,
+    variants: Mapping[str, Sequence[str]] | None = None,
     words: bool = False,
 ) -> DataFrame:
-    """Search chunks with a query and its variants: the cited results, cite_rank first.
+    """Search chunks with some queries, each with its variants, in one plan: the cited results by query_id and cite_rank.
 
     `children` has document_id, chunk_index, child_id, parent_id, source_name, file_type and content. Each variant's
-    route is recalled, routes are fused (the original weighing 1.4, others 0.75), the original's relevant hits are
-    kept in the pool, the pool is reranked and filtered, and tables and parents are attached where `parents` is given.
+    route is recalled, routes are fused (the original weighing 1.4, others 0.75), the original's relevant hits and, in
+    lookups, each route's first three tables with fitting fields are kept in the pool, the pool is reranked and
+    filtered, and tables and parents are attached where `parents` is given.
     """
     k = min(50, max(1, k))
-    asked = rerank.Asked.of(query, lexicon, words)
-    told = list(variants) if variants is not None else Q.variants(query)
-    told = told if Q.is_identifier_query(query, lexicon) else told[: Q.MOST_VARIANTS]
-    if not told:
-        return children.limit(0)
+    asked = {q: rerank.Asked.of(t, lexicon, words) for q, t in queries.items()}
+    told: dict[str, str] = {}
+    for q, text in queries.items():
+        every = list(variants[q]) if variants is not None else Q.variants(text)
+        every = every if Q.is_identifier_query(text, lexicon) else every[: Q.MOST_VARIANTS]
+        told |= {f"{i + 1}|{q}": t for i, t in enumerate(every)}
     pool_size = Q.candidate_limit(k)
-    queries = {f"query_{i + 1}": t for i, t in enumerate(told)}
     terms_of = (lambda t: Q.word_keywords(t, 12, lexicon)) if words else (lambda t: Q.recall_terms(t, lexicon=lexicon))
-    routes = stored(hybrid(children, queries, pool_size, vectors, embed(queries) if embed and vectors is not None else None, method, terms_of=terms_of))
-    one = routes.select(F.lit("q").alias("query_id"), *KEY, F.col("query_id").alias("route"), "rank")
-    fused = fusion.fuse_routes(one, {q: Q.ORIGINAL_WEIGHT if i == 0 else Q.VARIANT_WEIGHT for i, q in enumerate(queries)}, KEY)
-    direct = routes.filter((F.col("query_id") == "query_1") & (F.col("rank") <= max(2 * k, 12)))
-    direct = direct.join(children, KEY).withColumn("query_id", F.lit("q"))
-    direct = rerank.signals(direct, asked, lexicon).filter(rerank.gate(asked)).select("query_id", *KEY, "rank", "score")
-    pool = fusion.keep_protected(fused.select("query_id", *KEY, "rank", "score"), direct, KEY, pool_size)
-    pool = pool.join(children, KEY).withColumns({"source": F.lit("hybrid"), "position": F.col("rank")})
+    found = hybrid(children, told, pool_size, vectors, (lambda: embed(told)) if embed and vectors is not None else None, method, terms_of=terms_of)
+    number = F.substring_index("query_id", "|", 1)
+    routes = stored(found.select(F.expr("substring(query_id, instr(query_id, '|') + 1)").alias("query_id"), *KEY, number.alias("route"), "rank", "score"))
+    weights = {str(i + 1): Q.VARIANT_WEIGHT if i else Q.ORIGINAL_WEIGHT for i in range(max((int(r.partition("|")[0]) for r in told), default=0))}
+    fused = fusion.fuse_routes(routes, weights, KEY)
+    # What the routes found is bounded; their texts are fetched once.
+    keys = routes.select(*KEY).distinct()
+    texts = stored(children.join(F.broadcast(keys) if routes.count() <= recall.BROADCAST_KEYS else keys, KEY))
+    shown = rerank.signals(rerank.with_asked(routes.join(texts, KEY), asked, lexicon), lexicon)
+    direct = shown.filter((F.col("route") == "1") & (F.col("rank") <= max(2 * k, 12)) & rerank.gate()).withColumn("turn", F.lit(0))
+    tables = rerank.fitting_tables(shown).withColumn("turn", F.col("route").cast("int"))
+    kept = direct.unionByName(tables).select("query_id", *KEY, F.struct("turn", "rank").alias("at"), "score")
+    kept = kept.groupBy("query_id", *KEY).agg(F.min("at").alias("rank"), F.max("score").alias("score"))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", *KEY)))
+    pool = fusion.keep_protected(fused.select("query_id", *KEY, "rank", "score"), kept, KEY, pool_size)
+    pool = stored(pool.join(texts, KEY).withColumns({"source": F.lit("hybrid"), "position": F.col("rank")}))
     cited = rerank.filter_results(rerank.rerank(pool, asked, lexicon), asked, k, lexicon)
     cited = cited.withColumns({"rank": F.col("cite_rank"), "score": F.col("final_score")})
     if parents is None:
         return cited
     cited = stored(cited)
-    cited = evidence.sheet_evidence(cited, parents, query, lexicon)
-    return evidence.expand_parents(cited, parents)
+    sheets = [q for q, one in asked.items() if one.structured]
+    rest = cited.filter(~F.col("query_id").isin(sheets)) if sheets else cited
+    for q in sheets:
+        rest = rest.unionByName(evidence.sheet_evidence(cited.filter(F.col("query_id") == q), parents, queries[q], lexicon), allowMissingColumns=True)
+    return evidence.expand_parents(rest, parents)
+
+
+def search(children: DataFrame, query: str, k: int = 5, parents: DataFrame | None = None, variants: Sequence[str] | None = None, **options) -> DataFrame:
+    """`search_many` with one query, whose query_id is `q`."""
+    return search_many(children, {"q": query}, k, parents, variants=None if variants is None else {"q": variants}, **options)
 
 
 def raw_search(children: DataFrame, query: str, k: int = 5, vectors: DataFrame | None = None, embed: Callable[[dict[str, str]], DataFrame] | None = None, method: str = "sparse") -> DataFrame:

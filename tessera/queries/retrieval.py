@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,12 +88,8 @@ ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query
 @_registry.add("WITH" + _ASKED + " SELECT query_id, doc_id FROM cand")
 def sparse_candidate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 150 documents with a term of each query."""
-    held = as_chunks(spark, sf_dir)
-    parts = [recall.candidate_scan(held, Q.recall_terms(t), POOL).select(F.lit(q).alias("query_id"), F.col("document_id").alias("doc_id")) for q, t in asked(spark, sf_dir).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    terms = {q: Q.recall_terms(t) for q, t in asked(spark, sf_dir).items()}
+    return recall.candidates(as_chunks(spark, sf_dir), terms, POOL).select("query_id", F.col("document_id").alias("doc_id"))
 
 
 @_registry.add(_BM25 + "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5")
@@ -205,19 +202,19 @@ def route_topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.top_per_group(scored, ["label"], [F.desc("score"), "vec_id"], 3).select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-def _pool(spark: SparkSession, sf_dir: str, query_id: str, text: str) -> DataFrame:
-    """A query's candidates with a stand-in score by length, for reranking."""
-    found = recall.candidate_scan(as_chunks(spark, sf_dir), Q.recall_terms(text), POOL)
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries' candidates with a stand-in score by length, for reranking."""
+    found = recall.candidates(as_chunks(spark, sf_dir), {q: Q.recall_terms(t) for q, t in asked(spark, sf_dir).items()}, POOL)
     score = F.pmod(F.length("content"), F.lit(97)) / 10.0
-    return found.select("*", F.lit(query_id).alias("query_id"), score.alias("score"), F.lit("sparse").alias("source"), F.col("document_id").alias("position"))
+    return found.select("*", score.alias("score"), F.lit("sparse").alias("source"), F.col("document_id").alias("position"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> dict[str, rerank.Asked]:
+    return {q: rerank.Asked.of(t, ENGLISH, words=True) for q, t in asked(spark, sf_dir).items()}
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [rerank.rerank(_pool(spark, sf_dir, q, t), rerank.Asked.of(t, ENGLISH, words=True), ENGLISH) for q, t in asked(spark, sf_dir).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rerank.rerank(_pool(spark, sf_dir), _asked(spark, sf_dir), ENGLISH)
 
 
 def _coverage(terms: str, body: str) -> str:
@@ -284,14 +281,8 @@ SELECT query_id, doc_id, cite_rank FROM f WHERE cite_rank <= 3"""
 )
 def cited_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final filter over each query's reranked pool."""
-    parts = []
-    for q, t in asked(spark, sf_dir).items():
-        one = rerank.Asked.of(t, ENGLISH, words=True)
-        one = rerank.Asked(one.text, one.keywords, one.focus, one.identifiers, structured=False)
-        parts.append(rerank.filter_results(rerank.rerank(_pool(spark, sf_dir, q, t), one, ENGLISH), one, 5, ENGLISH))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    plain = {q: replace(one, structured=False) for q, one in _asked(spark, sf_dir).items()}
+    out = rerank.filter_results(rerank.rerank(_pool(spark, sf_dir), plain, ENGLISH), plain, 5, ENGLISH)
     return out.select("query_id", F.col("document_id").alias("doc_id"), F.col("cite_rank").cast("long").alias("cite_rank"))
 
 
@@ -307,10 +298,7 @@ FROM p WHERE part IS NOT NULL GROUP BY 1"""
 )
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A context of at most 6500 characters out of each query's candidates in order."""
-    parts = [_pool(spark, sf_dir, q, t).withColumn("rank", F.col("document_id")) for q, t in asked(spark, sf_dir).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _pool(spark, sf_dir).withColumn("rank", F.col("document_id"))
     return evidence.assemble_context(out).select("query_id", F.md5("context").alias("context_md5"), "n_blocks", "n_chars")
 
 
@@ -323,10 +311,7 @@ SELECT query_id, position, source_name, n_hits, CAST(last_doc AS DOUBLE) AS max_
 )
 def source_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three sources among each query's candidates."""
-    parts = [_pool(spark, sf_dir, q, t).withColumn("rank", F.col("document_id")) for q, t in asked(spark, sf_dir).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _pool(spark, sf_dir).withColumn("rank", F.col("document_id"))
     hits = out.withColumns({"parent_id": F.col("source_name"), "score": F.col("document_id").cast("double")})
     return evidence.group_sources(hits).select("query_id", F.col("position").cast("long").alias("position"), "source_name", "n_hits", "max_score")
 
@@ -404,17 +389,12 @@ def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registry.add()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search for each query: recall, fusion over variants, reranking and the final filter, with parents."""
+    """The whole search for all queries: recall, fusion over variants, reranking and the final filter, with parents."""
     held = as_chunks(spark, sf_dir)
     parents = held.select("parent_id", "document_id", F.lit(0).alias("parent_index"), F.col("content").alias("parent_text"))
-    out = None
-    for q, text in asked(spark, sf_dir).items():
-        shorter = " ".join(text.split()[:3])
-        found = search.search(held, text, K, parents, lexicon=ENGLISH, variants=[text, shorter], words=True)
-        found = found.select(F.lit(q).alias("query_id"), F.col("document_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.length("parent_context").cast("long").alias("parent_chars"))
-        found = stored(found)
-        out = found if out is None else out.unionByName(found)
-    return out
+    queries = asked(spark, sf_dir)
+    found = search.search_many(held, queries, K, parents, lexicon=ENGLISH, variants={q: [t, " ".join(t.split()[:3])] for q, t in queries.items()}, words=True)
+    return found.select("query_id", F.col("document_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.length("parent_context").cast("long").alias("parent_chars"))
 
 
 QUERIES, ORACLES = _registry.queries, _registry.oracles
