@@ -156,3 +156,13 @@ def score_floor(results: DataFrame, score: str = "score", least: float = 0.28, s
 def page(rows: DataFrame, order: Sequence, skip: int, limit: int) -> tuple[int, DataFrame]:
     """The number of all rows, and one page of them."""
     return rows.count(), rows.orderBy(*order).offset(skip).limit(limit)
+
+
+def serialize(results: DataFrame, fields: Sequence[str] = ("content", "score", "source")) -> DataFrame:
+    """Results as answers show them: `fields`, and the other columns as the map `metadata` of texts.
+
+    Columns that begin with `_` are inner ones and left out, as are nulls.
+    """
+    rest = [c for c in results.columns if c not in fields and not c.startswith("_")]
+    pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in rest)).cast("array<struct<k:string,v:string>>")
+    return results.select(*(c for c in fields if c in results.columns), F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("metadata"))

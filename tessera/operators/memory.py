@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,8 +183,39 @@ def mark_accessed(records: DataFrame, accesses: DataFrame) -> DataFrame:
     ).drop("_n", "_at")
 
 
-def forget(records: DataFrame, user_id: str, conversation_id: str, as_of: datetime) -> DataFrame:
-    """Mark a conversation's active events deleted; profile facts stay."""
-    gone = (F.col("user_id") == user_id) & (F.col("conversation_id") == conversation_id) & (F.col("memory_type") == "event") & (F.col("status") == "active")
-    gone = F.coalesce(gone, F.lit(False))
+def memory_filter(
+    rows: DataFrame, user_id: str, conversation_id: str | None = None, session_id: str | None = None, chunk_type: str | None = None, topic: str | None = None
+) -> DataFrame:
+    """A user's rows, of a conversation, session, chunk type or topic where these are given and not empty.
+
+    Filters are plain equalities, so they reach the scan. Without a user it is an error, since rows are a user's own.
+    """
+    if not (user_id or "").strip():
+        raise ValueError("a user is needed")
+    out = rows.filter(F.col("user_id") == user_id.strip())
+    for name, value in (("conversation_id", conversation_id), ("session_id", session_id), ("chunk_type", chunk_type), ("topic", topic)):
+        if value:
+            out = out.filter(F.col(name) == value)
+    return out
+
+
+def _named(user_id: str, conversation_id: str | None, memory_ids: Sequence[str] | None) -> Column:
+    if not (user_id or "").strip() or not (conversation_id or memory_ids):
+        raise ValueError("a user, and a conversation or memory ids, are needed")
+    hit = F.col("user_id") == user_id
+    if conversation_id:
+        hit = hit & (F.col("conversation_id") == conversation_id)
+    if memory_ids:
+        hit = hit & F.col("memory_id").isin(list(memory_ids))
+    return F.coalesce(hit, F.lit(False))
+
+
+def delete_vectors(vectors: DataFrame, user_id: str, conversation_id: str | None = None, memory_ids: Sequence[str] | None = None) -> DataFrame:
+    """The vectors without a user's of one conversation, of some memory ids, or of both."""
+    return vectors.filter(~_named(user_id, conversation_id, memory_ids))
+
+
+def forget(records: DataFrame, user_id: str, conversation_id: str | None, as_of: datetime, memory_ids: Sequence[str] | None = None) -> DataFrame:
+    """Mark a user's active events of a conversation, or of some memory ids, deleted; profile facts stay."""
+    gone = _named(user_id, conversation_id, memory_ids) & F.coalesce((F.col("memory_type") == "event") & (F.col("status") == "active"), F.lit(False))
     return records.withColumns({"updated_at": F.when(gone, F.lit(as_of).cast("timestamp")).otherwise(F.col("updated_at")), "status": F.when(gone, "deleted").otherwise(F.col("status"))})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tessera.functions import text as X
 from tessera.lexicon import ENGLISH
 from tessera.operators import conversations as C
 from tessera.operators import memory
+from tessera.plans import memory as plan
 from tessera.queries.registry import Registry, table
 
 _registry = Registry()
@@ -103,4 +106,40 @@ def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.estimated_tokens(F.col("text")).cast("long").alias("n"))
 
 
+_MEMORIES = "m AS (SELECT CAST(conv_id % 7 AS VARCHAR) AS user_id, CAST(conv_id AS VARCHAR) AS conversation_id, role AS chunk_type, conv_id || ':' || turn AS memory_id FROM conversations)"
+
+
+def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a memory of one of seven users."""
+    rows = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id").cast("string")
+    return rows.select((F.col("conv_id") % 7).cast("string").alias("user_id"), conv.alias("conversation_id"), F.col("role").alias("chunk_type"), F.concat_ws(":", conv, F.col("turn").cast("string")).alias("memory_id"))
+
+
+@_registry.add("WITH " + _MEMORIES + " SELECT * FROM m WHERE user_id = '3' AND chunk_type = 'assistant'")
+def memory_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.memory_filter(_memories(spark, sf_dir), "3", chunk_type="assistant")
+
+
+@_registry.add("WITH " + _MEMORIES + " SELECT * FROM m WHERE NOT coalesce(user_id = '3' AND conversation_id IN ('3', '10'), FALSE)")
+def memory_vectors_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memories without those of two conversations of one user."""
+    return memory.delete_vectors(memory.delete_vectors(_memories(spark, sf_dir), "3", "3"), "3", "10")
+
+
+@_registry.add(
+    "WITH c AS (SELECT conv_id, turn, lower(trim(role)) AS role, text FROM conversations) "
+    "SELECT conv_id || ':' || turn AS chunk, conv_id % 3 || ':' || conv_id || ':' || turn || ':v1' AS memory_id, CASE WHEN role = 'user' THEN 'asked' ELSE 'told' END AS topic, md5(text) AS text_md5 FROM c WHERE regexp_matches(text, '\\S') AND conv_id % 3 > 0"
+)
+def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a chunk to be stored, of conversations that have a user."""
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("turn", "chunk_index")
+    topic = F.when(F.lower(F.trim("role")) == "user", "asked").otherwise("  ")
+    chunks = rows.withColumns({"topic": topic, "turn_start": F.col("chunk_index"), "turn_end": F.col("chunk_index")})
+    user = F.when(F.col("conv_id") % 3 > 0, (F.col("conv_id") % 3).cast("string"))
+    owners = rows.select("conv_id").distinct().select("conv_id", user.alias("user_id"), F.lit(None).cast("string").alias("session_id"))
+    out = plan.memory_rows(chunks, owners, datetime(2024, 1, 1), topic="told", version="v1")
+    return out.select(F.concat_ws(":", "conversation_id", F.col("chunk_index").cast("string")).alias("chunk"), "memory_id", "topic", F.md5("text").alias("text_md5"))
+
+
 QUERIES, ORACLES = _registry.queries, _registry.oracles

@@ -376,6 +376,28 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.estimated_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
+@_registry.add(
+    "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 AND source <> '' THEN source WHEN doc_id % 4 = 1 THEN coalesce(lang, '') ELSE coalesce(text, '') END) AS content_md5, CAST(n_chars AS DOUBLE) AS score FROM documents WHERE source IS NOT NULL"
+)
+def hit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a store that has their texts in one of three columns."""
+    docs = table(spark, sf_dir, "documents").filter("source is not null")
+    kind = F.col("doc_id") % 4
+    hits = docs.select(
+        "doc_id", F.when(kind == 0, F.col("source")).alias("child_text"), F.when(kind == 1, F.coalesce("lang", F.lit(""))).otherwise("").alias("chunk_text"),
+        F.when(kind != 1, F.col("text")).alias("text"), F.col("n_chars").alias("distance"),
+    )
+    return recall.as_results(hits).select("doc_id", F.md5("content").alias("content_md5"), "score")
+
+
+@_registry.add("SELECT md5(text) AS content_md5, source, lang, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lang IS NULL THEN 2 ELSE 3 END AS n FROM documents WHERE text IS NOT NULL")
+def serialized_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with the columns that answers don't show as a map."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("text").alias("content"), "source", "doc_id", "lang", F.lit("txt").alias("file_type"), F.lit(1).alias("_inner"))
+    out = evidence.serialize(docs)
+    return out.select(F.md5("content").alias("content_md5"), "source", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["doc_id"].alias("doc_id"), F.size("metadata").alias("n"))
+
+
 @_registry.add()
 def embedded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both routes over all documents: hashed words as vectors, and BM25; the ten best of each query."""

@@ -339,3 +339,53 @@ def test_conversation_summaries(spark):
 def test_missing_tables_are_empty(spark):
     assert schemas.table_or_empty(spark, "no_such_table", schemas.PARENTS).count() == 0
     assert schemas.wrong_dimensions(spark.createDataFrame([([1.0],), (None,)], "v array<double>"), "v", 1).count() == 1
+
+
+def test_memory_is_stored_and_forgotten(spark):
+    from tessera.plans import memory as plan
+
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"message {i} 必须记住这个重要决定") for i in range(14)] + [(2, 0, "user", "other"), (3, 0, "user", "nobody's")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    owners = spark.createDataFrame([(1, "u", "s"), (2, "v", None), (3, " ", None)], "conv_id long, user_id string, session_id string")
+    empty = spark.createDataFrame([], schemas.MEMORY_RECORDS)
+    now = datetime(2024, 5, 1)
+    vectors, records = plan.store_conversations(conversations, owners, empty, now, size=60, overlap=10)
+    held = vectors.collect()
+    assert {r["user_id"] for r in held} == {"u", "v"} and all(r["embedding"] for r in held) and len({r["memory_id"] for r in held}) == len(held) > 2
+    assert {r["memory_id"] for r in records.collect()} == {r["memory_id"] for r in held}
+    vectors, records = plan.forget(vectors, records, "u", "1", now)
+    assert {r["user_id"] for r in vectors.collect()} == {"v"}
+    assert {(r["user_id"], r["status"]) for r in records.collect()} == {("u", "deleted"), ("v", "active")}
+    one = [r["memory_id"] for r in vectors.collect()]
+    vectors, records = plan.forget_ids(vectors, records, "v", one, now)
+    assert vectors.count() == 0 and {r["status"] for r in records.collect()} == {"deleted"}
+    topics, _ = plan.store_topics(conversations, owners, empty, now, lambda a, b: False, lambda t: "topic：x", short_window=2)
+    assert {(r["chunk_type"], r["conversation_id"]) for r in topics.collect()} == {("semantic", "1")}
+    with pytest.raises(ValueError):
+        plan.forget(vectors, records, "", "1", now)
+    with pytest.raises(ValueError):
+        plan.forget_ids(vectors, records, "u", [], now)
+
+
+def test_failing_route_is_empty(spark):
+    def broken():
+        raise RuntimeError("no model")
+
+    rows = chunk_rows(spark, "差旅报销标准：住宿费用", "天气预报")
+    vectors = rows.select("document_id", "chunk_index", F.array(F.lit(1.0)).alias("embedding"))
+    found = search.hybrid(rows, {"q": "差旅报销"}, 3, vectors, broken).collect()
+    assert [r["document_id"] for r in found] == ["doc-1"]
+    with pytest.raises(RuntimeError):
+        search.hybrid(rows, {"q": "天气怎么样"}, 3, vectors, broken, method="dense")
+
+
+def test_fitting_tables_are_kept_by_route(spark):
+    from tessera.functions import query as Q
+
+    tables = ["[Sheet] 员工名单\n姓名,工号,部门\n张,1,研发"] * 5 + ["[Sheet] 天气\n气温,风\n1,2"]
+    asked = {"q": rerank.Asked.of("员工的部门名单"), "r": rerank.Asked.of("差旅")}
+    held = results(spark, *tables, file_type="xlsx").withColumns({"rank": F.col("chunk_index"), "route": F.lit("1")})
+    both = held.unionByName(held.withColumn("query_id", F.lit("r"))).unionByName(held.withColumn("route", F.lit("2")))
+    kept = rerank.fitting_tables(rerank.signals(rerank.with_asked(both, asked))).collect()
+    assert sorted((r["query_id"], r["route"], r["rank"]) for r in kept) == [("q", x, i) for x in "12" for i in sorted(r["rank"] for r in held.collect())[:3]]
+    assert Q.is_structured_lookup("员工的部门名单")
