@@ -682,3 +682,50 @@ def test_adversarial_words_stay_apart(spark):
     docs = documents(spark, f"{x} p q r", f"{y} p q r", one, two)
     assert [r[2] for r in got(jaccard_join.near_duplicates(docs, 4, (85, 100)))] == [0, 1, 2, 3]
     assert [r[2] for r in got(substring_dedup.remove_repeats(docs))] == [0, 0, 0, 0]
+
+
+# Odd rows of all operators
+
+
+def test_odd_rows_of_token_operators(spark, library):
+    """Null keys, repeated rows, clashing columns, empty tables, one very long word."""
+    long = "".join(random.Random(2).choices("abcdefgh0123456789", k=30_000))
+    docs = documents(spark, "one two", "one two", "one two", None, long, ids=[None, 3, 3, 4, 5])
+    want = {t: len(library.encode(t, add_special_tokens=False).ids) for t in ("one two", "", long)}
+    for found in (bpe.token_counts(docs, VOCABULARY), bpe.encode_decode(docs, VOCABULARY, digest=True)):
+        rows = got(found.select("doc_id", "n_tokens"))
+        assert sorted(rows, key=str) == sorted([(None, want["one two"]), (3, want["one two"]), (3, want["one two"]), (4, 0), (5, want[long])], key=str)
+    assert bpe.token_counts(docs.limit(0), VOCABULARY).count() == bpe.encode_decode(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_odd_rows_of_joins(spark):
+    """Very long texts, keys that are no numbers, repeated rows."""
+    draw = random.Random(3)
+    long = " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(60_000))
+    near = long.replace(long[1000:1040], "changed", 1)
+    rows = [("b", long), ("a", near), ("c", "x y z"), ("c", "x y z"), (None, long), ("d", None)]
+    docs = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id string, text string, n int, node string").repartition(2)
+    found = jaccard_join.near_duplicates(docs, 4, (85, 100)).collect()
+    assert sorted((r["doc_id"] or "", r["component_id"]) for r in found) == [("", None), ("a", "a"), ("b", "a"), ("c", "c"), ("c", "c"), ("d", "d")]
+    longs = [(1, long), (2, "start " + long), (3, near)]
+    removed = got(substring_dedup.remove_repeats(documents(spark, *(t for _, t in longs), ids=[1, 2, 3]), keep_text=False))
+    assert removed == brute_removal(longs, 50) and removed[1][2] == 60_000
+
+
+def test_odd_rows_of_decontamination_and_media(spark):
+    item = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    docs = documents(spark, "x a b c d e f g h i j", "x a b c d e f g h i j", "x a b c d e f g h i j", None, ids=[None, 2, 2, 3])
+    found = got(decontaminate.find_contamination(docs, item).select("doc_id", "n_hit"))
+    assert sorted(found, key=str) == sorted([(None, 10), (2, 10), (2, 10), (3, 0)], key=str)
+    assert decontaminate.find_contamination(docs.limit(0), item).count() == 0
+    media = got(transport_stream.media_column(docs).select("doc_id", "n_bytes"))
+    assert sorted(media, key=str) == sorted([(None, 21), (2, 21), (2, 21), (3, 0)], key=str)
+    assert transport_stream.media_column(docs.limit(0)).count() == 0
+
+
+def test_chats_ignore_other_columns(spark):
+    rows = [(1, 0, "user", "hello", "x", "y", 3), (1, 1, "assistant", "hi", "x", "y", 3), (1, 1, "assistant", "hi", "x", "y", 3), (None, 0, "user", "z", "x", "y", 3)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string, chat string, piece int")
+    out = {r["conv_id"]: r["formatted"] for r in chat_format.format_chats(chat_format.to_events(conv)).collect()}
+    said = lambda role, text: f"<s>[INST] {role} [/INST]{text}</s>"
+    assert out == {1: said("user", "hello") + said("assistant", "hi") * 2, None: said("user", "z")}

@@ -51,3 +51,23 @@ def test_stages_keep_odd_rows_whole(spark, tmp_path):
     assert corpus_pipeline.drop_benchmark_text(spark, docs, str(tmp_path)).count() == 6
     assert corpus_pipeline.encode(spark, docs, str(tmp_path)).filter("round_trip").count() == 6
     assert corpus_pipeline.identify_language(spark, docs, str(tmp_path)).filter("doc_id in (3, 4)").count() == 0
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """Empty tables, columns with clashing names, a very long text: each stage keeps columns and clean rows."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, component_id string, spans int"
+    base = "the quick brown fox jumps over the lazy dog and runs away over hills "
+    long = " ".join(f"{base}{i}" for i in range(4000))
+    docs = spark.createDataFrame([(i, f"{base} number {i} " * (i % 3 + 1) if i else long, "en", "s", 1, "r", i, "c", 0) for i in range(20)], names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if k < 4:
+            assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} <= set(range(20))
+            assert any(r["doc_id"] == 0 and len(r["text"]) == len(long) for r in out.collect())
+        else:
+            assert out.filter("round_trip").count() == 20
+    first, second = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
