@@ -148,7 +148,7 @@ def filter_urls(
     known = known.groupBy(F.col(label_key).alias("key")).agg(F.count("*").alias("n"), F.sum(bad).alias("bad"))
     outcomes = seen.join(known, "key", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     if suffixes is None:
-        suffixes = pages.sparkSession.createDataFrame([(s,) for s in TWO_LABEL_SUFFIXES], "suffix string")
+        suffixes = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, TWO_LABEL_SUFFIXES))).alias("suffix"))
     reputation = host_reputation(outcomes, suffixes, z).select("name", F.col("mean").alias("bad_mean"), F.col("bound").alias("bad_bound"))
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
     judged = seen.withColumn("name", name_of(F.col("host"))).join(stored(reputation), "name", "left").withColumns({"rule": rule, "says": says})
