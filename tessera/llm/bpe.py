@@ -221,7 +221,7 @@ class ByteBPE:
         for k, w in enumerate(words):
             i, n, before = 0, len(w), len(flat)
             while i < n:
-                j = min(n, i + reach.get(w[i : i + 2], 1))
+                j = n if n - i < 16 else min(n, i + reach.get(w[i : i + 2], 1))
                 while (t := table.get(w[i:j])) is None:
                     j -= 1
                 flat.append(t)
