@@ -301,6 +301,14 @@ def test_results_do_not_depend_on_filters(spark, monkeypatch):
     assert got(substring_dedup.remove_repeats(documents(spark, *(t for _, t in passages)), keep_text=False)) == brute_removal(passages, 50)
 
 
+@pytest.mark.parametrize("most", [1, 12])
+def test_heavy_classes_and_components(spark, monkeypatch, most):
+    """Large classes and components, by either join or by both, get the same names."""
+    texts = list(enumerate(near_copies(groups=3) + ["a b c d e f"] * 60))
+    monkeypatch.setattr(jaccard_join, "MOST_HEAVY", most)
+    assert got(jaccard_join.near_duplicates(documents(spark, *(t for _, t in texts)))) == brute_components(texts, 5, 80, 100)
+
+
 def test_jaccard_odd_rows(spark):
     docs = documents(spark, "a b c d e", "a b c d e", "a b c d e", None, ids=[7, 7, None, None])
     assert got(jaccard_join.near_duplicates(docs)) == [(None, 0, None), (None, 1, None), (7, 1, 7), (7, 1, 7)]
