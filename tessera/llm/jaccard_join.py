@@ -24,7 +24,7 @@ from tessera.storage import stored
 
 from . import _filter, _words
 from ._arrow import map_slices, slices
-from .components import components
+from .components import components, with_names
 
 #: Bytes of text that a chunk and a bucket stand for: by the square root of the input, between these.
 LEAST_WIDTH, MOST_WIDTH, WIDTH_SCALE = 2 << 20, 64 << 20, 4096
@@ -32,8 +32,6 @@ LEAST_WIDTH, MOST_WIDTH, WIDTH_SCALE = 2 << 20, 64 << 20, 4096
 CHUNK_DOCUMENTS = 1 << 16
 #: Prefixes ask for 1 to this many shared shingles; verifying a pair costs about as much as so many list entries.
 MOST_MATCHES, VERIFY_COST = 8, 8.0
-#: Fewer keys than this have more than this part of a table's rows each.
-MOST_HEAVY = 1000
 _SLICE = 1 << 20
 _BITS = ["p0", "p1", "p2", "p3"]
 
@@ -339,18 +337,6 @@ def join_documents(
     return members, links.unionByName(more)
 
 
-def _with_names(rows: DataFrame, names: DataFrame, key: str, count: str) -> DataFrame:
-    """`rows` with the columns of `names`, which has one row for each key and, in `count`, the rows that have it.
-
-    Keys with more than a part in MOST_HEAVY of all rows are fewer than MOST_HEAVY, so they are broadcast and their rows
-    stay where they are; only the rest is dealt out by key.
-    """
-    total = names.agg(F.sum(count)).first()[0] or 0
-    heavy = F.col(count) * MOST_HEAVY > total
-    often, seldom = (F.broadcast(names.filter(heavy).drop(count)), names.filter(~heavy).drop(count))
-    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_shingles and component_id, the smallest key that links reach (itself without any).
 
@@ -361,7 +347,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     classes = linked.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("k"))
     classes = stored(classes.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     groups = stored(classes.groupBy("comp").agg(F.min("first").alias("least"), F.count("*").alias("c")))
-    named = stored(_with_names(classes, groups, "comp", "c").select("node", "k", "least"))
+    total = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("k"), F.lit(0)).alias("rows")).first()
+    named = stored(with_names(classes, groups, "comp", "c", total["classes"]).select("node", "k", "least"))
     alone = members.filter("node is null or doc is null").select("doc", "n", F.col("doc").alias("least"))
-    out = _with_names(linked, named, "node", "k").select("doc", "n", "least").unionByName(alone)
+    out = with_names(linked, named, "node", "k", total["rows"]).select("doc", "n", "least").unionByName(alone)
     return out.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))

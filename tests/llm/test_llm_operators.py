@@ -305,7 +305,7 @@ def test_results_do_not_depend_on_filters(spark, monkeypatch):
 def test_heavy_classes_and_components(spark, monkeypatch, most):
     """Large classes and components, by either join or by both, get the same names."""
     texts = list(enumerate(near_copies(groups=3) + ["a b c d e f"] * 60))
-    monkeypatch.setattr(jaccard_join, "MOST_HEAVY", most)
+    monkeypatch.setattr("tessera.llm.components.MOST_HEAVY", most)
     assert got(jaccard_join.near_duplicates(documents(spark, *(t for _, t in texts)))) == brute_components(texts, 5, 80, 100)
 
 
