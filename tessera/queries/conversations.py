@@ -64,9 +64,20 @@ def recent_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recent_questions(table(spark, sf_dir, "conversations")).select("conv_id", F.md5(F.array_join("questions", "|")).alias("questions_md5"))
 
 
-@_registry.add()
+@_registry.add(
+    "WITH" + _CLEAN + r""", n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS n FROM m),
+i AS (
+  SELECT *, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^(?:[-*+]|\d+[.、)])\s+')), lambda x: regexp_replace(x, '^(?:[-*+]|\d+[.、)])\s+', '')) AS items,
+         list_filter(list_transform(regexp_split_to_array(text, '[。！？!?\n]+|\.\s'), lambda x: trim(x)), lambda x: x <> '') AS sentences FROM n WHERE n <= 4),
+h AS (SELECT *, list_transform((CASE WHEN len(items) > 0 THEN items ELSE sentences END)[1:2], lambda x: CASE WHEN len(x) > 90 THEN substr(x, 1, 90) || '…' ELSE x END) AS told FROM i),
+g AS (
+  SELECT conv_id, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role = 'user'), '') AS q,
+         coalesce(array_to_string(flatten(list(told ORDER BY turn) FILTER (role = 'assistant'))[1:6], '|'), '') AS a FROM h GROUP BY 1)
+SELECT conv_id, last + 1 AS n_turns, md5(q) AS questions_md5, md5(a) AS highlights_md5 FROM g JOIN last USING (conv_id)"""
+)
 def conversation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.summaries(table(spark, sf_dir, "conversations"))
+    lists = (F.md5(F.array_join(c, "|")).alias(f"{c}_md5") for c in ("questions", "highlights"))
+    return C.summaries(table(spark, sf_dir, "conversations")).select("conv_id", "n_turns", *lists)
 
 
 @_registry.add(

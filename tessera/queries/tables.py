@@ -175,7 +175,27 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sheet", "header", "n_rows", *(F.round(c, 6).alias(c) for c in ("text_ratio", "blank_ratio", "repeated_ratio")), "fill")
 
 
-@_registry.add()
+@_registry.add(rf"""
+WITH k AS (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS sheet FROM supplier),
+r AS (
+  SELECT CAST(s_nationkey AS VARCHAR) AS sheet, CAST(s_suppkey AS INTEGER) AS row_no, [s_name, CAST(s_acctbal AS VARCHAR)] AS cells FROM supplier
+  UNION ALL SELECT sheet, -2, ['Suppliers', ''] FROM k
+  UNION ALL SELECT sheet, -1, ['name', 'balance'] FROM k),
+v AS (SELECT sheet, row_no, list_filter(list_transform(cells, lambda c: trim(coalesce(c, ''))), lambda c: c <> '') AS v FROM r),
+w AS (
+  SELECT sheet, row_no, len(v) AS width, len(list_distinct(list_transform(v, lambda c: lower(c)))) AS n_distinct,
+         len(list_filter(v, lambda c: NOT regexp_matches(replace(trim(c), ',', ''), '{sheets.NUMBER}'))) AS n_text FROM v),
+l AS (
+  SELECT *, greatest(2, floor(width * 0.5)) AS least_width, max(width) OVER (PARTITION BY sheet) AS widest,
+         coalesce(lead(width, 1) OVER b, 0) AS w1, coalesce(lead(width, 2) OVER b, 0) AS w2, coalesce(lead(width, 3) OVER b, 0) AS w3
+  FROM w WINDOW b AS (PARTITION BY sheet ORDER BY row_no)),
+s AS (
+  SELECT sheet, row_no, width, CASE WHEN width >= 2 THEN round(
+         2.0 * width + 3.0 * n_distinct / width + 3.0 * n_text / width
+         + 2.0 * (CAST(w1 >= least_width AS INTEGER) + CAST(w2 >= least_width AS INTEGER) + CAST(w3 >= least_width AS INTEGER))
+         + CASE WHEN width >= greatest(2, floor(widest * 0.5)) THEN 4.0 ELSE 0.0 END, 9) END AS score FROM l WHERE width > 0)
+SELECT sheet, row_no AS header_row FROM s
+QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN 0 ELSE width END DESC, row_no) = 1""")
 def header_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as sheets of their suppliers, each below a title and a header."""
     s = table(spark, sf_dir, "supplier")
