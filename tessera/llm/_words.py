@@ -117,3 +117,21 @@ def shingle_sets(words: np.ndarray, offsets: np.ndarray, size: int) -> list[np.n
         else:
             out.append(spans(words[a:b], b - a) if b > a else np.zeros(0, _U))
     return out
+
+
+def joined(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """Of each text the words to keep, joined by one space; without a list of words."""
+    held = ~_SPACE[data]
+    if not keep.all():
+        edge = np.zeros(len(data) + 1, np.int8)
+        np.add.at(edge, starts[~keep], 1)
+        np.add.at(edge, ends[~keep], -1)
+        held &= np.cumsum(edge[:-1], dtype=np.int8) == 0
+    kept = np.flatnonzero(keep)
+    doc = np.searchsorted(offsets, kept, "right") - 1
+    gap = ends[kept[:-1][doc[1:] == doc[:-1]]]  # a white space byte, as another word of this text follows
+    out = data.copy()
+    out[gap] = 0x20
+    held[gap] = True
+    at = np.append(0, np.cumsum(held))[bounds]
+    return pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out[held])])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, language_id, secrets, substring_dedup, transport_stream, url_filter
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, periodic_runs, secrets, substring_dedup, transport_stream, url_filter
 from ._arrow import bound_batches
 from .oracles import ORACLES  # noqa: F401  the driver's entry reads it here
 
@@ -84,6 +84,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50, keep_text=False)
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """`docs` with the contract's periodic tails: in a tenth of the documents, words from `a` on repeat `p` words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, a, p = F.size("words"), F.col("a"), F.col("p")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    sized = chosen.withColumn("a", (F.col("g") % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return sized.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    # In order of start and period, so that the first of equal exponents stays.
+    best = F.aggregate("runs", none, lambda held, r: F.when(held.isNull() | (r["length"] * held["period"] > held["length"] * r["period"]), r).otherwise(held))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, period = F.col("best.length"), F.col("best.period")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,5 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_media_columns,
         op10_substring_dedup,
+        op11_periodic_runs,
     )
 }
