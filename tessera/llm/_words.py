@@ -65,8 +65,13 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, fold: bool) -> tuple[np.nd
     `fold` takes A-Z as a-z. A word is read eight bytes at a time; each part is mixed with its place in the word.
     """
     starts, ends, offsets = word_bounds(data, bounds)
+    return range_hashes(data, starts, ends, fold), offsets
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """Hashes of ranges of bytes, none of them empty."""
     if not len(starts):
-        return np.zeros(0, _U), offsets
+        return np.zeros(0, _U)
     size = ends - starts
     held = np.zeros(len(data) + 8, np.uint8)
     held[: len(data)] = _LOWER[data] if fold else data
@@ -85,7 +90,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, fold: bool) -> tuple[np.nd
             value = eight[at] & _LOW[np.minimum(ends[long[word]] - at, 8)]
             np.add.at(rest, word, mix(mix(value) + k.astype(_U) * _GOLDEN))
         out[long] = mix(out[long] + rest)
-    return out, offsets
+    return out
 
 
 def spans(words: np.ndarray, length: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, language_id, periodic_runs, secrets, substring_dedup, transport_stream, url_filter
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, lexical_search, periodic_runs, quality, secrets, substring_dedup, transport_stream, url_filter
 from ._arrow import bound_batches
 from .oracles import ORACLES  # noqa: F401  the driver's entry reads it here
 
@@ -115,6 +115,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -129,5 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_media_columns,
         op10_substring_dedup,
         op11_periodic_runs,
+        op12_quality_classifier,
+        op13_lexical_search,
     )
 }
