@@ -10,9 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions import query as Q
 from tessera.functions import text as X
+from tessera.operators import nearest
 from tessera.storage import stored
 
 K1, B = 1.5, 0.75
@@ -20,8 +22,6 @@ K1, B = 1.5, 0.75
 MOST_QUERIES = 2000
 #: Candidates' keys that are broadcast at most, some hundred bytes each.
 BROADCAST_KEYS = 200_000
-#: Query vectors are multiplied in blocks of at most this many.
-QUERY_BLOCK = 4096
 
 
 def any_term(terms: Sequence[str], content: Column, source_name: Column) -> Column:
@@ -46,7 +46,10 @@ def _matched(chunks: DataFrame, terms: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def _first_keys(keys: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` keys (query_id, document_id, chunk_index) of each query; tasks keep no more before the shuffle."""
+    """The first `limit` keys (query_id, document_id, chunk_index) of each query.
+
+    Tasks keep no more before the shuffle, and groups of tasks no more before those of all groups meet.
+    """
     order = [(c, "ascending") for c in ("query_id", "document_id", "chunk_index")]
 
     def cut(held: pa.Table) -> pa.Table:
@@ -57,6 +60,8 @@ def _first_keys(keys: DataFrame, limit: int) -> DataFrame:
         return held.filter(pa.array(at - first < limit))
 
     def run(batches):
+        from pyspark import TaskContext
+
         held, size = None, 0
         for batch in batches:
             part = pa.Table.from_batches([batch])
@@ -65,11 +70,15 @@ def _first_keys(keys: DataFrame, limit: int) -> DataFrame:
                 held = cut(held)
                 size = held.num_rows
         if held is not None:
-            yield from cut(held).to_batches()
+            held = cut(held)
+            group = pa.array(np.full(held.num_rows, TaskContext.get().partitionId() // nearest.TASKS, np.int32))
+            yield from held.append_column("part", group).to_batches()
 
-    kept = keys.mapInArrow(run, keys.schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "chunk_index"))
-    return kept.withColumn("place", place).filter(F.col("place") <= limit)
+    kept = keys.mapInArrow(run, StructType([*keys.schema.fields, StructField("part", IntegerType())]))
+    for by in (["query_id", "part"], ["query_id"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("document_id", "chunk_index"))
+        kept = kept.withColumn("place", place).filter(F.col("place") <= limit)
+    return kept.drop("part")
 
 
 def candidates(chunks: DataFrame, terms: dict[str, Sequence[str]], limit: int) -> DataFrame:
@@ -153,49 +162,13 @@ def dense_retrieve(corpus: DataFrame, queries: DataFrame, k: int, key: str = "ve
     """Exact cosine neighbours: query_id, key, score, rank for each query's `k` nearest.
 
     `queries`: query_id and vector, a stated set; they are collected in blocks of bounded size and multiplied with
-    every batch of the corpus, which keeps its own best `k` of each query, so the shuffle has k rows a query and
-    batch. Vectors that are null, empty or zero have no neighbours. Scores are compared at nine digits, ties
-    go by key.
+    every batch of the corpus. Each task keeps its own best `k` of each query, so the shuffle has k rows a query and
+    task. Vectors that are null, empty or zero have no neighbours. Scores are compared at nine digits, ties go by key.
     """
-    kind = corpus.schema[key].dataType.simpleString()
     rows = corpus.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
-    asked = queries.select(F.col("query_id").cast("string"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
-    out, block = None, []
-
-    def multiply(held: list) -> DataFrame:
-        names = [r[0] for r in held]
-        q = np.array([r[1] for r in held])
-        size = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = corpus.sparkSession.sparkContext.broadcast((names, np.divide(q, size, out=np.zeros_like(q), where=size > 0), size[:, 0] > 0))
-
-        def run(batches):
-            names, q, live = shared.value
-            for batch in batches:
-                flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-                x = flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, q.shape[1]))
-                size = np.linalg.norm(x, axis=1)
-                score = np.round(q @ np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0).T, 9)
-                score[:, size == 0] = -np.inf
-                score[~live] = -np.inf
-                keys = batch.column("key")
-                order = np.lexsort((np.broadcast_to(keys.to_numpy(zero_copy_only=False), score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1)
-                use = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, use.sum(1)), pa.string()), keys.take(pa.array(order[use])), pa.array(best[use])], names=["query_id", "key", "score"]
-                )
-
-        return rows.mapInArrow(run, f"query_id string, key {kind}, score double")
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part, block = multiply(block), []
-            out = part if out is None else out.union(part)
-    if block or out is None:
-        part = multiply(block) if block else corpus.sparkSession.createDataFrame([], f"query_id string, key {kind}, score double")
-        out = part if out is None else out.union(part)
+    parts = [nearest.best_in_tasks(rows, names, vectors, k) for names, vectors in nearest.blocks(queries, vector)]
+    kind = corpus.schema[key].dataType.simpleString()
+    out = reduce(DataFrame.unionByName, parts) if parts else corpus.sparkSession.createDataFrame([], f"query_id string, key {kind}, score double, part int")
     if threshold is not None:
         out = out.filter(F.col("score") >= threshold)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumnRenamed("key", key)
+    return nearest.ranked(out, k).withColumnRenamed("key", key)

@@ -5,16 +5,16 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import query as Q
 from tessera.functions import text as X
 from tessera.lexicon import ENGLISH
-from tessera.operators import chunks, embedding, evidence, fusion, recall, rerank
+from tessera.operators import chunks, embedding, evidence, fusion, recall, rerank, text_index, vector_index
 from tessera.plans import search
 from tessera.queries.registry import Registry, table
-from tessera.storage import stored
+from tessera.storage import new_path, stored
 
 K, POOL = 5, 150
 _registry = Registry()
@@ -114,6 +114,37 @@ def dense_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@_registry.add()
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by an index over all vectors, and each query's recall against the exact ten.
+
+    As many cells are probed as the stated queries need for a recall of 0.9 each.
+    """
+    vectors, queries = table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir)
+    index = vector_index.VectorIndex.build(vectors, new_path(spark, "vectors"))
+    exact = stored(_nearest(spark, sf_dir, 10).select("query_id", "vec_id"))
+    found = stored(index.search(queries, 10, probes=index.probes_for(queries, exact)))
+    hit = found.join(exact.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    recall_of = F.round(F.sum(F.coalesce("hit", F.lit(0))).over(Window.partitionBy("query_id")) / 10, 6)
+    return hit.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), recall_of.alias("recall"))
+
+
+@_registry.add(_KNN + "SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def ivf_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by the index, exactly: cells are left out where their bounds allow it."""
+    index = vector_index.VectorIndex.build(table(spark, sf_dir, "embeddings"), new_path(spark, "vectors"))
+    found = index.search(vector_queries(spark, sf_dir), 10)
+    return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@_registry.add("WITH" + _ASKED + " SELECT query_id, doc_id FROM cand")
+def indexed_candidate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 150 documents with a term of each query, by an index of trigrams."""
+    index = text_index.TextIndex.build(as_chunks(spark, sf_dir), new_path(spark, "chunks"))
+    terms = {q: Q.recall_terms(t) for q, t in asked(spark, sf_dir).items()}
+    return index.candidates(terms, POOL).select("query_id", F.col("document_id").alias("doc_id"))
+
+
 @_registry.add(_KNN + "SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.5")
 def similarity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 10, threshold=0.5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
