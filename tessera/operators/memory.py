@@ -98,6 +98,21 @@ def _versioned(records: DataFrame, given: DataFrame, memory_type: str, now: Colu
     return out.unionByName(new)
 
 
+def prepared_profiles(candidates: DataFrame, now: Column) -> DataFrame:
+    """Profile candidates as they are compared and stored: keys and actions in lower case, texts squeezed, numbers clamped,
+    and the id of the record that each would make. Candidates without user, valid key or, unless deleting, value are left out.
+    """
+    given = candidates.select(
+        "user_id", F.lower(F.trim("memory_key")).alias("memory_key"), squeezed(F.col("value")).alias("content"),
+        F.lower(F.trim(F.coalesce("action", F.lit("upsert")))).alias("action"), "conversation_id", "session_id", "position",
+        X.clamp(F.col("importance"), 0.0, 100.0, 75.0).alias("base_importance_score"), X.clamp(F.col("confidence"), 0.0, 1.0, 0.7).alias("confidence_score"),
+        now.alias("_now"),
+    )
+    given = given.filter(F.col("memory_key").rlike(PROFILE_KEY) & ((F.col("action") == "delete") | (F.col("content") != "")) & (F.coalesce("user_id", F.lit("")) != ""))
+    name = F.sha2(F.concat_ws("\x1f", "user_id", "memory_key", "content", F.col("_now").cast("string")), 256)
+    return given.withColumn("memory_id", F.concat_ws(":", F.lit("profile"), "user_id", "memory_key", F.substring(name, 1, 32))).drop("_now")
+
+
 def upsert_profiles(records: DataFrame, candidates: DataFrame, as_of: datetime) -> DataFrame:
     """Versioned upsert of profile facts: the table after it.
 
@@ -108,16 +123,10 @@ def upsert_profiles(records: DataFrame, candidates: DataFrame, as_of: datetime)
     """
     require_columns(records, MEMORY_RECORDS.names)
     now = F.lit(as_of).cast("timestamp")
-    given = candidates.select(
-        "user_id", F.lower(F.trim("memory_key")).alias("memory_key"), squeezed(F.col("value")).alias("content"),
-        F.lower(F.trim(F.coalesce("action", F.lit("upsert")))).alias("action"), "conversation_id", "session_id", "position",
-        X.clamp(F.col("importance"), 0.0, 100.0, 75.0).alias("base_importance_score"), X.clamp(F.col("confidence"), 0.0, 1.0, 0.7).alias("confidence_score"),
-    )
-    given = given.filter(F.col("memory_key").rlike(PROFILE_KEY) & ((F.col("action") == "delete") | (F.col("content") != "")) & (F.coalesce("user_id", F.lit("")) != ""))
+    given = prepared_profiles(candidates, now)
     others = [c for c in given.columns if c not in ("user_id", "memory_key", "position")]
     last = given.groupBy("user_id", "memory_key").agg(F.max(F.struct("position", *others)).alias("c")).select("user_id", "memory_key", "c.*")
-    name = F.sha2(F.concat_ws("\x1f", "user_id", "memory_key", "content", now.cast("string")), 256)
-    last = last.withColumns({"memory_id": F.concat_ws(":", F.lit("profile"), "user_id", "memory_key", F.substring(name, 1, 32)), "expires_at": F.lit(None).cast("timestamp")})
+    last = last.withColumn("expires_at", F.lit(None).cast("timestamp"))
     return _versioned(records, last, "profile", now, in_place=True)
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.queries import tables
 from tessera.queries.registry import Registry, table
+from tessera.storage import new_path
 from tessera.streaming import events as E
+from tessera.streaming import memory as S
 
 _registry = Registry()
 _TIME = "yyyy-MM-dd HH:mm:ss"
@@ -80,4 +85,27 @@ def reply_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.replies(log).select("request_id", "state", "n_events")
 
 
+def _streamed(spark: SparkSession, changes: DataFrame, **options) -> DataFrame:
+    """The records that a stream of these changes ends with; a last tick lets the watermark pass them all."""
+    path = new_path(spark, "changes")
+    changes.unionByName(S.tick(spark, changes, tables.AS_OF + timedelta(days=9))).write.parquet(path)
+    stream = spark.readStream.schema(changes.schema).parquet(path)
+    return S.end_state(S.run(stream, "3 days", **options))
+
+
+@_registry.add(tables.ORACLES["profile_upsert"])
+def stream_profile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`profile_upsert` as a stateful stream."""
+    changes = S.record_changes(tables.records(spark, sf_dir), tables.AS_OF - timedelta(days=1))
+    out = _streamed(spark, changes.unionByName(S.candidate_changes(tables.candidates(spark, sf_dir), tables.AS_OF)))
+    return out.groupBy("user_id", "memory_key", "status", F.col("version").cast("long").alias("version")).agg(F.count("*").alias("n"))
+
+
+@_registry.add(tables.ORACLES["memory_expire_purge"])
+def stream_memory_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`memory_expire_purge` by the timers of a stateful stream."""
+    changes = S.record_changes(tables.records(spark, sf_dir), tables.AS_OF - timedelta(days=1))
+    return _streamed(spark, changes, first=tables.AS_OF).select("memory_id", "status")
+
+
 QUERIES, ORACLES = _registry.queries, _registry.oracles

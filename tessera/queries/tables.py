@@ -33,6 +33,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(*MEMORY_RECORDS.names)
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as profile candidates of one batch."""
+    events = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'signup', 'view')")
+    none = F.lit(None).cast("string")
+    return events.select(
+        F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("memory_key"), F.col("props").alias("value"),
+        F.when(F.col("event_id") % 11 == 0, "delete").otherwise("upsert").alias("action"), F.lit(0.7).alias("confidence"), F.lit(75.0).alias("importance"),
+        none.alias("conversation_id"), none.alias("session_id"), F.col("event_id").alias("position"),
+    )
+
+
 _RECORDS = """
 e AS (SELECT 'm' || event_id AS memory_id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'profile' ELSE 'event' END AS memory_type,
   event_type AS memory_key, props AS content, least(100.0, value * 2) AS base, event_id % 5 AS access, ts, event_id,
@@ -83,14 +94,7 @@ made AS (SELECT user_id, memory_key, 'active' AS status, CAST(coalesce(version,
 @_registry.add("WITH" + _RECORDS + "," + _UPSERT + "SELECT user_id, memory_key, status, version, count(*) AS n FROM (SELECT * FROM kept UNION ALL SELECT * FROM made) GROUP BY 1, 2, 3, 4")
 def profile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last event of a type as a candidate against the records: numbers of records by key, state and version."""
-    events = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'signup', 'view')")
-    none = F.lit(None).cast("string")
-    given = events.select(
-        F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("memory_key"), F.col("props").alias("value"),
-        F.when(F.col("event_id") % 11 == 0, "delete").otherwise("upsert").alias("action"), F.lit(0.7).alias("confidence"), F.lit(75.0).alias("importance"),
-        none.alias("conversation_id"), none.alias("session_id"), F.col("event_id").alias("position"),
-    )
-    out = memory.upsert_profiles(records(spark, sf_dir), given, AS_OF)
+    out = memory.upsert_profiles(records(spark, sf_dir), candidates(spark, sf_dir), AS_OF)
     return out.groupBy("user_id", "memory_key", "status", F.col("version").cast("long").alias("version")).agg(F.count("*").alias("n"))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.storage import shared_folder
+from tessera.storage import new_path
 
 DELAY = "10 minutes"
 
@@ -20,13 +19,14 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "complete", base: str | None = None) -> DataFrame:
     """Process all that is there now and return the result, which a sink in the shared folder holds.
 
-    With `append` and Parquet files the sink is exactly-once; with `complete` each batch overwrites the result.
+    With `append` and Parquet files the sink is exactly-once; with `complete` each batch overwrites the result. Checkpoint
+    and result are under `base`; the same one again continues where the last run ended.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or new_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{base}/out").start()
@@ -93,7 +93,9 @@ def replies(log: DataFrame) -> DataFrame:
 STATES = (("start", "thinking"), ("tool_call", "retrieving"), ("tool_result", "generating"), ("message", "streaming"), ("done", "done"), ("error", "error"))
 
 
-def maintain_periodically(stream: DataFrame, step: Callable[[DataFrame, int], None], every: str = "1 hour"):
-    """Start a query that calls `step` with each micro-batch, such as a maintenance pass over memory records."""
-    base = f"{shared_folder(stream.sparkSession)}/maintain-{uuid.uuid4().hex}"
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", base).trigger(processingTime=every).start()
+def maintain_periodically(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 hour"):
+    """Start a query that calls `step` with each micro-batch, such as a maintenance pass over memory records.
+
+    Progress is kept under `checkpoint`, in a shared folder: a restarted job that names the same one goes on from there.
+    """
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
