@@ -6,10 +6,11 @@ leave out `least overlap - l` shingles share l shingles at least. Each set takes
 counts: longer prefixes need more shared shingles before a pair is verified, and a pair needs the smaller l of its
 two.
 
-The counts are exact and not broadcast. Each scan task cuts its documents into chunks and sends a chunk's shingles
-to the buckets that count them; a bucket sends back to each chunk only those that other documents have too, with
-their counts. Chunks and buckets are of like, bounded size, whatever the input, and no key gets more than a row a
-chunk, however common a shingle is.
+The counts are exact and not broadcast. Each scan task cuts its documents into chunks and sends a chunk's distinct
+shingles, with the number of its documents that have each, to the buckets that count them; a bucket sends back to each
+chunk only those that several documents have, with their counts. Which documents of a chunk have a shingle stays with the
+chunk's own row, but for shingles of a single one. So a shingle is one entry a chunk, however common it is. Chunks and
+buckets grow alike, with the square root of the input, up to MOST_WIDTH.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from . import _filter, _words
 from ._arrow import map_slices, slices
 from .components import components, with_names
 
-#: Bytes of text that a chunk and a bucket stand for: by the square root of the input, between these.
-LEAST_WIDTH, MOST_WIDTH, WIDTH_SCALE = 2 << 20, 64 << 20, 4096
+#: Bytes of text that a chunk and a bucket stand for: by the square root of the input, between these. The upper one, which
+#: bounds a task's memory, is reached at 16 TB; at 100 TB a (chunk, bucket) row still has some hundred shingles.
+LEAST_WIDTH, MOST_WIDTH, WIDTH_SCALE = 2 << 20, 256 << 20, 4096
 #: Documents of a chunk at most; their numbers have 16 bits.
 CHUNK_DOCUMENTS = 1 << 16
 #: Prefixes ask for 1 to this many shared shingles; verifying a pair costs about as much as so many list entries.
@@ -81,43 +83,58 @@ def _chunk(number: int, buckets: int, docs: pa.Array, sets: list[np.ndarray]):
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as writer:
         writer.write_batch(head)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    m = np.diff(np.append(first, len(ids))).astype(np.uint32)
+    several = np.repeat(m > 1, m)
+    lists, ids, one = idx[several], ids[first], m == 1
+    rows = []
     bucket = (ids >> np.uint64(32)).astype(np.int32)
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-    low, cuts = (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32), [*first.tolist(), len(ids)]
-    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([*bucket[first].tolist(), -1 - number % buckets], pa.int32()), pa.array([number] * (len(spans) + 1), pa.int64()),
-            pa.array([*(low[a:b].tobytes() for a, b in spans), None], pa.binary()), pa.array([*(idx[a:b].tobytes() for a, b in spans), None], pa.binary()),
-            pa.array([*[None] * len(spans), sink.getvalue().to_pybytes()], pa.binary()),
-        ],
-        names=["bucket", "chunk", "low", "idx", "head"],
-    )
+    cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]).tolist(), len(ids)]
+    low, held = (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32), idx[first]
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        own = one[x:y]
+        rows.append((int(bucket[x]), low[x:y][own].tobytes(), held[x:y][own].tobytes(), low[x:y][~own].tobytes(), m[x:y][~own].tobytes(), None))
+    # The chunk's own row, in a group of its own: its documents, and those that share a shingle within the chunk.
+    place = int(_words.mix(np.array([number], np.uint64))[0] >> np.uint64(34))
+    rows.append((-1 - place, ids[~one].tobytes(), lists.tobytes(), None, m[~one].tobytes(), sink.getvalue().to_pybytes()))
+    kinds = (pa.int32(), *[pa.binary()] * 5)
+    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([columns[0], pa.array([number] * len(rows), pa.int64()), *columns[1:]], names=_SENT)
+
+
+_SENT = ["bucket", "chunk", "low", "idx", "shared", "m", "head"]
+
+
+def _numbers(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), kind) for v in column]
 
 
 def _count(key, table):
-    """In a bucket: what each chunk has of the shingles that several documents have, with the counts."""
-    names = ["chunk", "bucket", "low", "idx", "n", "head"]
+    """In a bucket: what each chunk has of the shingles that several documents have, with the counts.
+
+    `low` and `idx` are shingles of one document of a chunk, `n` their counts; `shared` are those of several, `m` theirs.
+    """
+    names = ["chunk", "bucket", "low", "idx", "n", "shared", "m", "head"]
     if key[0].as_py() < 0:
         none = pa.nulls(table.num_rows, pa.binary())
-        return pa.table([table["chunk"], table["bucket"], none, none, none, table["head"]], names=names)
-    low = [np.frombuffer(v.as_buffer(), np.uint32) for v in table["low"]]
-    idx = [np.frombuffer(v.as_buffer(), np.uint16) for v in table["idx"]]
-    flat = np.concatenate(low)
+        return pa.table([table["chunk"], table["bucket"], table["low"], table["idx"], none, none, table["m"], table["head"]], names=names)
+    low, idx, shared, m = (_numbers(table[c], k) for c, k in (("low", np.uint32), ("idx", np.uint16), ("shared", np.uint32), ("m", np.uint32)))
+    flat = np.concatenate([x for pair in zip(low, shared, strict=True) for x in pair])
+    documents = np.concatenate([x for a, b in zip(low, m, strict=True) for x in (np.ones(len(a), np.uint32), b)])
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-    run = np.diff(np.append(first, len(flat)))
+    first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0)[: len(flat)])
     n = np.empty(len(flat), np.uint32)
-    n[order] = np.repeat(run, run)
+    if len(flat):
+        n[order] = np.repeat(np.add.reduceat(documents[order], first, dtype=np.uint64).clip(max=2**32 - 1).astype(np.uint32), np.diff(np.append(first, len(flat))))
     rows, at = [], 0
-    for chunk, x, i in zip(table["chunk"].to_pylist(), low, idx, strict=True):
-        c = n[at : at + len(x)]
-        at += len(x)
+    for chunk, x, i, y in zip(table["chunk"].to_pylist(), low, idx, shared, strict=True):
+        c, d = n[at : at + len(x)], n[at + len(x) : at + len(x) + len(y)]
+        at += len(x) + len(y)
         more = c > 1
-        if more.any():
-            rows.append((chunk, key[0].as_py(), x[more].tobytes(), i[more].tobytes(), c[more].tobytes(), None))
-    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
+        if more.any() or len(y):
+            rows.append((chunk, key[0].as_py(), x[more].tobytes(), i[more].tobytes(), c[more].tobytes(), y.tobytes(), d.tobytes(), None))
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
 
 
 def choose_prefix(counts: np.ndarray, n: int, distinct: int, threshold: tuple[int, int]) -> tuple[int, int]:
@@ -137,14 +154,22 @@ def _prefixes(threshold: tuple[int, int]):
     def work(key, table):
         """In a chunk: a row for each document, with the shared shingles of its prefix."""
         described = pc.is_valid(table["head"])
-        head = pa.ipc.open_stream(table["head"].filter(described)[0].as_buffer()).read_all()
+        own = table.filter(described)
+        head = pa.ipc.open_stream(own["head"][0].as_buffer()).read_all()
         parts = table.filter(pc.invert(described))
         size, distinct = head["n"].to_numpy(), head["distinct"].to_numpy()
         pri, tokens = np.minimum(distinct, 1 << 24).astype(np.int64) * MOST_MATCHES, [[]] * len(size)
         if parts.num_rows:
-            low, idx, n = ([np.frombuffer(v.as_buffer(), k) for v in parts[c]] for c, k in (("low", np.uint32), ("idx", np.uint16), ("n", np.uint32)))
-            ids = np.repeat(parts["bucket"].to_numpy().astype(np.uint64) << np.uint64(32), list(map(len, low))) | np.concatenate(low)
-            idx, n = np.concatenate(idx), np.concatenate(n)
+            low, idx, n = (_numbers(parts[c], k) for c, k in (("low", np.uint32), ("idx", np.uint16), ("n", np.uint32)))
+            high = parts["bucket"].to_numpy().astype(np.uint64) << np.uint64(32)
+            ids, idx, n = np.repeat(high, list(map(len, low))) | np.concatenate(low), np.concatenate(idx), np.concatenate(n)
+            # Shingles of several documents here all come back; their documents are in the chunk's own row.
+            shared, total = (_numbers(parts[c], np.uint32) for c in ("shared", "m"))
+            several = np.repeat(high, list(map(len, shared))) | np.concatenate(shared)
+            by, m = np.argsort(several), np.frombuffer(own["m"][0].as_buffer(), np.uint32)
+            ids = np.concatenate([ids, np.repeat(several[by], m)])
+            idx = np.concatenate([idx, np.frombuffer(own["idx"][0].as_buffer(), np.uint16)])
+            n = np.concatenate([n, np.repeat(np.concatenate(total)[by], m)])
             order = np.lexsort((ids, n, idx))
             ids, idx, n = ids[order].view(np.int64), idx[order], n[order]
             first = np.flatnonzero(np.append(True, np.diff(idx.astype(np.int32)) != 0))
@@ -180,8 +205,8 @@ def _front(rows: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
             yield _chunk(number, buckets, pa.concat_arrays(docs), sets)
 
     kind = rows.schema["doc"].dataType.simpleString()
-    sent = rows.mapInArrow(run, "bucket int, chunk long, low binary, idx binary, head binary")
-    counted = sent.groupBy("bucket").applyInArrow(_count, "chunk long, bucket int, low binary, idx binary, n binary, head binary")
+    sent = rows.mapInArrow(run, "bucket int, chunk long, low binary, idx binary, shared binary, m binary, head binary")
+    counted = sent.groupBy("bucket").applyInArrow(_count, "chunk long, bucket int, low binary, idx binary, n binary, shared binary, m binary, head binary")
     short = "".join(f", {b} long" for b in _BITS)
     return stored(counted.groupBy("chunk").applyInArrow(_prefixes(threshold), f"doc {kind}, n int, node binary, bits binary{short}, pri int, tokens array<long>"))
 

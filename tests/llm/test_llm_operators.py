@@ -315,6 +315,43 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_common_shingles_are_one_entry_a_chunk():
+    """However many documents of a chunk have a shingle, its bucket gets it once, and counts stay exact."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    common = np.uint64(0x123456789ABCDEF0)
+    for n in (1, 10, 300):
+        chunks, sets = [], []
+        for number in range(4):
+            own = [np.unique(np.append(rng.integers(0, 2**63, 6).astype(np.uint64) % np.uint64(40) << np.uint64(32), common)) for _ in range(n)]
+            chunks.append(jaccard_join._chunk(number << 32, 3, pa.array(range(n)), own))
+            sets += own
+        rows = pa.Table.from_batches(chunks)
+        count = {}
+        for s in sets:
+            for x in s.tolist():
+                count[x >> 32] = count.get(x >> 32, 0) + 1
+        back = []
+        for bucket in sorted(set(rows["bucket"].to_pylist())):
+            held = rows.filter(pa.compute.equal(rows["bucket"], bucket))
+            if bucket >= 0:
+                every = [np.frombuffer(x, np.uint32) for c in ("low", "shared") for x in held[c].to_pylist()]
+                assert sum((x == (int(common) & 0xFFFFFFFF)).sum() for x in every) <= 4
+                assert sum(map(len, every)) <= 4 * 41
+            else:
+                assert held.num_rows == 1
+            back.append(jaccard_join._count((pa.scalar(bucket),), held))
+        back = pa.concat_tables(back)
+        for r in back.filter(pa.compute.is_null(back["head"])).to_pylist():
+            for ids, totals in ((r["low"], r["n"]), (r["shared"], r["m"])):
+                assert all(t > 1 for t in np.frombuffer(totals, np.uint32))
+        for number in range(4):
+            held = back.filter(pa.compute.equal(back["chunk"], number << 32))
+            out = jaccard_join._prefixes((85, 100))(None, held)
+            assert out.num_rows == n and out["n"].to_pylist() == list(map(len, sets[number * n : number * n + n]))
+
+
 def test_prefixes_share_enough():
     draw = np.random.default_rng(1)
 
