@@ -130,11 +130,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 def all_spans(text: str, model: MarkovPair, threshold: float) -> list[tuple[int, int, str]]:
     """Base matches and, apart from them, the runs that the models take for random strings."""
     spans = base_spans(text)
-    added = [
-        (m.start(), m.end(), "random")
-        for m in RUN.finditer(text)
-        if not any(a < m.end() and m.start() < b for a, b, _ in spans) and model.score(m[0]) > threshold
-    ]
+    taken, k, added = apart(spans), 0, []  # both they and the runs are in order, so one walk tells which are apart
+    for m in RUN.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if (k == len(taken) or m.end() <= taken[k][0]) and model.score(m[0]) > threshold:
+            added.append((m.start(), m.end(), "random"))
     return sorted(spans + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else spans
 
 
