@@ -325,9 +325,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
             lists, special = [], []
             for t in texts.to_pylist():
                 words, at = bpe.words(t)
-                for i in reversed(at):
-                    del words[i]
-                lists.append(words)
+                lists.append(without(words, at))
                 special.append(len(at))
             known = memo.look_up(lists)
             n = [sum(map(known.__getitem__, w)) + s for w, s in zip(lists, special, strict=True)]
@@ -343,10 +341,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
     return map_slices(rows, work, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
 
 
+def without(words: list[str], places: list[int]) -> list[str]:
+    """The words that aren't at one of the places."""
+    if not places:
+        return words
+    gone = set(places)
+    return [w for i, w in enumerate(words) if i not in gone]
+
+
 def encode_ids(bpe: ByteBPE, memo: _Memo, texts: list[str]) -> list[bytes]:
     """The ids of whole texts as packed little-endian unsigned 32-bit integers."""
     split = [bpe.words(t) for t in texts]
-    plain = [[w for i, w in enumerate(words) if i not in set(at)] if at else words for words, at in split]
+    plain = [without(words, at) for words, at in split]
     known = memo.look_up(plain)
     out = []
     for words, at in split:
