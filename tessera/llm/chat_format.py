@@ -76,29 +76,25 @@ def render(messages: DataFrame) -> DataFrame:
     head = F.concat(F.lit(OPEN), escape(F.coalesce("role", F.lit(""))), F.lit(ROLE_END))
     body = escape(F.coalesce("text", F.lit("")))
     turn = messages.select("chat", "piece", "turn", "part", head.alias("head"), body.alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss"))
-    pieces = turn.groupBy("chat", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "part", "head", "body", "loss"))).alias("turns"))
-    pieces = pieces.select(
-        "chat",
-        "piece",
-        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.transform("turns", lambda t: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), t["loss"].alias("loss"))).alias("sizes"),
+    # Where texts begin: running sums inside pieces, and over pieces.
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    inside = Window.partitionBy("chat", "piece").orderBy("turn", "part", "head", "body", "loss").rowsBetween(Window.unboundedPreceding, -1)
+    turn = turn.withColumn("start", (F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.length("head")).cast("int"))
+    span = F.struct("start", (F.col("start") + F.length("body")).alias("end"))
+    pieces = turn.groupBy("chat", "piece").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "part", "head", "body", "loss"))).alias("turns"),
+        F.sort_array(F.collect_list(F.when(F.col("loss"), span))).alias("spans"),
+        F.sum(size).alias("size"),
     )
-    whole = pieces.groupBy("chat").agg(F.sort_array(F.collect_list(F.struct("piece", "formatted", "sizes"))).alias("pieces"))
-    sizes = F.flatten(F.transform("pieces", lambda p: p["sizes"]))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["head"]
-        span = F.struct(begin.alias("start"), (begin + s["body"]).alias("end"))
-        return F.struct(
-            (begin + s["body"] + len(CLOSE)).alias("at"),
-            F.when(s["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
-
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
+    along = Window.partitionBy("chat").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("chat", "piece", formatted.alias("formatted"), "spans", F.coalesce(F.sum("size").over(along), F.lit(0)).cast("int").alias("before"))
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("before")).alias("start"), (s["end"] + F.col("before")).alias("end")))
+    whole = pieces.select("chat", "piece", "formatted", moved.alias("spans")).groupBy("chat").agg(F.sort_array(F.collect_list(F.struct("piece", "formatted", "spans"))).alias("pieces"))
     return whole.select(
         F.col("chat.conv_id").alias("conv_id"),
         F.array_join(F.transform("pieces", lambda p: p["formatted"]), "").alias("formatted"),
-        F.aggregate(sizes, start, walk)["spans"].alias("loss_spans"),
+        F.flatten(F.transform("pieces", lambda p: p["spans"])).alias("loss_spans"),
     )
 
 
