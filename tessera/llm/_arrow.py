@@ -50,19 +50,40 @@ def taken(df: DataFrame, key: str, text: str, carry: bool = False) -> tuple[Data
     return (out, kind, f", row {out.schema['row'].dataType.simpleString()}", df.columns.index(text)) if carry else (out, kind, "", None)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together as long as they have `most` bytes at most."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def map_slices(
-    df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text", most: int = SLICE_BYTES, inner: int | None = None
+    df: DataFrame,
+    work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    schema: str,
+    text: str = "text",
+    most: int = SLICE_BYTES,
+    inner: int | None = None,
+    gather: int = 0,
 ) -> DataFrame:
     """Apply a per-slice function over `df` on the executors.
 
     `work()` runs once per task and returns the function, so that models and caches are set up once. Rows stay
     where the scan put them: there is no shuffle, and a lost executor costs only its own partitions. With `inner` the
-    text is that field of the last column, and the function sees it as the second column.
+    text is that field of the last column, and the function sees it as the second column. With `gather` batches are put
+    together up to so many bytes before they are cut.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
-        for batch in batches:
+        for batch in gathered(batches, gather) if gather else batches:
             if inner is not None:
                 first, *rest = batch.columns
                 batch = pa.RecordBatch.from_arrays([first, rest[-1].field(inner), *rest], names=["key", "text", *batch.schema.names[1:]])

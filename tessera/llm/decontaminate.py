@@ -14,9 +14,9 @@ from ._arrow import map_slices, taken
 WINDOW = 10
 #: Words of a block of the shift tables.
 BLOCK = 3
-#: Test items are searched in passes of at most this many bytes of text (four for each character), so that the
-#: tables of a pass, some hundred times the text, fit beside a task.
-PASS_BYTES = 4 << 20
+#: Test items are searched in passes of at most this many bytes of words, so that the tables of a pass, some hundred
+#: times the text, fit beside a task. Where there are more passes, so much text of documents is searched in one go.
+PASS_BYTES, HELD_BYTES = 1 << 20, 64 << 20
 
 # ASCII letters in lower case, digits and all other characters make words; the rest of ASCII parts them.
 _TABLE = bytes(
@@ -68,28 +68,48 @@ class WuManber:
             i += 1
 
 
-def searchers(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
+#: Words of an item and the length of its windows: a pass holds pieces of items.
+Piece = tuple[str, list[bytes], int]
+
+
+def pieces(name: str, text: str | None, window: int, most: int) -> Iterator[Piece]:
+    """An item's words in pieces of about `most` bytes at most that overlap, so that each window lies in one of them."""
+    words = words_of(text)
+    size = min(window, len(words))
+    if not size:
+        return
+    start, held = 0, 0
+    for i, w in enumerate(words):
+        held += len(w) + 1
+        if held > most and i - start >= size:
+            yield name, words[start:i], size
+            start = i - size + 1
+            held = sum(len(x) + 1 for x in words[start : i + 1])
+    yield name, words[start:], size
+
+
+def searchers(held: Iterable[Piece]) -> list[WuManber]:
     """One automaton for each length of patterns: the window, and the lengths of shorter items."""
     by: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for name, text in items:
-        words = words_of(text)
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
+    for name, words, size in held:
+        for i in range(len(words) - size + 1):
             by.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(name)
     return [WuManber(patterns, size) for size, patterns in sorted(by.items())]
 
 
-def _passes(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str | None]]]:
+def _passes(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> Iterator[list[Piece]]:
     held, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
     for r in rows.toLocalIterator():
-        n = len(r["t"] or "") * 4
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append((r["i"], r["t"]))
-        size += n
-    yield held
+        for piece in pieces(r["i"], r["t"], window, most):
+            n = sum(map(len, piece[1])) + len(piece[1])
+            if held and size + n > most:
+                yield held
+                held, size = [], 0
+            held.append(piece)
+            size += n
+    if held:
+        yield held
 
 
 def find_contamination(
@@ -109,61 +129,46 @@ def find_contamination(
     document's word is hit if it lies in any occurrence of a window; `items` are those with occurring windows,
     sorted as strings.
 
-    The test items are a stated query set: they are read in passes of bounded size, and each pass is a scan that
-    adds to the hits already found in a row, so nothing is shuffled. A null text has no words; null item names
+    The test items are a stated query set: their words go to all tasks in passes of bounded size, long items in
+    overlapping pieces. Documents are scanned once, in one stage: a task builds the tables of a pass, searches the
+    documents that it holds (all of its input, one slice at a time, where there is one pass; HELD_BYTES of it where there
+    are more), and goes on to the next pass. Nothing is shuffled. A null text has no words; null item names
     count as empty strings; repeated items and rows count once by name and each on their own. Other columns are
     not read, and an empty table gives an empty result, an empty benchmark no hits. With `carry` the whole input row
     follows as the struct `row`.
     """
     rows, kind, row, inner = taken(docs, key, text, carry)
-    out = rows.select("key", *([] if carry else ["text"]), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *(["row"] if carry else []))
-    passes = _passes(benchmark, item, item_text, pass_bytes)
-    block = next(passes)
-    while block is not None:  # one pass at a time is on the driver
-        following = next(passes, None)
-        patterns = docs.sparkSession.sparkContext.broadcast(searchers(block, window))
-        out = _scan(out, patterns, kind, row, inner, following is None)
-        block = following
-    return out.withColumnRenamed("key", key)
-
-
-def _scan(rows: DataFrame, patterns, kind: str, row: str, inner: int | None, final: bool) -> DataFrame:
+    share = docs.sparkSession.sparkContext.broadcast
+    passes = [share(held) for held in _passes(benchmark, item, item_text, window, pass_bytes)]
+
     def work():
-        automata = patterns.value
+        only = searchers(passes[0].value) if len(passes) == 1 else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, before = batch.column(1).to_pylist(), zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            counts, marks, names = [], [], []
-            for t, (old, named) in zip(texts, before, strict=True):
-                words = words_of(t)
-                mark, items = None if old is None else bytearray(old), set(named or ())
-                for a in automata:
+            texts = list(map(words_of, batch.column(1).to_pylist()))
+            marks: list[bytearray | None] = [None] * len(texts)
+            names: list[set[str]] = [set() for _ in texts]
+            for held in passes:
+                for a in only or searchers(held.value):
                     ones = b"\x01" * a.length
-                    for i, found in a.search(words):
-                        mark = mark or bytearray(len(words))
-                        mark[i : i + a.length] = ones
-                        items |= found
-                counts.append(len(words))
-                marks.append(mark)
-                names.append(sorted(items))
-            if not final:
-                text = [] if inner is not None else [batch.column(1)]
-                columns = [batch.column(0), *text, pa.array([m and bytes(m) for m in marks], pa.binary()), pa.array(names, pa.list_(pa.string())), *batch.columns[4:]]
-                return pa.RecordBatch.from_arrays(columns, names=["key", *(["text"] if text else []), "hit", "items", *batch.schema.names[4:]])
+                    for n, words in enumerate(texts):
+                        for i, found in a.search(words):
+                            if marks[n] is None:
+                                marks[n] = bytearray(len(words))
+                            marks[n][i : i + a.length] = ones
+                            names[n] |= found
+            items = list(map(sorted, names))
             hits = [sum(m) if m else 0 for m in marks]
             return pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(list(map(len, names)), pa.int64()), pa.array(names, pa.list_(pa.string())),
-                    pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), *batch.columns[4:],
+                    batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(hits, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(items, pa.list_(pa.string())),
+                    pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), *batch.columns[2:],
                 ],
-                names=["key", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", *batch.schema.names[4:]],
+                names=["key", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", *batch.schema.names[2:]],
             )
 
         return step
 
-    schema = (
-        f"key {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
-        if final
-        else f"key {kind}, {'' if inner is not None else 'text string, '}hit binary, items array<string>"
-    )
-    return map_slices(rows, work, schema + row, inner=inner)
+    schema = f"key {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean{row}"
+    held = {"most": HELD_BYTES, "gather": HELD_BYTES} if len(passes) > 1 else {}
+    return map_slices(rows, work, schema, inner=inner, **held).withColumnRenamed("key", key)

@@ -424,7 +424,7 @@ def test_decontamination(spark):
 @given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), max_size=5))
 def test_wu_manber_finds_all(words, patterns):
     words = [w.encode() for w in words]
-    for a in decontaminate.searchers([(str(i), " ".join(p)) for i, p in enumerate(patterns)], window=4):
+    for a in decontaminate.searchers([x for i, p in enumerate(patterns) for x in decontaminate.pieces(str(i), " ".join(p), 4, 5)]):
         found = {(i, n) for i, items in a.search(words) for n in items}
         want = set()
         for n, p in enumerate(patterns):
