@@ -11,10 +11,13 @@ from tessera.queries import tables
 from tessera.queries.registry import Registry, table
 from tessera.storage import new_path
 from tessera.streaming import events as E
+from tessera.streaming import framing
 from tessera.streaming import memory as S
 
 _registry = Registry()
 _TIME = "yyyy-MM-dd HH:mm:ss"
+#: Events of answers that events of the table stand for.
+_NAMES = (("signup", "start"), ("click", "tool_call"), ("view", "message"), ("purchase", "done"), ("error", "error"))
 
 
 def _shown(df: DataFrame, *times: str) -> DataFrame:
@@ -80,11 +83,31 @@ SELECT user_id AS request_id, CASE WHEN failed THEN 'error' WHEN done THEN 'done
 )
 def reply_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events as logs of answers, folded to their states."""
-    names = F.create_map(*(F.lit(v) for p in (("signup", "start"), ("click", "tool_call"), ("view", "message"), ("purchase", "done"), ("error", "error")) for v in p))
+    names = F.create_map(*(F.lit(v) for p in _NAMES for v in p))
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), names[F.col("event_type")].alias("event"), F.lit("").alias("data"))
     return E.replies(log).select("request_id", "state", "n_events")
 
 
+
+
+@_registry.add(
+    """WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type, props FROM events),
+n AS (SELECT user_id, count(*) AS seq FROM events GROUP BY 1 HAVING NOT bool_or(event_type = 'purchase'))
+SELECT CAST(user_id AS VARCHAR) AS request_id, CAST(seq AS BIGINT) AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'tool_call' WHEN 'view' THEN 'message'
+  WHEN 'purchase' THEN 'done' ELSE 'error' END AS event, trim(props) AS data FROM l
+UNION ALL SELECT CAST(user_id AS VARCHAR), CAST(seq AS BIGINT), 'done', '{}' FROM n"""
+)
+def stream_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as bodies of answers, cut into chunks of a few bytes, dealt over micro-batches and put together again."""
+    names = F.create_map(*(F.lit(v) for p in _NAMES for v in p))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("request_id"), F.col("event_id").alias("seq"), names[F.col("event_type")].alias("event"), F.col("props").alias("data"))
+    chunks = framing.cut(framing.rendered(log), 40 + F.crc32("request_id") % 60)
+    path = new_path(spark, "chunks")
+    chunks.repartition(3, F.xxhash64("request_id", "number")).write.parquet(path)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return E.run_stateful(framing.reassemble(stream))
+
+
 def _streamed(spark: SparkSession, changes: DataFrame, **options) -> DataFrame:
     """The records that a stream of these changes ends with; a last tick lets the watermark pass them all."""
     path = new_path(spark, "changes")

@@ -36,6 +36,21 @@ def run_to_end(stream: DataFrame, mode: str = "complete", base: str | None = Non
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+#: The state store that stateful processors need.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_stateful(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """`run_to_end` for a stream with a stateful processor, whose rows are appended; the session's state store is put back after it."""
+    conf, (name, store) = stream.sparkSession.conf, STATE_STORE
+    before = conf.get(name, None)
+    conf.set(name, store)
+    try:
+        return run_to_end(stream, "append", base)
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
+
+
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """Events and value by type and window: window_start, event_type, n, total."""
     return sliding(events, width, width)

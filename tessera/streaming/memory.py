@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators import memory as M
-from tessera.streaming.events import run_to_end
+from tessera.streaming.events import run_stateful
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _TIMES = ("last_accessed_at", "expires_at", "created_at", "updated_at")
 _RECORD = (
     "memory_type string, content string, told string, conversation_id string, session_id string, base_importance_score double, importance_score double, "
@@ -243,17 +242,8 @@ def keep_memories(changes: DataFrame, delay: str, first: datetime | None = None,
 
 
 def run(changes: DataFrame, delay: str, first: datetime | None = None, every: timedelta | None = None, base: str | None = None) -> DataFrame:
-    """Process all that is there now; returns the whole log so far. The same `base` again continues from its checkpoint.
-
-    State lives in RocksDB, whose setting the session gets for as long as this runs.
-    """
-    spark, name = changes.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
-    try:
-        return run_to_end(keep_memories(changes, delay, first, every), "append", base)
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    """Process all that is there now; returns the whole log so far. The same `base` again continues from its checkpoint."""
+    return run_stateful(keep_memories(changes, delay, first, every), base)
 
 
 def end_state(log: DataFrame) -> DataFrame:
