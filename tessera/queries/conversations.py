@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions import text as X
 from tessera.lexicon import ENGLISH
 from tessera.operators import conversations as C
@@ -93,10 +94,32 @@ def memory_chunks_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.memory_chunks(table(spark, sf_dir, "conversations"))
 
 
+@_registry.add()
+def sql_memory_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`memory_chunks_greedy` by a table function, from SQL text."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM memory_chunks(TABLE(SELECT * FROM {rows}) PARTITION BY conv_id ORDER BY turn)", rows=table(spark, sf_dir, "conversations"))
+
+
+def _changes(held: str, turn: str) -> bool:
+    return held[4:5].lower() != turn[4:5].lower()
+
+
+def _opening(text: str) -> dict:
+    return {"topic": text[4:24], "summary": text[4:84]}
+
+
+@_registry.add()
+def sql_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`semantic_memory_chunks` by a table function, from SQL text."""
+    tables.register(spark, _changes, _opening)
+    return spark.sql("SELECT * FROM semantic_chunks(TABLE(SELECT * FROM {rows}) PARTITION BY conv_id ORDER BY turn, token_limit => 200)", rows=table(spark, sf_dir, "conversations"))
+
+
 @_registry.add()
 def semantic_memory_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories by topic, where a topic changes when two turns begin with different letters, and a summary is an opening."""
-    return C.semantic_chunks(table(spark, sf_dir, "conversations"), lambda held, turn: held[4:5].lower() != turn[4:5].lower(), lambda t: {"topic": t[4:24], "summary": t[4:84]}, 200)
+    return C.semantic_chunks(table(spark, sf_dir, "conversations"), _changes, _opening, 200)
 
 
 _COUNT = " + ".join(f"(len(x) - len(replace(x, '{m}', ''))) / {len(m)}" for m in ENGLISH.strong_markers)

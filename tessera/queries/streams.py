@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +108,28 @@ def stream_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.run_stateful(framing.reassemble(stream))
 
 
+@_registry.add(
+    """SELECT a.event_id, coalesce(w.event_id, -1) AS write_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') w ON a.user_id = w.user_id AND w.ts BETWEEN a.ts AND a.ts + INTERVAL 2 HOUR"""
+)
+def stream_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as answers and views as memory writes: an outer join of two streams; a tick on either side ends them."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    later = F.lit(datetime(2100, 1, 1)).cast("timestamp")
+
+    def stream(kind: str, time: str, name: str) -> DataFrame:
+        rows = events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("request_id"), F.col("ts").alias(time), F.col("event_id").alias(name))
+        # No request has this number; a filter that drops the tick could be pushed below the watermark.
+        tick = spark.range(1).select(F.lit(-1 if time == "at" else -2).cast("long").alias("request_id"), later.alias(time), F.lit(-1).cast("long").alias(name))
+        path = new_path(spark, kind)
+        rows.write.parquet(path)
+        tick.write.mode("append").parquet(path)
+        return spark.readStream.schema(rows.schema).parquet(path)
+
+    joined = E.with_writes(stream("purchase", "at", "event_id"), stream("view", "written", "write_id"), "2 HOURS")
+    return E.run_to_end(joined.select("event_id", F.coalesce("write_id", F.lit(-1)).alias("write_id")), "append").filter("event_id >= 0")
+
+
 def _streamed(spark: SparkSession, changes: DataFrame, **options) -> DataFrame:
     """The records that a stream of these changes ends with; a last tick lets the watermark pass them all."""
     path = new_path(spark, "changes")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.lexicon import ENGLISH
-from tessera.operators import memory, sheets
+from tessera.operators import memory, sheets, timejoin
 from tessera.queries.registry import Registry, table
 from tessera.schemas import MEMORY_RECORDS
-from tessera.sources import rewrite
+from tessera.sources import batched, deletion, rewrite
+from tessera.sources import sheets as sheet_source
+from tessera.storage import new_path
 
 AS_OF = datetime(2024, 4, 1)
 _registry = Registry()
@@ -237,4 +240,79 @@ def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.update_fields(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("n_chars")), ["doc_id"])
 
 
+@_registry.add(
+    """WITH r AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT l.event_id, coalesce(r.event_id, -1) AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'error') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts"""
+)
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with its user's last purchase until then."""
+    events = table(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_purchase"))
+    return timejoin.as_of(events.filter("event_type = 'error'"), bought, ["user_id"], "ts", "ts", ["last_purchase"], "last_purchase").select("event_id", F.coalesce("last_purchase", F.lit(-1)).alias("last_purchase"))
+
+
+@_registry.add(
+    """SELECT l.event_id, coalesce(r.event_id, -1) AS purchase, coalesce(r.value, -1.0) AS value FROM (SELECT * FROM events WHERE event_type = 'click') l
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND r.ts BETWEEN l.ts - INTERVAL 30 MINUTE AND l.ts + INTERVAL 2 HOUR"""
+)
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with their user's purchases from half an hour before to two hours after."""
+    events = table(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase"), "value")
+    clicks = events.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    return timejoin.interval_join(clicks, bought, ["user_id"], "ts", "ts", 1800, 7200, ["purchase", "value"], "left").select("event_id", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("purchase", "value")))
+
+
+@_registry.add("SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n FROM documents")
+def batched_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the batched sink into a folder store, and read back."""
+    path = new_path(spark, "store")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    batched.insert_rows(rows, partial(batched.FolderStore, path), batch=500)
+    return batched.read_store(spark, path, rows.schema).select("doc_id", "source", F.length("text").cast("long").alias("n"))
+
+
+@_registry.add(
+    """SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN 'ready' ELSE 'processing' END AS status,
+  CASE WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN '删除失败: even numbers stay' END AS message, CAST(1 AS BIGINT) AS n_chunks FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 3 = 0 OR doc_id % 14 = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'ready', NULL, 1 FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 3 <> 0"""
+)
+def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletion by the journal: documents of every seventh number are asked for, in two requests; the even ones' files can't go."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string")
+    status = F.when((F.col("doc_id") % 7 != 0) & (F.col("doc_id") % 3 == 0), "processing").otherwise("ready")
+    held = docs.select(name.alias("document_id"), status.alias("status"), F.lit(None).cast("string").alias("error_message"), F.concat(F.lit("/files/"), name).alias("stored_path"))
+    base = new_path(spark, "deletion")
+    gone: list[DataFrame] = []
+
+    def no_file(due: DataFrame) -> None:
+        if due.filter(F.col("document_id").cast("long") % 2 == 0).limit(1).count():
+            raise RuntimeError("even numbers stay")
+
+    for even in (False, True):
+        job = deletion.Deletion(f"{base}/journal", lambda due: None if even else gone.append(due), no_file)
+        job.request(held, held.filter((F.col("document_id").cast("long") % 7 == 0) & ((F.col("document_id").cast("long") % 2 == 0) == F.lit(even))), AS_OF)
+        job.run(held, AS_OF)
+    chunks = held.select("document_id")
+    for due in gone:
+        chunks = rewrite.delete_keys(chunks, due, ["document_id"])
+    left = job.table(held).join(chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks")), "document_id", "left")
+    return left.select("document_id", "status", F.col("error_message").alias("message"), "n_chunks")
+
+
+@_registry.add()
+def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sheets of a user's workbook, one for each type: header, blanks to be filled down, and rows, as texts."""
+    events = table(spark, sf_dir, "events")
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    number = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    cells = F.array(F.when(F.col("n") % 3 == 1, kind).otherwise(""), F.col("event_id").cast("string"), F.col("value").cast("string"), F.get_json_object("props", "$.k"))
+    rows = events.withColumn("n", number).select(user.alias("document_id"), kind.alias("sheet"), F.col("n").cast("long").alias("row_no"), F.transform(cells, lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
+    names = F.array(*(F.lit(c) for c in ("类型", "id", "value", "")))
+    heads = rows.select("document_id", "sheet").distinct().select("document_id", "sheet", F.lit(0).cast("long").alias("row_no"), names.alias("cells"))
+    held = rows.unionByName(heads).select("document_id", F.lit("events.xlsx").alias("source_name"), (F.crc32("sheet") % 1_000_000_007).cast("int").alias("sheet_no"), "sheet", "row_no", "cells", F.lit(None).cast("string").alias("error"))
+    return sheet_source.sheet_texts(held)
+
+
 QUERIES, ORACLES = _registry.queries, _registry.oracles

@@ -112,11 +112,13 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
                     else:
                         text = float(v.text)
                     cells[y, x] = cell_text(text)
+            used = [max((p[i] for p, v in cells.items() if v), default=-1) + 1 for i in (0, 1)]
             for merged in root.iter(f"{_S}mergeCell"):
                 a, _, b = merged.get("ref", "A1").partition(":")
                 (xa, ya), (xb, yb) = ((_column_number(r), int(re.search(r"\d+", r)[0]) - 1) for r in (a, b or a))
-                for y in range(ya, yb + 1):
-                    for x in range(xa, xb + 1):
+                # A merge may span whole rows or columns: only what the sheet uses is filled.
+                for y in range(ya, min(yb + 1, used[0])):
+                    for x in range(xa, min(xb + 1, used[1])):
                         cells.setdefault((y, x), cells.get((ya, xa), ""))
             height, width = (max((p[i] for p, v in cells.items() if v), default=-1) + 1 for i in (0, 1))
             yield sheet.get("name", ""), [[cells.get((y, x), "") for x in range(width)] for y in range(height)]

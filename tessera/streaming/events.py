@@ -90,6 +90,20 @@ def enrich(events: DataFrame, table: DataFrame, on: str) -> DataFrame:
     return events.join(table, on, "left")
 
 
+def with_writes(answers: DataFrame, writes: DataFrame, within: str, delay: str = DELAY) -> DataFrame:
+    """Answers (request_id, at, ...) with the memory writes (request_id, written, ...) that follow them `within` a time.
+
+    An answer whose write doesn't come in time has nulls; where both stream, that is known when both watermarks have passed
+    the interval, and state is kept no longer. Both sides may be late by `delay`. Batches give the same rows.
+    """
+    if answers.isStreaming:
+        answers, writes = answers.withWatermark("at", delay), writes.withWatermark("written", delay)
+    a, w = answers.alias("a"), writes.alias("w")
+    near = (F.col("a.request_id") == F.col("w.request_id")) & (F.col("w.written") >= F.col("a.at")) & (F.col("w.written") <= F.col("a.at") + F.expr(f"INTERVAL {within}"))
+    more = [F.col(f"w.{c}") for c in writes.columns if c != "request_id"]
+    return a.join(w, near, "left").select("a.*", *more)
+
+
 def replies(log: DataFrame) -> DataFrame:
     """Fold an event log of answers (request_id, seq, event, data) to request_id, state, text and n_events.
 
