@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from tessera.lexicon import CHINESE, Lexicon
 
@@ -288,21 +288,66 @@ def rule_intent(query: str | None, use_retrieval: bool = True, lexicon: Lexicon
     return Intent(True, "knowledge_keyword", rewritten=text) if knowledge else Intent(False, "direct_default")
 
 
+# Names under which a router's answer gives its decision and the query it wrote, and what the decision may be.
+_ROUTE_NAMES, _QUERY_NAMES = ("route", "intent", "decision", "action"), ("query", "rewritten_query", "search_query", "retrieval_query")
+_RETRIEVE, _DIRECT = ("rag", "retrieve", "retrieval", "knowledge", "kb"), ("direct", "chat", "answer", "none", "no_rag")
+
+
+def _one_line(value: object) -> str:
+    return re.sub(r"\s+", " ", str(value or "")).strip()
+
+
+def _first(payload: dict, names: Sequence[str]) -> object:
+    return next((payload[n] for n in names if payload.get(n)), "")
+
+
+def intent_of(payload: dict, source: str = "llm") -> Intent | None:
+    """A router's parsed answer as an intent: synonyms of route and query, confidence clamped to 0..1; None without a decision."""
+    route = str(_first(payload, _ROUTE_NAMES)).strip().lower()
+    flag = next((payload[n] for n in ("needs_retrieval", "use_rag", "rag") if isinstance(payload.get(n), bool)), None)
+    retrieve = True if route in _RETRIEVE else False if route in _DIRECT else flag
+    if retrieve is None:
+        return None
+    try:
+        sure = None if payload.get("confidence") in (None, "") else max(0.0, min(1.0, float(payload["confidence"])))
+    except (TypeError, ValueError):
+        sure = None
+    reason = _one_line(payload.get("reason") or payload.get("explanation") or route)
+    return Intent(retrieve, f"{source}:{reason}" if reason else source, source, sure if sure is not None else 0.5, _one_line(_first(payload, _QUERY_NAMES)) if retrieve else "")
+
+
 def route_intent(query: str | None, use_retrieval: bool = True, llm: Callable[[str], str] | None = None, lexicon: Lexicon = CHINESE) -> Intent:
     """Rules first; a model decides conflicts and queries without a sign, and rules again if it gives no answer."""
     ruled = rule_intent(query, use_retrieval, lexicon)
     if llm is None or ruled.reason not in ("signal_conflict", "direct_default"):
         return ruled
-    told = load_json(llm(query or ""))
-    for name in ("needs_retrieval", "use_rag", "rag"):
-        if isinstance(told.get(name), bool):
-            sure = told.get("confidence", 0.5)
-            sure = min(1.0, max(0.0, float(sure))) if isinstance(sure, int | float) else 0.5
-            return Intent(told[name], str(told.get("reason") or "model"), "llm", sure, str(told.get("rewritten_query") or query or "").strip())
+    told = intent_of(load_json(llm(query or "")))
+    if told is not None:
+        return replace(told, rewritten=told.rewritten or (query or "").strip())
     retrieve = ruled.reason == "signal_conflict"
     return Intent(retrieve, f"fallback:{ruled.reason}", "fallback", 0.0, (query or "").strip() if retrieve else "")
 
 
+def written_query(answer: str) -> str:
+    """The query in a model's answer: of its JSON object, or its text unless that is fenced."""
+    value = _one_line(_first(load_json(answer), _QUERY_NAMES)) or _one_line(answer)
+    return "" if value.startswith("```") else value
+
+
+def resolve_query(query: str, intent: Intent, llm: Callable[[str, Sequence[dict]], str] | None = None, history: Sequence[dict] = (), lexicon: Lexicon = CHINESE) -> str:
+    """What is searched for: the router's query if it keeps the focus, the query itself after rules or without a model,
+    else what `llm(query, messages of the last three turns)` writes, if that keeps the focus.
+    """
+    text = query.strip()
+    if intent.rewritten and intent.source != "rule" and keeps_focus(text, intent.rewritten, lexicon=lexicon):
+        return intent.rewritten
+    if intent.source == "rule" or llm is None:
+        return text
+    begins = [i for i, m in enumerate(history) if m["role"] == "user"]
+    told = written_query(llm(text, list(history[begins[-3] if len(begins) >= 3 else 0 :])))
+    return told if told and keeps_focus(text, told, lexicon=lexicon) else text
+
+
 def keeps_focus(original: str | None, rewritten: str | None, generic: Sequence[str] = (), lexicon: Lexicon = CHINESE) -> bool:
     """Whether a rewritten query has enough of the first eight specific terms of the original."""
     a, b = (re.sub(r"\s+", " ", (t or "").strip()) for t in (original, rewritten))

@@ -27,23 +27,36 @@ def hashing_embedder(texts: list[str], dimension: int = DIMENSION) -> np.ndarray
     return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
 
-def embed(text: Column, make: Callable[[], Embedder] = lambda: hashing_embedder, batch: int = BATCH) -> Column:
+def bounded(text: str, most: int) -> str:
+    """A text up to the end of its first `most` words or single CJK characters, what a model of so many tokens reads of it."""
+    n, end = 0, 0
+    for m in WORD_OR_RUN.finditer(text):
+        own = 1 if m[0].isascii() else len(m[0])
+        if n + own > most:
+            return text[: m.start() + (most - n) if not m[0].isascii() else end]
+        n, end = n + own, m.end()
+    return text
+
+
+def embed(text: Column, make: Callable[[], Embedder] = lambda: hashing_embedder, batch: int = BATCH, instruction: str = "", most: int | None = None) -> Column:
     """Vectors of a text column. `make()` loads the model once a task; it is given at most `batch` texts at a time.
 
-    Null texts are embedded as empty ones.
+    Null texts are embedded as empty ones. `instruction` is put before each text, as models want it of queries; with `most`
+    a text is cut after so many tokens, the instruction among them.
     """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for texts in batches:
-            held = texts.fillna("").tolist()
+            held = [instruction + t for t in texts.fillna("").tolist()]
+            held = held if most is None else [bounded(t, most) for t in held]
             parts = [model(held[i : i + batch]) for i in range(0, len(held), batch)]
             yield pd.Series([list(map(float, v)) for p in parts for v in p], dtype=object)
 
     return run(text)
 
 
-def with_vectors(chunks: DataFrame, make: Callable[[], Embedder] = lambda: hashing_embedder, text: str = "content") -> DataFrame:
-    """Chunks with their vectors as `embedding`."""
-    return chunks.withColumn("embedding", embed(F.col(text), make))
+def with_vectors(chunks: DataFrame, make: Callable[[], Embedder] = lambda: hashing_embedder, text: str = "content", **options) -> DataFrame:
+    """Chunks with their vectors as `embedding`; `options` are those of `embed`."""
+    return chunks.withColumn("embedding", embed(F.col(text), make, **options))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +31,10 @@ def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return once.join(texts, "parent_id", "left")
 
 
-def sheet_evidence(hits: DataFrame, parents: DataFrame, query: str, lexicon: Lexicon = CHINESE) -> DataFrame:
-    """Replace the first hit of each (document, sheet) by the whole sheet: fields, counts and rows, matching ones first.
+def sheet_evidence(hits: DataFrame, parents: DataFrame, queries: str | Mapping[str, str], lexicon: Lexicon = CHINESE) -> DataFrame:
+    """Replace a query's first hit of each (document, sheet) by the whole sheet: fields, counts and rows, matching ones first.
 
-    `hits` of one query: query_id, document_id, content, file_type, score, rank; parents: document_id, parent_index,
+    `queries` are texts by query_id, or the one text that all hits are of. `hits`: query_id, document_id, content, file_type, score, rank; parents: document_id, parent_index,
     parent_text. Hits that are no table, or that explain other tables, stay as they are. A sheet's first 200 parents
     count; repeated rows count once by their normalised text; rows are written up to 24000 characters.
     """
@@ -56,21 +56,26 @@ def sheet_evidence(hits: DataFrame, parents: DataFrame, query: str, lexicon: Lex
     header = line.groupBy("document_id", "sheet").agg(F.min(F.struct("n", "at", "line", "key")).alias("h"))
     body = line.join(header, ["document_id", "sheet"]).filter("key <> '' and key <> h.key")
     body = first_wins(body.select("document_id", "sheet", "key", "n", "at", "line"), ["document_id", "sheet", "key"], ["n", "at"])
-    wanted = [t for t in Q.keywords(query, 32, lexicon) if t not in lexicon.generic_rows]
-    hit = F.exists(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.col("key"), t)) if wanted else F.lit(False)
-    body = body.withColumn("hit", hit)
-    turn = by_sheet.orderBy(F.desc("hit"), "n", "at")
+    # Rows are prepared once a sheet; what a query asks for tells which come first for it.
+    body = body.join(anchors.select("query_id", "document_id", "sheet"), ["document_id", "sheet"])
+    terms = lambda text: F.array(*(F.lit(t) for t in Q.keywords(text, 32, lexicon) if t not in lexicon.generic_rows)).cast("array<string>")
+    if isinstance(queries, str):
+        wanted = terms(queries)
+    else:
+        wanted = F.create_map(*(v for q, text in queries.items() for v in (F.lit(q), terms(text))))[F.col("query_id")] if queries else F.lit(None).cast("array<string>")
+    body = body.withColumn("wanted", wanted).withColumn("hit", F.coalesce(F.exists("wanted", lambda t: F.contains(F.col("key"), t)), F.lit(False))).drop("wanted")
+    turn = Window.partitionBy("query_id", "document_id", "sheet").orderBy(F.desc("hit"), "n", "at")
     used = F.sum(F.length("line") + 1).over(turn.rowsBetween(Window.unboundedPreceding, 0))
     body = body.withColumns({"used": used, "place": F.row_number().over(turn)})
     shown = F.when(F.col("used") <= SHEET_CHARS, F.struct("place", "line"))
-    whole = body.groupBy("document_id", "sheet").agg(F.count("*").alias("rows"), F.count_if("hit").alias("matched"), F.sort_array(F.collect_list(shown)).alias("shown"))
+    whole = body.groupBy("query_id", "document_id", "sheet").agg(F.count("*").alias("rows"), F.count_if("hit").alias("matched"), F.sort_array(F.collect_list(shown)).alias("shown"))
     whole = whole.filter(F.size("shown") > 0).join(header, ["document_id", "sheet"])
     fields = F.array_join(F.filter(F.transform(F.split("h.line", ","), lambda x: F.trim(x)), lambda x: x != ""), "、")
     text = F.concat(
         F.lit("[Sheet] "), F.col("sheet"), F.lit("\n字段: "), fields, F.lit("\n去重记录数: "), F.col("rows").cast("string"), F.lit("\n优先匹配行数: "),
         F.col("matched").cast("string"), F.lit("\n数据行:\n"), F.array_join(F.transform("shown", lambda s: s["line"]), "\n"),
     )
-    evidence = anchors.join(whole, ["document_id", "sheet"]).select("query_id", "document_id", "rank", text.alias("evidence"))
+    evidence = anchors.join(whole, ["query_id", "document_id", "sheet"]).select("query_id", "document_id", "rank", text.alias("evidence"))
     out = marked.join(evidence, ["query_id", "document_id", "rank"], "left").drop("sheet")
     return out.withColumns(
         {

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking as C
+from tessera.functions import text as X
 from tessera.lexicon import CHINESE, Lexicon
 from tessera.operators import conversations as conv
-from tessera.operators import embedding, memory
+from tessera.operators import embedding, memory, recall
 from tessera.storage import stored
 
 #: Columns of a memory vector.
@@ -69,6 +72,75 @@ def store_topics(
     return _store(memory_rows(chunks, owners, as_of, **{"chunk_type": "semantic"} | named), vectors, records, as_of, make, lexicon)
 
 
+# Questions for the user's name, words that ask to remember, keys of names, and what is said with memories.
+NAME_QUESTIONS = ("我叫什么", "我叫什么名字", "我的名字", "你记得我叫什么", "还记得我叫什么", "记得我叫", "我叫啥")
+REMEMBER = (
+    "记住", "记得", "帮我记", "请记", "以后", "下次", "我的名字", "我叫", "叫我", "我的偏好", "我喜欢", "我不喜欢", "我习惯", "忘记", "别记", "删除记忆", "清除记忆",
+)
+NAME_KEYS = ("profile.name", "profile.username", "profile.real_name")
+NAME_ANSWER, NO_NAME = "当然记得，你叫{}。", "我目前没有查到你已保存的姓名，请再告诉我一次。"
+PROFILE_HEAD = "以下是当前用户已确认的个性化记忆，仅在相关时参考："
+MEMORY_HEAD = "以下是与当前问题相关的长期记忆，仅在相关时参考，不能把未确认信息当作事实："
+#: Memories that a chat recalls, and profile facts that it is told.
+RECALLED, FACTS = 3, 20
+
+
+def _bare(query: str | None) -> str:
+    return re.sub(r"\s+", "", (query or "").strip().lower())
+
+
+def asks_for_name(query: str | None) -> bool:
+    return any(q in _bare(query) for q in NAME_QUESTIONS)
+
+
+def asks_to_remember(query: str | None) -> bool:
+    """Whether profile facts are to be looked for in what was said."""
+    return any(t in _bare(query) for t in REMEMBER)
+
+
+@dataclass(frozen=True)
+class Memories:
+    """A user's memory as a chat sees it: records, vectors (see VECTOR_COLUMNS), the time, and how queries are embedded."""
+
+    user_id: str
+    records: DataFrame
+    vectors: DataFrame
+    as_of: datetime
+    conversation_id: str | None = None
+    session_id: str | None = None
+    make: Callable[[], embedding.Embedder] | None = None
+
+    def facts(self) -> list[tuple[str, str]]:
+        """(key, content) of the user's live profile facts, the most important first."""
+        rows = memory.active_profiles(self.records, self.user_id, self.as_of, FACTS).select("memory_key", "content").collect()
+        return [(r["memory_key"] or "profile", r["content"] or "") for r in rows]
+
+    def name_answer(self, query: str) -> str | None:
+        """The answer to a question for the user's name; none to other questions."""
+        if not asks_for_name(query):
+            return None
+        names = [content.strip() for key, content in self.facts() if key.lower() in NAME_KEYS and content.strip()]
+        return NAME_ANSWER.format(names[0]) if names else NO_NAME
+
+    def recall(self, query: str, k: int = RECALLED) -> DataFrame:
+        """The k nearest memories of the user (and conversation or session, if given) whose records are live events.
+
+        Rows: memory_id, content, live_rank. Vectors are filtered before they are compared; some more neighbours than k
+        are taken, since records may have expired.
+        """
+        own = memory.memory_filter(self.vectors, self.user_id, self.conversation_id, self.session_id)
+        asked = own.sparkSession.createDataFrame([("q", query)], "query_id string, content string")
+        near = recall.dense_retrieve(own, embedding.with_vectors(asked, **({"make": self.make} if self.make else {})), 3 * k, "memory_id")
+        return memory.live_hits(near, self.records, k, self.as_of).select("memory_id", "content", "live_rank")
+
+    def messages(self, query: str, k: int = RECALLED) -> tuple[list[str], list[str]]:
+        """Lines for a model: of profile facts, and of recalled memories in short; empty where there are none."""
+        facts = [f"- {key}: {content}" for key, content in self.facts()]
+        held = self.recall(query, k).select("live_rank", X.compact_memory(F.col("content")).alias("text")).orderBy("live_rank").collect()
+        lines = [f"{n}. {r['text']}" for n, r in enumerate(held, 1)]
+        return ([PROFILE_HEAD, *facts] if facts else []), ([MEMORY_HEAD, *lines] if lines else [])
+
+
 def forget(vectors: DataFrame, records: DataFrame, user_id: str, conversation_id: str, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """Delete a conversation's vectors and mark its active events deleted; profile facts stay."""
     return memory.delete_vectors(vectors, user_id, conversation_id), memory.forget(records, user_id, conversation_id, as_of)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import query as Q
 from tessera.lexicon import CHINESE, Lexicon
 from tessera.operators import chunks, evidence, fusion, recall, rerank
+from tessera.plans.memory import Memories
 from tessera.sources import files
 from tessera.storage import stored
 
@@ -125,10 +126,11 @@ def search_many(
     if parents is None:
         return cited
     cited = stored(cited)
-    sheets = [q for q, one in asked.items() if one.structured]
-    rest = cited.filter(~F.col("query_id").isin(sheets)) if sheets else cited
-    for q in sheets:
-        rest = rest.unionByName(evidence.sheet_evidence(cited.filter(F.col("query_id") == q), parents, queries[q], lexicon), allowMissingColumns=True)
+    sheets = {q: queries[q] for q, one in asked.items() if one.structured}
+    rest = cited.filter(~F.col("query_id").isin(list(sheets))) if sheets else cited
+    if sheets:
+        found = evidence.sheet_evidence(cited.filter(F.col("query_id").isin(list(sheets))), parents, sheets, lexicon)
+        rest = rest.unionByName(found, allowMissingColumns=True)
     return evidence.expand_parents(rest, parents)
 
 
@@ -172,18 +174,44 @@ def chat_messages(
     return [*system, *say("\n".join(profile)), *say("\n".join(memories)), *say(context), *say(told), *recent, {"role": "user", "content": query}]
 
 
+def no_result_answer(query: str, identifier: bool) -> str:
+    """What is said when nothing was found, so that no model guesses."""
+    said = query.strip()
+    if identifier:
+        return f"当前知识库未检索到与“{said}”匹配的资料。请核对编号或名称是否准确，或确认相关文档已经上传并完成索引。"
+    return f"{NO_RESULTS}，暂时无法依据已上传资料回答“{said}”。请确认相关文档已上传并完成索引，或补充制度名称、业务对象、时间、金额、项目环境等限定信息。"
+
+
 def answer(
-    children: DataFrame, query: str, llm: Callable[[list[dict]], str], k: int = 5, parents: DataFrame | None = None, history: Sequence[dict] = (), lexicon: Lexicon = CHINESE, **options
-) -> dict:
-    """Route, retrieve, assemble a context and ask a model: answer, intent, context, sources. Without results no model is asked."""
-    intent = Q.rule_intent(query, lexicon=lexicon)
+    children: DataFrame, query: str, llm: Callable[[list[dict]], str], k: int = 5, parents: DataFrame | None = None, history: Sequence[dict] = (), lexicon: Lexicon = CHINESE,
+    memories: Memories | None = None, router: Callable[[str], str] | None = None, rewrite: Callable[[str, Sequence[dict]], str] | None = None, use_retrieval: bool = True, **options,
+) -> dict:
+    """Route, retrieve, recall, assemble a context and ask a model: answer, intent, context, sources.
+
+    A question for the user's name is answered from `memories` alone. `router` decides where rules can't, `rewrite` writes
+    the query that is searched for. Where retrieval finds nothing no model is asked. Otherwise the user's facts and the
+    memories near the query go to the model with the context; a recall that fails is left out.
+    """
+    nothing = {"context": "", "sources": []}
+    told = memories.name_answer(query) if memories is not None else None
+    if told is not None:
+        return {"answer": told, "intent": Q.Intent(False, "profile_name"), **nothing}
+    intent = Q.route_intent(query, use_retrieval, router, lexicon)
     context, sources = "", []
     if intent.retrieve:
-        found = stored(search(children, intent.rewritten or query, k, parents, lexicon=lexicon, **options))
+        asked = Q.resolve_query(query, intent, rewrite, history, lexicon)
+        found = stored(search(children, asked, k, parents, lexicon=lexicon, **options))
         table = "aggregated" in found.columns and bool(found.filter("aggregated").limit(1).count())
         made = evidence.assemble_context(found, evidence.TABLE_CONTEXT_CHARS if table else evidence.CONTEXT_CHARS).first()
         if made is None:
-            return {"answer": NO_RESULTS, "intent": intent, "context": "", "sources": []}
+            return {"answer": no_result_answer(query, Q.is_identifier_query(query, lexicon)), "intent": intent, **nothing}
         context = made["context"]
         sources = [r.asDict() for r in evidence.group_sources(found).collect()]
-    return {"answer": Q.tidy_answer(llm(chat_messages(query, history, context))), "intent": intent, "context": context, "sources": sources}
+    profile, recalled = [], []
+    if memories is not None:
+        try:
+            profile, recalled = memories.messages(query)
+        except Exception:
+            logging.getLogger(__name__).warning("memories could not be recalled and are left out", exc_info=True)
+    said = llm(chat_messages(query, history, context, profile, recalled))
+    return {"answer": Q.tidy_answer(said), "intent": intent, "context": context, "sources": sources}

@@ -269,7 +269,7 @@ def test_search_and_answer(spark):
     assert got[0]["document_id"] == "doc-1" and got[0]["parent_context"].startswith("第一章")
     told = search.answer(held, "差旅报销标准是什么", lambda m: m[0]["content"][:20], parents=parents)
     assert told["answer"].startswith("[资料1] 来源: 0.txt") and told["sources"][0]["source_name"] == "0.txt"
-    assert search.answer(held, "合同编号 ZZ-99", lambda m: "never")["answer"] == search.NO_RESULTS
+    assert search.answer(held, "合同编号 ZZ-99", lambda m: "never")["answer"] == search.no_result_answer("合同编号 ZZ-99", True)
     assert search.answer(held, "你好", lambda m: "hi")["answer"] == "hi"
 
 
