@@ -15,7 +15,10 @@ LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language that stands out, go. `lang` stays as it was given."""
+    """Documents without letters, or of no language that stands out, go. `lang` stays as it was given.
+
+    Null and empty texts have no letters. Repeated rows are judged each alike; an empty table stays empty.
+    """
     bound_batches(spark)
     judged = language_id.predict(docs, language_id.fit(docs), carry=True)
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
@@ -30,14 +33,21 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go.
+
+    Null and empty texts have no words and stay, as all do where the benchmark is empty. Repeated rows are judged each alike;
+    an empty table stays empty.
+    """
     bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find_contamination(docs, benchmark, carry=True).filter(~F.col("contaminated")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are replaced by a mark, and n_chars follows."""
+    """All documents stay; secrets in their texts are replaced by a mark, and n_chars follows.
+
+    Null and empty texts stay as they are. Repeated rows are changed each alike; an empty table stays empty.
+    """
     bound_batches(spark)
     found = secrets.scan(docs, secrets.train(docs), carry=True)
     changed = F.col("spans") != ""
@@ -52,7 +62,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they decode to it again."""
+    """Token ids of every text, and whether they decode to it again.
+
+    A null text counts as empty: no ids, and decoded as it was. Repeated rows are encoded each; an empty table stays empty.
+    """
     bound_batches(spark)
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=True)
     same = F.col("decoded") == F.coalesce(F.col("row.text"), F.lit(""))
