@@ -8,19 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local applications that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, which all executors share.
 
     Where it is unset, a local master (tests) gets a new temporary folder; on a cluster that would be each machine's
-    own disk, so it is an error.
+    own disk, so it is an error. The session's settings stay as they are.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        name = spark.sparkContext.applicationId
+        at = _LOCAL[name] = _LOCAL.get(name) or tempfile.mkdtemp(prefix="checkpoint-")
     return at
 
 
