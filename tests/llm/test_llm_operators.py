@@ -315,6 +315,21 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_families_are_joined_by_one_pair(spark):
+    """Two families of near copies whose leaders aren't linked, but one pair of other members is: they are one component.
+
+    That is why members of different components in a list are compared with each other, not with leaders alone.
+    """
+    words = [f"w{i}" for i in range(400)]
+    left = [words[:100] + [f"a{k}"] for k in range(6)]
+    right = [words[16:116] + [f"b{k}"] for k in range(6)]
+    bridge = [words[8:108] + ["c"]]
+    texts = [" ".join(w) for w in left + right]
+    one = {r[2] for r in got(jaccard_join.near_duplicates(documents(spark, *texts), size=1, threshold=(80, 100)))}
+    both = {r[2] for r in got(jaccard_join.near_duplicates(documents(spark, *texts, " ".join(bridge[0])), size=1, threshold=(80, 100)))}
+    assert one == {0, 6} and both == {0}
+
+
 def test_common_shingles_are_one_entry_a_chunk():
     """However many documents of a chunk have a shingle, its bucket gets it once, and counts stay exact."""
     import pyarrow as pa
