@@ -14,6 +14,7 @@ from tessera.operators import conversations as C
 from tessera.operators import memory
 from tessera.plans import memory as plan
 from tessera.queries.registry import Registry, table
+from tessera.schemas import MEMORY_RECORDS
 
 _registry = Registry()
 
@@ -135,6 +136,47 @@ def event_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", importance.alias("importance"), confidence.alias("confidence"))
 
 
+_WHOLE = (
+    "WITH" + _CLEAN + r""", u AS (SELECT conv_id, turn_no, string_agg(CASE role WHEN 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) ORDER BY turn) AS said,
+  string_agg(CASE role WHEN 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS apart FROM t GROUP BY 1, 2),
+w AS (SELECT conv_id, string_agg({said}, chr(10) || chr(10) ORDER BY turn_no) AS whole FROM u GROUP BY 1),
+y AS (SELECT conv_id, {text} AS told FROM w),
+z AS (SELECT conv_id, regexp_replace(regexp_replace(told, '\s+', ' ', 'g'), '^ | $', '', 'g') AS x FROM y)
+SELECT 'u' || conv_id % 7 AS user_id, 'event:u' || conv_id % 7 || ':' || conv_id || ':' || {part} AS memory_key, x AS content, 'active' AS status,
+  CAST(greatest(0.0, least(100.0, 45.0 + least(25.0, 5.0 * CAST({_COUNT} AS INTEGER)) - least(20.0, 4.0 * CAST({_PASSING} AS INTEGER)))) AS DOUBLE) AS importance FROM z"""
+)
+
+
+def _whole(said: str, text: str, part: str) -> str:
+    return _WHOLE.replace("{said}", said).replace("{text}", text).replace("{part}", part).replace("{_COUNT}", _COUNT).replace("{_PASSING}", _PASSING)
+
+
+def _owned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations, their owners (seven users), and no records yet."""
+    held = table(spark, sf_dir, "conversations")
+    owners = held.select("conv_id").distinct().select("conv_id", F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string")).alias("user_id"), F.lit("s").alias("session_id"))
+    return held, owners, spark.createDataFrame([], MEMORY_RECORDS)
+
+
+def _told(records: DataFrame) -> DataFrame:
+    return records.select("user_id", "memory_key", "content", "status", F.col("base_importance_score").alias("importance"))
+
+
+@_registry.add(_whole("apart", "whole", "'u' || conv_id % 7 || ':' || conv_id || ':0:v'"))
+def store_conversation_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations chunked (a chunk each), embedded and registered: the records."""
+    held, owners, records = _owned(spark, sf_dir)
+    return _told(plan.store_conversations(held, owners, records, datetime(2024, 5, 1), size=10**9, lexicon=ENGLISH, version="v")[1])
+
+
+@_registry.add(_whole("said", "'【主题】t' || chr(10) || '【摘要】s' || chr(10) || '【原文】' || chr(10) || whole", "'0'"))
+def store_topic_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as one topic each, summarised, embedded and registered: the records."""
+    held, owners, records = _owned(spark, sf_dir)
+    topics = plan.store_topics(held, owners, records, datetime(2024, 5, 1), lambda a, b: False, lambda t: ("t", "s"), short_window=0, limit=10**9, lexicon=ENGLISH, version="v")
+    return _told(topics[1])
+
+
 @_registry.add(r"SELECT conv_id, turn, CAST(CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN greatest(1, len(regexp_extract_all(text, '[A-Za-z0-9_]+'))) ELSE 0 END AS BIGINT) AS n FROM conversations")
 def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.estimated_tokens(F.col("text")).cast("long").alias("n"))
