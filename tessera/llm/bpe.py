@@ -65,6 +65,15 @@ def newer_characters() -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in runs)
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ByteBPE:
     """A vocabulary with its merges as numpy tables."""
 
@@ -96,6 +105,8 @@ class ByteBPE:
         self.split = regex.compile(SPLIT)
         new = newer_characters()
         self.new = regex.compile(f"[{new}]") if new else None
+        #: Whether the newer characters lie beyond Latin-1, so that most European texts needn't be searched for them.
+        self.new_is_far = all(int(x, 16) > 0xFF for x in regex.findall(r"\\U([0-9a-f]{8})", new))
         old = SPLIT.replace(r" ?\p{L}+", rf" ?(?:(?![{new}])\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?![{new}])\p{{N}})+")
         self.split_old = regex.compile(old.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])+"))
         self._ranks: dict[int, int] | None = None
@@ -104,7 +115,7 @@ class ByteBPE:
     def words(self, text: str) -> tuple[list[str], list[int]]:
         """The pre-tokens of a text; a special string's id comes as the (negative) place in the second list."""
         split = self.split
-        if self.new is not None and not text.isascii() and self.new.search(text):
+        if self.new is not None and not text.isascii() and not (self.new_is_far and is_latin(text)) and self.new.search(text):
             split = self.split_old
         if self.cut is None or not any(s in text for s in self.special):
             return split.findall(text), []

@@ -74,6 +74,15 @@ def test_words_encode_as_the_library_does(library, text):
     assert np.frombuffer(packed, "<u4").tolist() == want
 
 
+def test_latin_texts_need_no_search_for_newer_characters(library):
+    model = bpe.load(VOCABULARY)
+    assert model.new_is_far and bpe.is_latin("née ÿ") and not bpe.is_latin("né\u0100")
+    newer = chr(int(bpe.newer_characters()[2:10], 16))
+    for text in (f"Größe {newer}a é", "Größe é à la", f"{newer}", "日本é"):
+        packed = bpe.encode_ids(model, bpe._Memo(model.encode_words), [text])[0]
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_merging_forms_agree():
     coder = bpe.load(VOCABULARY)
     draw = random.Random(3)
