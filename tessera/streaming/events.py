@@ -68,15 +68,24 @@ def sessions(events: DataFrame, gap: str = "60 minutes") -> DataFrame:
     return found.select("user_id", F.col("s.start").alias("session_start"), "n", F.round("total", 4).alias("total"))
 
 
-def idle_sessions(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
+def idle_sessions(events: DataFrame, gap_seconds: int = 3600, piece_seconds: int = 86_400) -> DataFrame:
     """Sliding idle sessions: one ends when nothing happens for `gap_seconds`; an event at just that time begins the next.
 
-    Returns user_id, session_no (from 0), started, ended and n, of batch events in order of time, then id.
+    Returns user_id, session_no (from 0), started, ended and n, of batch events in order of time, then id. A user's time is
+    cut into pieces: gaps and numbers are told inside a piece, and of the pieces before it only their last time and their
+    number of sessions count. So a user with a large share of all events is many groups.
     """
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gone = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(by)
-    new = F.coalesce((gone >= gap_seconds).cast("int"), F.lit(0))
-    numbered = events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.col("ts").cast("timestamp").cast("double")
+    held = events.withColumns({"_at": at, "_piece": F.floor(at / piece_seconds)})
+    inside, along = Window.partitionBy("user_id", "_piece").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy("_piece")
+    ends = held.groupBy("user_id", "_piece").agg(F.max("_at").alias("_end"))
+    ends = ends.select("user_id", "_piece", F.lag("_end").over(along).alias("_before"))
+    held = held.join(ends, ["user_id", "_piece"])
+    gone = F.col("_at") - F.coalesce(F.lag("_at").over(inside), F.col("_before"))
+    held = held.withColumn("_new", F.coalesce((gone >= gap_seconds).cast("long"), F.lit(0).cast("long")))
+    begun = held.groupBy("user_id", "_piece").agg(F.sum("_new").alias("_n"))
+    begun = begun.select("user_id", "_piece", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    numbered = held.join(begun, ["user_id", "_piece"]).withColumn("session_no", F.col("_first") + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("user_id", "session_no").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"))
 
 

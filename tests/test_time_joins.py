@@ -80,3 +80,20 @@ def test_table_functions_say_what_operators_do(spark):
     for wrong in ("memory_chunks(TABLE(SELECT 1 AS conv_id) PARTITION BY conv_id)", f"memory_chunks({over}, size => -1)", "memory_chunks(5)"):
         with pytest.raises(Exception, match="no column|0 or more|is a table"):
             spark.sql(f"SELECT * FROM {wrong}").collect()
+
+
+@pytest.mark.parametrize("piece", [60, 7200, 10**9])
+def test_idle_sessions_over_pieces(spark, piece):
+    from tessera.streaming.events import idle_sessions
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2]), T0 + timedelta(minutes=30 * rng.randint(0, 150))) for i in range(150)] + [(200, 3, T0), (201, 3, T0 + timedelta(hours=1))]
+    got = {(r["user_id"], r["session_no"]): (r["started"], r["ended"], r["n"]) for r in idle_sessions(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp"), 3600, piece).collect()}
+    want = {}
+    for user in (1, 2, 3):
+        no, last = 0, None
+        for at in sorted(t for _, u, t in rows if u == user):
+            no += last is not None and (at - last).total_seconds() >= 3600
+            first, _, n = want.get((user, no), (at, at, 0))
+            want[user, no], last = (first, at, n + 1), at
+    assert got == want and len(want) > 10
