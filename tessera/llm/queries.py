@@ -90,7 +90,7 @@ def with_periods(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     n, a, p = F.size("words"), F.col("a"), F.col("p")
     chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
-    sized = chosen.withColumn("a", (F.col("g") % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int"))
+    sized = chosen.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int"))
     tail = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
     planted = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
     return sized.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))

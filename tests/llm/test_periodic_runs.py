@@ -116,6 +116,26 @@ def test_odd_rows(spark):
         periodic_runs.runs_of(np.zeros(50, np.int64), 50, 24, 2)
 
 
+def test_periods_of_odd_documents(spark, tmp_path):
+    """Documents without words, also those that are to get a periodic tail."""
+    chosen = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:12]
+    texts = dict(zip(chosen, ["", None, " \n", "one", "a b", "a b c d e f g h " * 40] * 2, strict=True)) | {401: "", 402: None, 403: "x " * 30}
+    kinds = "doc_id long, text string, a int, p int, g int, words string"
+    spark.createDataFrame([(k, t, 1, 1, 1, "x") for k, t in texts.items()] + [(None, "y " * 30, 1, 1, 1, "x")], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op11_periodic_runs(spark, str(tmp_path)).collect()}
+    assert set(rows) == {*texts, None}
+    for i, t in texts.items():
+        words = re.findall(WORD, t or "")
+        h, n = zlib.crc32(str(i).encode()), len(words)
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = words[:a] + [words[a + (j - a) % p] for j in range(a, n)]
+        runs = plain_runs(words)
+        assert rows[i]["n_runs"] == len(runs) and rows[i]["collapsed_sha256"] == sha(plain_collapsed(words, runs))
+    assert (rows[None]["n_runs"], rows[None]["period"]) == (1, 1) and rows[401]["runs_sha256"] == sha("") and rows[401]["start"] is None
+
+
 def test_query_on_a_whole_table(spark):
     sf_dir = "/root/testdata/sf0.001"
     found = {r["doc_id"]: r.asDict() for r in queries.op11_periodic_runs(spark, sf_dir).collect()}
