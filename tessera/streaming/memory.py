@@ -1,16 +1,19 @@
 """Memory records as a stateful stream: versions of profile facts, decay, expiry and purge by event-time timers.
 
 The state of a (user, key) is its records and the candidates that wait for the watermark to pass their batch's time, so the
-order in which rows arrive, and how they are cut into micro-batches, changes nothing. What comes out is a log of records as
+order in which rows arrive, and how they are cut into micro-batches, changes nothing. Keys share their state in groups by hash. What comes out is a log of records as
 they change; its last entries are the table that the batch operators make.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
+from heapq import heapify, heappop, heappush
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +29,19 @@ _RECORD = (
     "confidence_score double, access_count int, status string, version int, supersedes_memory_id string, " + ", ".join(f"{t} long" for t in _TIMES)
 )
 _FIELDS = [f.split()[0] for f in _RECORD.split(", ")]
-_WAITING = "at long, position long, memory_id string, content string, action string, conversation_id string, session_id string, base_importance_score double, confidence_score double"
+_values = attrgetter(*_FIELDS)
 _OUT = f"memory_id string, user_id string, memory_key string, {_RECORD}, purged boolean, seq long"
+#: Groups of keys. A micro-batch reads and writes those that its keys fall in, so they are many and small; a checkpoint keeps
+#: the number it began with.
+GROUPS = 1 << 14
 _DAY = 86_400_000_000
 #: A pass so long after now needs no timer.
 _NEVER = 100_000 * _DAY
 
 
-@dataclass(frozen=True)
+@dataclass
 class Record:
-    """A memory record; times are microseconds, `told` is the content as it is compared."""
+    """A memory record; times are microseconds, `told` is the content as it is compared. None is changed in place: frozen ones take long to make."""
 
     memory_type: str
     content: str
@@ -76,10 +82,35 @@ class Record:
         return -self.version, -(self.updated_at or 0), memory_id
 
 
+def _entry(memory_id: str, key: tuple, record: Record, purged: bool, seq: int) -> str:
+    return json.dumps({"memory_id": memory_id, "user_id": key[0], "memory_key": key[1], **vars(record), "purged": purged, "seq": seq})
+
+
+@dataclass
+class Held:
+    """What is known of one (user, key): records by id, candidates that wait, and when something is due next, if ever."""
+
+    seq: int = 0
+    passed: int = -(1 << 62)
+    due: int | None = None
+    records: dict[str, Record] = field(default_factory=dict)
+    waiting: list[tuple] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, told: list) -> Held:
+        seq, passed, due, records, waiting = told
+        return cls(seq, passed, due, {m: Record(*v) for m, *v in records}, list(map(tuple, waiting)))
+
+    def told(self) -> list:
+        return [self.seq, self.passed, self.due, [[m, *_values(r)] for m, r in self.records.items()], self.waiting]
+
+
 class Keeper(StatefulProcessor):
-    """The records of one (user, key). Maintenance passes are at `first` and every `every` microseconds after it, if at all.
+    """The records of the (user, key) pairs of a group. Maintenance passes are at `first` and every `every` microseconds after it, if at all.
 
-    A pass needs a timer only where it changes a record, so keys that nothing happens to cost nothing at a pass.
+    A pass needs a timer only where it changes a record, so keys that nothing happens to cost nothing at a pass. Each call of
+    the state store is a message to another process, many times what a record costs, so a group is one value with one timer;
+    of its keys only those that have rows or are due are taken apart.
     """
 
     def __init__(self, first: int | None, every: int | None) -> None:
@@ -87,9 +118,7 @@ class Keeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.records = handle.getMapState("records", "memory_id string", _RECORD)
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.clock = handle.getValueState("clock", "seq long, timer long, passed long")
+        self.group = handle.getValueState("group", "timer long, keys string")
 
     def _pass_time(self, record: Record, after: int) -> int | None:
         """The first pass after a time that changes the record; the passes are searched by halving."""
@@ -110,42 +139,45 @@ class Keeper(StatefulProcessor):
             a, b = (a, half) if due(half) else (half + 1, b)
         return self.first + (low + a) * self.every
 
-    def _advance(self, key: tuple, now: int) -> list[tuple]:
+    def _advance(self, key: tuple, held: Held, now: int) -> list[str]:
         """Do what is due by the watermark, in order of time, candidates before passes; returns log entries."""
-        seq, timer, passed = self.clock.get() if self.clock.exists() else (0, -1, -(1 << 62))
-        known = {k[0]: Record(*v) for k, v in self.records.iterator()}
-        held = dict(known)
-        waiting = [tuple(w) for w in self.waiting.get()]
-        before, log = dict(held), []
+        records, log = held.records, []
+        before = dict(records)
+        # Passes by record; what a change of the record makes of it replaces the time here, and older entries of the heap don't count.
+        soonest = {m: t for m, r in records.items() if (t := self._pass_time(r, held.passed)) is not None}
+        heap = [(t, m) for m, t in soonest.items()]
+        heapify(heap)
+        groups: dict[int, list[tuple]] = {}
+        for w in held.waiting:
+            groups.setdefault(w[0], []).append(w)
+        times = sorted(groups, reverse=True)
         while True:
-            told = min((w[0] for w in waiting), default=None)
-            soonest = {m: t for m, r in held.items() if (t := self._pass_time(r, passed)) is not None}
-            due = min([t for t in (told, *soonest.values()) if t is not None], default=None)
-            if due is None or due > now:
+            while heap and soonest.get(heap[0][1]) != heap[0][0]:
+                heappop(heap)
+            told = times[-1] if times else None
+            held.due = min([t for t in (told, heap[0][0] if heap else None) if t is not None], default=None)
+            if held.due is None or held.due > now:
                 break
-            if told == due:
-                group, waiting = [w for w in waiting if w[0] == due], [w for w in waiting if w[0] != due]
-                changed, passed = self._apply(held, max(group, key=lambda w: w[1])), max(passed, due - 1)
+            if told == held.due:
+                changed, held.passed = self._apply(records, max(groups.pop(times.pop()), key=lambda w: w[1])), max(held.passed, held.due - 1)
             else:
-                changed, passed = self._pass(held, due), due
+                changed, held.passed = [], held.due
+                while heap and heap[0][0] == held.due:
+                    _, m = heappop(heap)
+                    if soonest.get(m) == held.due:
+                        del soonest[m]
+                        changed.append(m)
+                self._pass(records, changed, held.due)
             for m in changed:
-                seq += 1
-                r = held.get(m)
-                log.append((m, *key, *[getattr(r or before[m], f) for f in _FIELDS], r is None, seq))
+                held.seq += 1
+                r = records.get(m)
+                log.append(_entry(m, key, r or before[m], r is None, held.seq))
                 before[m] = r or before[m]
-        for m, r in held.items():
-            if r != known.get(m):
-                self.records.updateValue((m,), tuple(getattr(r, f) for f in _FIELDS))
-        for m in known.keys() - held.keys():
-            self.records.removeKey((m,))
-        self.waiting.put(waiting) if waiting else self.waiting.clear()
-        following = -1 if due is None else -(-due // 1000)
-        if following != timer:
-            if timer >= 0 and timer in set(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if following >= 0:
-                self.handle.registerTimer(following)
-        self.clock.update((seq, following, passed))
+                soonest.pop(m, None)
+                if r is not None and (t := self._pass_time(r, held.passed)) is not None:
+                    soonest[m] = t
+                    heappush(heap, (t, m))
+        held.waiting = [w for t in sorted(groups) for w in groups[t]]
         return log
 
     def _apply(self, held: dict[str, Record], candidate: tuple) -> list[str]:
@@ -168,42 +200,69 @@ class Keeper(StatefulProcessor):
         held[memory_id] = Record("profile", content, content, conversation, session, base, base, confidence, 0, "active", version, old, None, None, at, at)
         return [memory_id] if old is None else [old, memory_id]
 
-    def _pass(self, held: dict[str, Record], at: int) -> list[str]:
-        changed = []
-        for m, r in list(held.items()):
-            if r.over(at):
-                changed.append(m)
-                if r.status == "active":
-                    held[m] = replace(r, status="expired", importance_score=r.score(at), updated_at=at)
-                else:
-                    del held[m]
-        return changed
-
-    def _entries(self, log: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _pass(self, held: dict[str, Record], over: list[str], at: int) -> None:
+        """A pass that ends or purges the records that are `over`."""
+        for m in over:
+            r = held[m]
+            if r.status == "active":
+                held[m] = replace(r, status="expired", importance_score=r.score(at), updated_at=at)
+            else:
+                del held[m]
+
+    def _entries(self, log: list[str]) -> Iterator[pd.DataFrame]:
         if log:
-            yield pd.DataFrame(log, columns=[c.split()[0] for c in _OUT.split(", ")], dtype=object)
+            yield pd.DataFrame({"entry": log})
+
+    def _load(self) -> tuple[int, dict[tuple, list]]:
+        timer, keys = self.group.get() or (-1, "[]")
+        return timer, {(user, key): told for user, key, told in json.loads(keys)}
+
+    def _save(self, timer: int, keys: dict[tuple, list], fired: int = -1) -> None:
+        """Keep the group, with one timer for what is due first; one that has `fired` is taken away by Spark."""
+        due = min((told[2] for told in keys.values() if told[2] is not None), default=None)
+        following = -1 if due is None else -(-due // 1000)
+        if following != timer:
+            if timer >= 0 and timer != fired:
+                self.handle.deleteTimer(timer)
+            if following >= 0:
+                self.handle.registerTimer(following)
+        self.group.update((following, json.dumps([[*key, told] for key, told in keys.items()])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        log = []
-        seq, timer, passed = self.clock.get() if self.clock.exists() else (0, -1, -(1 << 62))
+        timer, keys = self._load()
+        now, log, touched = timerValues.getCurrentWatermarkInMs() * 1000, [], {}
         for frame in rows:
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                if row["kind"] == "record":
-                    values = [row[f] for f in _FIELDS]
-                    values = [int(v) if v is not None and f in (*_TIMES, "access_count", "version") else v for f, v in zip(_FIELDS, values, strict=True)]
-                    seq, passed = seq + 1, max(passed, int(row["at_micros"]) - 1)  # what came before shows in the record
-                    self.records.updateValue((row["memory_id"],), tuple(values))
-                    log.append((row["memory_id"], *key, *values, False, seq))
-                elif row["kind"] == "candidate":
-                    self.waiting.appendValue((
-                        int(row["at_micros"]), int(row["position"] or 0), row["memory_id"], row["content"], row["action"], row["conversation_id"], row["session_id"],
+            for row in map(json.loads, frame["change"]):
+                pair, kind = (row.get("user_id"), row.get("memory_key")), row["kind"]
+                held = touched.get(pair)
+                if held is None:
+                    held = touched[pair] = Held.of(keys[pair]) if pair in keys else Held()
+                if kind == "record":
+                    record = Record(*map(row.get, _FIELDS))
+                    held.seq, held.passed = held.seq + 1, max(held.passed, row["at_micros"] - 1)  # what came before shows in the record
+                    held.records[row["memory_id"]] = record
+                    log.append(_entry(row["memory_id"], pair, record, False, held.seq))
+                elif kind == "candidate":
+                    held.waiting.append((
+                        row["at_micros"], row.get("position") or 0, row.get("memory_id"), row.get("content"), row.get("action"), row.get("conversation_id"), row.get("session_id"),
                         float(row["base_importance_score"]), float(row["confidence_score"]),
                     ))
-        self.clock.update((seq, timer, passed))
-        yield from self._entries(log + self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000))
+        for pair in touched.keys() | {p for p, told in keys.items() if told[2] is not None and told[2] <= now}:
+            held = touched.get(pair) or Held.of(keys[pair])
+            log += self._advance(pair, held, now)
+            keys[pair] = held.told()
+        self._save(timer, keys)
+        yield from self._entries(log)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._entries(self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000))
+        timer, keys = self._load()
+        now, log = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for pair in [p for p, told in keys.items() if told[2] is not None and told[2] <= now]:
+            held = Held.of(keys[pair])
+            log += self._advance(pair, held, now)
+            keys[pair] = held.told()
+        self._save(timer, keys, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._entries(log)
 
 
 def record_changes(records: DataFrame, at: datetime) -> DataFrame:
@@ -237,8 +296,11 @@ def keep_memories(changes: DataFrame, delay: str, first: datetime | None = None,
     """
     micros = lambda t: None if t is None else round(t.timestamp() * 1e6)
     keeper = Keeper(micros(first), None if every is None else round(every.total_seconds() * 1e6))
-    told = changes.withWatermark("at", delay).withColumn("at_micros", F.unix_micros("at"))
-    return told.groupBy("user_id", "memory_key").transformWithStateInPandas(keeper, _OUT, "Append", "EventTime")
+    sent = F.to_json(F.struct(F.unix_micros("at").alias("at_micros"), *(c for c in changes.columns if c != "at")))
+    group = F.pmod(F.xxhash64("user_id", "memory_key"), F.lit(GROUPS)).cast("int")
+    told = changes.withWatermark("at", delay).select(group.alias("group"), "at", sent.alias("change"))
+    log = told.groupBy("group").transformWithStateInPandas(keeper, "entry string", "Append", "EventTime")
+    return log.select(F.from_json("entry", _OUT).alias("r")).select("r.*")
 
 
 def run(changes: DataFrame, delay: str, first: datetime | None = None, every: timedelta | None = None, base: str | None = None) -> DataFrame:

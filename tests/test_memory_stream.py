@@ -94,3 +94,46 @@ def test_passes_are_found_by_halving():
     steady = S.Record("profile", "a", "a", None, None, 100.0, 0.0, 1.0, 10**9, "active", 1, None, None, None, 0, 0)
     assert S.Keeper(0, S._DAY)._pass_time(S.Record(**{**steady.__dict__, "base_importance_score": 1e9}), 0) is not None
     assert S.Keeper(None, None)._pass_time(record, 0) is None
+
+
+def test_a_group_of_keys_is_few_calls_of_the_state_store():
+    import json
+
+    import pandas as pd
+
+    class Store:
+        calls, value = 0, None
+
+        def _called(self, *_):
+            self.calls += 1
+
+        registerTimer = deleteTimer = _called
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+        def getExpiryTimeInMs(self):
+            return self.value[0]
+
+    given = {"kind": "record", "at_micros": 0, "memory_type": "event", "content": "a", "told": "a", "base_importance_score": 50.0, "importance_score": 0.0, "confidence_score": 0.65,
+             "access_count": 0, "status": "active", "version": 1, "expires_at": 5, "created_at": 0, "updated_at": 0}
+    rows = [json.dumps(given | {"memory_id": f"m{i}", "user_id": f"u{i % 100}", "memory_key": "k"}) for i in range(1000)]
+    store, keeper = Store(), S.Keeper(10, None)
+    keeper.init(store)
+    store.watermark = -1
+    came = [json.loads(e) for f in keeper.handleInputRows((0,), [pd.DataFrame({"change": rows})], store) for e in f["entry"]]
+    store.watermark = 1
+    ended = [json.loads(e) for f in keeper.handleExpiredTimer((0,), store, store) for e in f["entry"]]
+    assert {e["status"] for e in came} == {"active"} and {e["status"] for e in ended} == {"expired"}
+    assert len(came) == len(ended) == len({(e["user_id"], e["seq"]) for e in came + ended}) / 2 == 1000
+    assert store.calls <= 6
