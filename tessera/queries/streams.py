@@ -100,11 +100,13 @@ UNION ALL SELECT CAST(user_id AS VARCHAR), CAST(seq AS BIGINT), 'done', '{}' FRO
 def stream_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events as bodies of answers, cut into chunks of a few bytes, dealt over micro-batches and put together again."""
     names = F.create_map(*(F.lit(v) for p in _NAMES for v in p))
-    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("request_id"), F.col("event_id").alias("seq"), names[F.col("event_type")].alias("event"), F.col("props").alias("data"))
+    events = table(spark, sf_dir, "events")
+    log = events.select(F.col("user_id").cast("string").alias("request_id"), F.col("event_id").alias("seq"), names[F.col("event_type")].alias("event"), F.col("props").alias("data"))
     chunks = framing.cut(framing.rendered(log), 40 + F.crc32("request_id") % 60)
     path = new_path(spark, "chunks")
-    chunks.repartition(3, F.xxhash64("request_id", "number")).write.parquet(path)
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = 1 + events.count() // 500_000  # of each of three micro-batches
+    chunks.repartition(3 * files, F.xxhash64("request_id", "number")).write.parquet(path)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", files).parquet(path)
     return E.run_stateful(framing.reassemble(stream))
 
 

@@ -7,7 +7,10 @@ one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _OUT = "request_id string, seq long, event string, data string"
-_STATE = "following long, tail binary, events long, finished boolean"
+#: Groups of requests, and numbers of chunks in a block. A micro-batch reads and writes the groups that its requests fall in, so
+#: they are many and small; a checkpoint keeps the number it began with.
+GROUPS, BLOCK = 1 << 13, 64
 
 
 def parse_block(block: bytes) -> tuple[str, str] | None:
@@ -63,10 +68,24 @@ class Framer:
             yield "done", "{}"
 
 
+@dataclass
+class Place:
+    """Of one request: the number of the chunk that comes next, the tail so far, its events, and when it counts as stopped."""
+
+    following: int = 0
+    tail: str = ""
+    events: int = 0
+    finished: bool = False
+    done: bool = False
+    idle_at: int | None = None
+
+
 class Reassemble(StatefulProcessor):
-    """Of one request: the number of the chunk that comes next, the tail so far, and chunks that came too early.
+    """Of a group of requests: their places, and the chunks that came too early, in blocks of BLOCK numbers.
 
-    With `idle_ms` a body is at its end, too, when the watermark is so far past its last chunk.
+    Each call of the state store is a message to another process, many times what a chunk costs. So the places are one value,
+    and a micro-batch reads and writes only blocks that its chunks fall in or whose turn has come. With `idle_ms` a body is at
+    its end, too, when the watermark is so far past its last chunk.
     """
 
     def __init__(self, idle_ms: int | None = None) -> None:
@@ -74,54 +93,96 @@ class Reassemble(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", _STATE + ", done boolean")
-        self.early = handle.getMapState("early", "number long", "chunk binary, last boolean")
+        self.group = handle.getValueState("group", "timer long, blocks string, places string")
+        self.early = handle.getMapState("early", "block long", "chunks string")
+
+    def _load(self) -> tuple[int, set[int], dict[str | None, Place]]:
+        timer, blocks, places = self.group.get() or (-1, "[]", "[]")
+        return timer, set(json.loads(blocks)), {request: Place(*v) for request, *v in json.loads(places)}
+
+    def _save(self, timer: int, blocks: set[int], places: dict[str | None, Place], fired: int = -1) -> None:
+        """Keep the places, with one timer for the body that counts as stopped first; one that has `fired` is taken away by Spark."""
+        following = min((p.idle_at for p in places.values() if p.idle_at is not None), default=-1)
+        if following != timer:
+            if timer >= 0 and timer != fired:
+                self.handle.deleteTimer(timer)
+            if following >= 0:
+                self.handle.registerTimer(following)
+        self.group.update((following, json.dumps(sorted(blocks)), json.dumps([[request, *vars(p).values()] for request, p in places.items()])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        following, tail, events, finished, done = self.place.get() if self.place.exists() else (0, b"", 0, False, False)
-        framer, out, latest = Framer(bytes(tail), done), [], 0
+        timer, blocks, places = self._load()
+        held: dict[int, dict[tuple, tuple]] = {}  # by block, what is there of (request, number)
+        changed, latest, out = set(), {}, []
+
+        def block(n: int) -> dict[tuple, tuple]:
+            if n not in held:
+                told = json.loads(self.early.getValue((n,))[0]) if n in blocks else []
+                held[n] = {(request, number): (chunk, last) for request, number, chunk, last in told}
+            return held[n]
+
         for frame in rows:
-            if self.idle_ms is not None:
-                latest = max(latest, int(frame["at_ms"].max()))
-            for number, chunk, last in zip(frame["number"], frame["chunk"], frame["last"], strict=True):
-                if number >= following and not finished:  # a chunk that comes again says nothing new
-                    self.early.updateValue((int(number),), (bytes(chunk) if chunk is not None else b"", bool(last)))
-        while not finished and self.early.containsKey((following,)):
-            chunk, last = self.early.getValue((following,))
-            self.early.removeKey((following,))
-            out += framer.add(bytes(chunk))
-            following += 1
-            if last:
-                out += framer.end()
-                finished = True
-        if finished:
-            self.early.clear()
-        yield from self._rows(key, events, out)
-        self.place.update((following, bytes(framer.tail), events + len(out), finished, framer.done))
-        if finished and self.idle_ms is not None:
-            self._timer(None)
-        elif self.idle_ms is not None:
-            self._timer(max(timerValues.getCurrentWatermarkInMs(), latest) + self.idle_ms)
-
-    def _timer(self, at: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if at is not None:
-            self.handle.registerTimer(at)
-
-    def _rows(self, key, first: int, out: list) -> Iterator[pd.DataFrame]:
+            times = frame["at_ms"] if self.idle_ms is not None else repeat(0)
+            for request, number, chunk, last, at in zip(frame["request_id"], frame["number"].tolist(), frame["chunk"], frame["last"].tolist(), times):
+                place = places.setdefault(request, Place())
+                latest[request] = max(latest.get(request, 0), int(at))
+                if number >= place.following and not place.finished:  # a chunk that comes again says nothing new
+                    block(number // BLOCK)[request, number] = bytes(chunk).decode("latin-1") if chunk is not None else "", bool(last)
+                    changed.add(number // BLOCK)
+        for request in latest:
+            place = places[request]
+            framer, found, n = Framer(place.tail.encode("latin-1"), place.done), [], place.following // BLOCK
+            while not place.finished and (came := block(n).pop((request, place.following), None)) is not None:
+                found += framer.add(came[0].encode("latin-1"))
+                changed.add(n)
+                place.following += 1
+                n = place.following // BLOCK
+                if came[1]:
+                    found += framer.end()
+                    place.finished = True
+            self._told(request, place, framer, found, out)
+            watermark = timerValues.getCurrentWatermarkInMs() if self.idle_ms is not None else 0
+            place.idle_at = None if self.idle_ms is None or place.finished else max(watermark, latest[request]) + self.idle_ms
+        for n in changed:
+            rest = [[*at, *came] for at, came in held[n].items() if not places[at[0]].finished]
+            if rest:
+                self.early.updateValue((n,), (json.dumps(rest, ensure_ascii=False),))
+                blocks.add(n)
+            elif n in blocks:
+                self.early.removeKey((n,))
+                blocks.remove(n)
+        self._save(timer, blocks, places)
+        yield from self._rows(out)
+
+    def _told(self, request: str | None, place: Place, framer: Framer, found: list, out: list) -> None:
+        out += [(request, place.events + i, *e) for i, e in enumerate(found)]
+        place.tail, place.events, place.done = framer.tail.decode("latin-1"), place.events + len(found), framer.done
+
+    def _rows(self, out: list) -> Iterator[pd.DataFrame]:
         if out:
-            yield pd.DataFrame([(key[0], first + i, *e) for i, e in enumerate(out)], columns=["request_id", "seq", "event", "data"])
+            yield pd.DataFrame(out, columns=["request_id", "seq", "event", "data"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A body that stopped: what has come in order so far is all there is."""
-        following, tail, events, finished, done = self.place.get()
-        if not finished:
-            framer = Framer(bytes(tail), done)
-            out = list(framer.end())
-            self.early.clear()
-            self.place.update((following, b"", events + len(out), True, framer.done))
-            yield from self._rows(key, events, out)
+        """Bodies that stopped: what has come in order so far is all there is."""
+        timer, blocks, places = self._load()
+        now, out, stopped = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), [], set()
+        for request, place in places.items():
+            if place.idle_at is not None and place.idle_at <= now:
+                framer = Framer(place.tail.encode("latin-1"), place.done)
+                found = list(framer.end())
+                place.finished, place.idle_at = True, None
+                self._told(request, place, framer, found, out)
+                stopped.add(request)
+        for n in sorted(blocks) if stopped else ():
+            told = json.loads(self.early.getValue((n,))[0])
+            rest = [c for c in told if c[0] not in stopped]
+            if rest and len(rest) < len(told):
+                self.early.updateValue((n,), (json.dumps(rest, ensure_ascii=False),))
+            elif not rest:
+                self.early.removeKey((n,))
+                blocks.remove(n)
+        self._save(timer, blocks, places, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._rows(out)
 
 
 def reassemble(chunks: DataFrame, delay: str | None = None, idle_ms: int | None = None) -> DataFrame:
@@ -134,7 +195,8 @@ def reassemble(chunks: DataFrame, delay: str | None = None, idle_ms: int | None
     if (delay is None) != (idle_ms is None):
         raise ValueError("delay and idle_ms go together")
     timed = chunks if delay is None else chunks.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
-    return timed.groupBy("request_id").transformWithStateInPandas(Reassemble(idle_ms), _OUT, "Append", "None" if delay is None else "EventTime")
+    timed = timed.withColumn("group", F.pmod(F.xxhash64("request_id"), F.lit(GROUPS)).cast("int"))
+    return timed.groupBy("group").transformWithStateInPandas(Reassemble(idle_ms), _OUT, "Append", "None" if delay is None else "EventTime")
 
 
 def rendered(log: DataFrame) -> DataFrame:

@@ -91,3 +91,47 @@ def test_bodies_that_stop(spark, tmp_path):
     ]
     with pytest.raises(ValueError):
         framing.reassemble(stream, "10 seconds")
+
+
+def test_a_group_of_bodies_is_few_calls_of_the_state_store():
+    import pandas as pd
+
+    class Store(dict):
+        calls, value = 0, None
+
+        def getValueState(self, *_):
+            return self
+
+        getMapState = getValueState
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def getValue(self, key):
+            self.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+    body = b"event: message\ndata: \xe4\xbd\xa0\n\n" * 20
+    rows = [(f"r{i}", n, body[n * 12 : n * 12 + 12], n * 12 + 12 >= len(body)) for i in range(50) for n in range(-(-len(body) // 12))]
+    random.Random(6).shuffle(rows)
+    store, got = Store(), {}
+    for part in (rows[0::3], rows[1::3], rows[2::3]):
+        machine = framing.Reassemble()
+        machine.init(store)
+        for frame in machine.handleInputRows((0,), [pd.DataFrame(part, columns=["request_id", "number", "chunk", "last"])], None):
+            for request, seq, event, data in frame.itertuples(index=False):
+                got.setdefault(request, []).append((seq, event, data))
+    assert got == {f"r{i}": [(n, *e) for n, e in enumerate(whole(body))] for i in range(50)}
+    assert store.calls <= 12 and not store
