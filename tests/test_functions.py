@@ -161,3 +161,14 @@ def test_topic_packer():
     assert [m["trigger_reason"] for m in done] == ["topic_change", "token_limit", "token_limit"]
     assert [(m["turn_start"], m["turn_end"]) for m in done] == [(0, 1), (2, 2), (3, 3)]
     assert done[0]["summary"] == "one" and done[0]["text"].startswith("【主题】one\n【摘要】one\n【原文】\n")
+
+
+def test_chunks_of_a_batch_are_held_in_parts():
+    from tessera.operators.chunks import in_parts
+
+    made, most = [], 0
+    for part in in_parts(((100, made.append(i) or [i]) for i in range(1000)), 1000):
+        most = max(most, len(part))
+        assert len(made) == part.iloc[-1][0] + 1  # nothing is made ahead
+    assert most == 10 and made == list(range(1000))
+    assert [len(p) for p in in_parts(iter([(5000, []), (1, []), (0, [])]), 1000)] == [1, 2] and list(in_parts(iter([]))) == []
