@@ -172,3 +172,17 @@ def test_chunks_of_a_batch_are_held_in_parts():
         assert len(made) == part.iloc[-1][0] + 1  # nothing is made ahead
     assert most == 10 and made == list(range(1000))
     assert [len(p) for p in in_parts(iter([(5000, []), (1, []), (0, [])]), 1000)] == [1, 2] and list(in_parts(iter([]))) == []
+
+
+def test_vectors_of_a_batch_are_held_in_parts(monkeypatch):
+    import pandas as pd
+
+    from tessera.operators import embedding
+
+    kept = []
+    monkeypatch.setattr(embedding.F, "pandas_udf", lambda kind: lambda f: kept.append(f) or (lambda c: None))
+    texts = pd.Series([f"word{i} other" if i % 5 else None for i in range(5000)])
+    embedding.embed(None)
+    parts = list(kept[0](iter([texts])))
+    want = embedding.hashing_embedder(texts.fillna("").tolist())
+    assert [v for p in parts for v in p] == want.tolist() and max(map(len, parts)) * embedding.DIMENSION <= embedding.MOST_NUMBERS
