@@ -31,9 +31,9 @@ _RECORD = (
 _FIELDS = [f.split()[0] for f in _RECORD.split(", ")]
 _values = attrgetter(*_FIELDS)
 _OUT = f"memory_id string, user_id string, memory_key string, {_RECORD}, purged boolean, seq long"
-#: Groups of keys. A micro-batch reads and writes those that its keys fall in, so they are many and small; a checkpoint keeps
-#: the number it began with.
-GROUPS = 1 << 14
+#: Groups of keys. A micro-batch reads and writes those that its keys fall in, so they are many and small; but each costs some
+#: messages and batches of its own, about as much as 300 changes. A checkpoint keeps the number it began with.
+GROUPS = 1 << 12
 _DAY = 86_400_000_000
 #: A pass so long after now needs no timer.
 _NEVER = 100_000 * _DAY
@@ -88,21 +88,30 @@ def _entry(memory_id: str, key: tuple, record: Record, purged: bool, seq: int) -
 
 @dataclass
 class Held:
-    """What is known of one (user, key): records by id, candidates that wait, and when something is due next, if ever."""
+    """What is known of one (user, key): records by id, the last candidate of each time that waits, and when something is due next, if ever."""
 
     seq: int = 0
     passed: int = -(1 << 62)
     due: int | None = None
     records: dict[str, Record] = field(default_factory=dict)
-    waiting: list[tuple] = field(default_factory=list)
+    waiting: dict[int, tuple] = field(default_factory=dict)
 
     @classmethod
     def of(cls, told: list) -> Held:
         seq, passed, due, records, waiting = told
-        return cls(seq, passed, due, {m: Record(*v) for m, *v in records}, list(map(tuple, waiting)))
+        held = cls(seq, passed, due, {m: Record(*v) for m, *v in records})
+        for candidate in map(tuple, waiting):
+            held.wait(candidate)
+        return held
 
     def told(self) -> list:
-        return [self.seq, self.passed, self.due, [[m, *_values(r)] for m, r in self.records.items()], self.waiting]
+        return [self.seq, self.passed, self.due, [[m, *_values(r)] for m, r in self.records.items()], list(self.waiting.values())]
+
+    def wait(self, candidate: tuple) -> None:
+        """Of the candidates of a time only the last by position counts, so no other is kept."""
+        other = self.waiting.get(candidate[0])
+        if other is None or candidate[1] > other[1]:
+            self.waiting[candidate[0]] = candidate
 
 
 class Keeper(StatefulProcessor):
@@ -110,7 +119,8 @@ class Keeper(StatefulProcessor):
 
     A pass needs a timer only where it changes a record, so keys that nothing happens to cost nothing at a pass. Each call of
     the state store is a message to another process, many times what a record costs, so a group is one value with one timer;
-    of its keys only those that have rows or are due are taken apart.
+    of its keys only those that have rows or are due are taken apart. Records that nothing can change any more are told once
+    and not kept: without passes, all but active profiles.
     """
 
     def __init__(self, first: int | None, every: int | None) -> None:
@@ -120,6 +130,9 @@ class Keeper(StatefulProcessor):
         self.handle = handle
         self.group = handle.getValueState("group", "timer long, keys string")
 
+    def _kept(self, record: Record) -> bool:
+        return self.first is not None or (record.status == "active" and record.memory_type == "profile")
+
     def _pass_time(self, record: Record, after: int) -> int | None:
         """The first pass after a time that changes the record; the passes are searched by halving."""
         if self.first is None:
@@ -147,10 +160,7 @@ class Keeper(StatefulProcessor):
         soonest = {m: t for m, r in records.items() if (t := self._pass_time(r, held.passed)) is not None}
         heap = [(t, m) for m, t in soonest.items()]
         heapify(heap)
-        groups: dict[int, list[tuple]] = {}
-        for w in held.waiting:
-            groups.setdefault(w[0], []).append(w)
-        times = sorted(groups, reverse=True)
+        times = sorted(held.waiting, reverse=True)
         while True:
             while heap and soonest.get(heap[0][1]) != heap[0][0]:
                 heappop(heap)
@@ -159,7 +169,7 @@ class Keeper(StatefulProcessor):
             if held.due is None or held.due > now:
                 break
             if told == held.due:
-                changed, held.passed = self._apply(records, max(groups.pop(times.pop()), key=lambda w: w[1])), max(held.passed, held.due - 1)
+                changed, held.passed = self._apply(records, held.waiting.pop(times.pop())), max(held.passed, held.due - 1)
             else:
                 changed, held.passed = [], held.due
                 while heap and heap[0][0] == held.due:
@@ -177,7 +187,8 @@ class Keeper(StatefulProcessor):
                 if r is not None and (t := self._pass_time(r, held.passed)) is not None:
                     soonest[m] = t
                     heappush(heap, (t, m))
-        held.waiting = [w for t in sorted(groups) for w in groups[t]]
+                if r is not None and not self._kept(r):
+                    del records[m]
         return log
 
     def _apply(self, held: dict[str, Record], candidate: tuple) -> list[str]:
@@ -232,7 +243,8 @@ class Keeper(StatefulProcessor):
         timer, keys = self._load()
         now, log, touched = timerValues.getCurrentWatermarkInMs() * 1000, [], {}
         for frame in rows:
-            for row in map(json.loads, frame["change"]):
+            for change in frame["change"]:
+                row = json.loads(change)
                 pair, kind = (row.get("user_id"), row.get("memory_key")), row["kind"]
                 held = touched.get(pair)
                 if held is None:
@@ -240,10 +252,14 @@ class Keeper(StatefulProcessor):
                 if kind == "record":
                     record = Record(*map(row.get, _FIELDS))
                     held.seq, held.passed = held.seq + 1, max(held.passed, row["at_micros"] - 1)  # what came before shows in the record
-                    held.records[row["memory_id"]] = record
-                    log.append(_entry(row["memory_id"], pair, record, False, held.seq))
+                    if self._kept(record):
+                        held.records[row["memory_id"]] = record
+                    else:
+                        held.records.pop(row["memory_id"], None)
+                    # The change names the record's fields as the log does; JSON of a row is never empty.
+                    log.append(f'{change[:-1]},"purged":false,"seq":{held.seq}}}')
                 elif kind == "candidate":
-                    held.waiting.append((
+                    held.wait((
                         row["at_micros"], row.get("position") or 0, row.get("memory_id"), row.get("content"), row.get("action"), row.get("conversation_id"), row.get("session_id"),
                         float(row["base_importance_score"]), float(row["confidence_score"]),
                     ))
@@ -287,25 +303,26 @@ def tick(spark: SparkSession, like: DataFrame, at: datetime) -> DataFrame:
     return spark.range(1).select(*empty)
 
 
-def keep_memories(changes: DataFrame, delay: str, first: datetime | None = None, every: timedelta | None = None) -> DataFrame:
+def keep_memories(changes: DataFrame, delay: str, first: datetime | None = None, every: timedelta | None = None, groups: int = GROUPS) -> DataFrame:
     """The log of a stream of changes: a row for each record as it comes in or changes, with `purged` and `seq`.
 
     `changes`: rows of `record_changes` and `candidate_changes`, streamed. Rows may be late by `delay`. Candidates of one
     time are one batch, of which a key's last counts. Maintenance passes are at `first` and then every `every`: a pass ends
-    what has expired or faded, and purges what has long not been active. Without `first` there are none.
+    what has expired or faded, and purges what has long not been active. Without `first` there are none. A stream that goes
+    on from a checkpoint needs the number of `groups` that it began with.
     """
     micros = lambda t: None if t is None else round(t.timestamp() * 1e6)
     keeper = Keeper(micros(first), None if every is None else round(every.total_seconds() * 1e6))
     sent = F.to_json(F.struct(F.unix_micros("at").alias("at_micros"), *(c for c in changes.columns if c != "at")))
-    group = F.pmod(F.xxhash64("user_id", "memory_key"), F.lit(GROUPS)).cast("int")
+    group = F.pmod(F.xxhash64("user_id", "memory_key"), F.lit(groups)).cast("int")
     told = changes.withWatermark("at", delay).select(group.alias("group"), "at", sent.alias("change"))
     log = told.groupBy("group").transformWithStateInPandas(keeper, "entry string", "Append", "EventTime")
     return log.select(F.from_json("entry", _OUT).alias("r")).select("r.*")
 
 
-def run(changes: DataFrame, delay: str, first: datetime | None = None, every: timedelta | None = None, base: str | None = None) -> DataFrame:
+def run(changes: DataFrame, delay: str, first: datetime | None = None, every: timedelta | None = None, base: str | None = None, groups: int = GROUPS) -> DataFrame:
     """Process all that is there now; returns the whole log so far. The same `base` again continues from its checkpoint."""
-    return run_stateful(keep_memories(changes, delay, first, every), base)
+    return run_stateful(keep_memories(changes, delay, first, every, groups), base)
 
 
 def end_state(log: DataFrame) -> DataFrame:

@@ -137,3 +137,42 @@ def test_a_group_of_keys_is_few_calls_of_the_state_store():
     assert {e["status"] for e in came} == {"active"} and {e["status"] for e in ended} == {"expired"}
     assert len(came) == len(ended) == len({(e["user_id"], e["seq"]) for e in came + ended}) / 2 == 1000
     assert store.calls <= 6
+
+
+def test_a_group_keeps_what_can_still_change():
+    """Without passes: active profiles and the last candidate of each time; the log has every record all the same."""
+    import json
+
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Timers:
+        def registerTimer(self, at):
+            pass
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    def record(i, kind, status):
+        return json.dumps({"at_micros": 1, "kind": "record", "memory_id": f"m{i}", "user_id": "u", "memory_key": "k", "memory_type": kind, "content": "x", "told": "x", "status": status, "version": 1})
+
+    def candidate(at, position):
+        return json.dumps({"at_micros": at, "kind": "candidate", "user_id": "u", "memory_key": "k", "position": position, "memory_id": f"c{position}", "content": "y", "base_importance_score": 1.0, "confidence_score": 0.5})
+
+    given = [record(i, kind, status) for i, (kind, status) in enumerate([("event", "active"), ("profile", "superseded"), ("profile", "active")] * 50)]
+    given += [candidate(9, p) for p in (3, 7, 5)] + [candidate(8, 1)] + [record(2, "profile", "deleted")]
+    keeper = S.Keeper(None, None)
+    keeper.handle, keeper.group = Timers(), Value()
+    log = [json.loads(e) for frame in keeper.handleInputRows((0,), iter([pd.DataFrame({"change": given})]), Timers()) for e in frame["entry"]]
+    assert [e["memory_id"] for e in log] == [f"m{i}" for i in range(150)] + ["m2"] and [e["seq"] for e in log] == list(range(1, 152)) and not any(e["purged"] for e in log)
+    [[_, _, (_, _, due, records, waiting)]] = json.loads(keeper.group.held[1])
+    assert {m for m, *_ in records} == {f"m{i}" for i in range(5, 150, 3)} and due == 8
+    assert sorted((w[0], w[1]) for w in waiting) == [(8, 1), (9, 7)]
