@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import stored
@@ -34,6 +34,8 @@ LEAST_WIDTH, MOST_WIDTH, WIDTH_SCALE = 2 << 20, 256 << 20, 4096
 CHUNK_DOCUMENTS = 1 << 16
 #: Prefixes ask for 1 to this many shared shingles; verifying a pair costs about as much as so many list entries.
 MOST_MATCHES, VERIFY_COST = 8, 8.0
+#: A pair that meets in several lists is taken from one where none of the so many tokens before is common to both.
+BEFORE = 16
 _SLICE = 1 << 20
 _BITS = ["p0", "p1", "p2", "p3"]
 
@@ -275,10 +277,47 @@ def _near(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> D
     return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Those of `pairs` (a, b) whose whole sets are similar enough."""
+def _meeting(every: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of `every`'s classes of different components that meet in a list and may be similar by a short bitmap.
+
+    `every` has the entries (token, node, n, the short bitmap, comp) of lists with more than one component, and `main`, the
+    component of a list's leader. Near copies meet in many lists, since their prefixes are nearly the same. Each entry has its
+    class's BEFORE tokens before it, in order; where two entries have one of these in common, the pair has met in
+    that list. A pair's first list always gives it, a later one only after BEFORE tokens that the other set lacks.
+    """
+    part, whole = threshold
+    before = Window.partitionBy("node").orderBy("token").rowsBetween(-BEFORE, -1)
+    every = stored(every.withColumn("before", F.collect_list("token").over(before)))
+    a, b = every.filter("comp <> main").alias("a"), every.alias("b")
+    differ = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in _BITS[1:]), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
+    both = F.col("a.n") + F.col("b.n")
+    near = (
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.comp") != F.col("b.comp"))
+        & ((F.col("b.comp") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
+        & (F.col("a.n") * whole >= F.col("b.n") * part)
+        & (F.col("b.n") * whole >= F.col("a.n") * part)
+        & (differ * (part + whole) <= both * (whole - part))
+        & ~F.arrays_overlap("a.before", "b.before")
+    )
+    return a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+
+
+def _sharing(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) that share as many tokens of their prefixes as the smaller of their numbers of matches asks for."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    held = entries.join(ends, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"), (F.first("pri") % MOST_MATCHES + 1).alias("m"))
+    joined = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("x"), F.col("m").alias("ma")), "a")
+    joined = joined.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y"), F.col("m").alias("mb")), "b")
+    return joined.filter(F.size(F.array_intersect("x", "y")) >= F.least("ma", "mb")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, threshold: tuple[int, int], entries: DataFrame | None = None) -> DataFrame:
+    """Those of `pairs` (a, b) whose whole sets are similar enough. With `entries`, those that share too few of them go before."""
     part, whole = threshold
     pairs = stored(_near(pairs, classes, threshold))
+    if entries is not None:
+        pairs = stored(_sharing(pairs, entries))
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(classes.join(named, "node", "left_semi").select("rep"))
     wanted = _filter.build(needed, F.xxhash64("rep"))
@@ -341,24 +380,9 @@ def join_documents(
     mains = lists.join(grouped.select(F.col("node").alias("lead"), F.col("comp").alias("main")), "lead").select("token", "main")
     # Those outside the leader's component in a list and, in lists that have such, all.
     marked = entries.join(stored(mains), "token").join(grouped, "node")
-    odd = stored(marked.filter("comp <> main"))
-    every = stored(marked.join(stored(odd.select("token").distinct()), "token", "left_semi"))
-    part, whole = threshold
-    a, b = odd.alias("a"), every.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in _BITS[1:]), F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))))
-    both = F.col("a.n") + F.col("b.n")
-    near = (
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.comp") != F.col("b.comp"))
-        & ((F.col("b.comp") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
-        & (F.col("a.n") * whole >= F.col("b.n") * part)
-        & (F.col("b.n") * whole >= F.col("a.n") * part)
-        & (differ * (part + whole) <= both * (whole - part))
-    )
-    matches = F.least(F.col("a.pri") % MOST_MATCHES, F.col("b.pri") % MOST_MATCHES) + 1
-    pairs = a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), matches.alias("needed"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).filter("shared >= needed").select("a", "b")
-    more = _verified(stored(pairs.join(asked, ["a", "b"], "left_anti")), classes, named, size, threshold)
+    odd = marked.filter("comp <> main").select("token").distinct()
+    pairs = _meeting(marked.join(stored(odd), "token", "left_semi"), threshold).distinct()
+    more = _verified(stored(pairs.join(asked, ["a", "b"], "left_anti")), classes, named, size, threshold, entries)
     return members, links.unionByName(more)
 
 

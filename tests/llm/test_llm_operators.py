@@ -339,6 +339,18 @@ def test_families_are_joined_by_one_pair(spark):
     assert one == {0, 6} and both == {0}
 
 
+def test_pairs_come_from_few_of_the_lists_they_meet_in(spark):
+    """Of 60 tokens that near copies share, each pair of different components is found, and is about one row of the join."""
+    rng = np.random.default_rng(4)
+    tokens = {f"n{k:02}": {int(t) for t in range(60) if rng.random() < 0.9} | {1000 + k} for k in range(40)} | {"far": {59, 70, 71}, "none": {80}}
+    comp = lambda node: node if node in ("n00", "n07", "far", "none") else "main"
+    rows = [(t, node, 100, 0, 0, 0, 0, comp(node), "main") for node, held in tokens.items() for t in held]
+    every = spark.createDataFrame(rows, "token long, node string, n int, p0 long, p1 long, p2 long, p3 long, comp string, main string")
+    found = [tuple(r) for r in jaccard_join._meeting(every, (80, 100)).collect()]
+    want = {(a, b) for a in tokens for b in tokens if a < b and comp(a) != comp(b) and tokens[a] & tokens[b]}
+    assert set(found) == want and len(found) < 1.1 * len(want)
+
+
 def test_common_shingles_are_one_entry_a_chunk():
     """However many documents of a chunk have a shingle, its bucket gets it once, and counts stay exact."""
     import pyarrow as pa
