@@ -308,10 +308,10 @@ def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, kind = F.col("user_id").cast("string"), F.col("event_type")
     number = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
     cells = F.array(F.when(F.col("n") % 3 == 1, kind).otherwise(""), F.col("event_id").cast("string"), F.col("value").cast("string"), F.get_json_object("props", "$.k"))
-    rows = events.withColumn("n", number).select(user.alias("document_id"), kind.alias("sheet"), F.col("n").cast("long").alias("row_no"), F.transform(cells, lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
-    names = F.array(*(F.lit(c) for c in ("类型", "id", "value", "")))
-    heads = rows.select("document_id", "sheet").distinct().select("document_id", "sheet", F.lit(0).cast("long").alias("row_no"), names.alias("cells"))
-    held = rows.unionByName(heads).select("document_id", F.lit("events.xlsx").alias("source_name"), (F.crc32("sheet") % 1_000_000_007).cast("int").alias("sheet_no"), "sheet", "row_no", "cells", F.lit(None).cast("string").alias("error"))
+    row = F.struct(F.col("n").cast("long").alias("row_no"), F.transform(cells, lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
+    head = F.struct(F.lit(0).cast("long").alias("row_no"), F.array(*(F.lit(c) for c in ("类型", "id", "value", ""))).alias("cells"))
+    rows = events.withColumn("n", number).select(user.alias("document_id"), kind.alias("sheet"), F.inline(F.when(F.col("n") == 1, F.array(head, row)).otherwise(F.array(row))))
+    held = rows.select("document_id", F.lit("events.xlsx").alias("source_name"), (F.crc32("sheet") % 1_000_000_007).cast("int").alias("sheet_no"), "sheet", "row_no", "cells", F.lit(None).cast("string").alias("error"))
     return sheet_source.sheet_texts(held)
 
 

@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -146,35 +146,49 @@ class SheetSource(DataSource):
 def sheet_texts(rows: DataFrame, lexicon: Lexicon = CHINESE) -> DataFrame:
     """Structured text of each document: document_id, text: per sheet its marker, header, notes above it and data in CSV.
 
-    Rows are those of the source. The header's row is inferred, its names made unique, columns that group rows are filled
-    down. Blank rows, blank sheets and trailing blank columns go; documents of nothing else have no row. Rows of a sheet
-    meet only where they are put together as its text; columns are filled down each on its own.
+    The header's row is inferred, its names made unique, columns that group rows are filled down. Blank rows, blank
+    sheets and trailing blank columns go; documents of nothing else have no row. Rows are dealt out once, by 128 bits of their
+    sheet's names, so that sorting compares numbers, and every step but the last works where they lie. They stay arrays of
+    cells; only columns that may be filled down are cut into cells, each sorted on its own.
     """
     clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    held = rows.filter("error is null").select(F.struct("document_id", "sheet_no", "sheet").alias("sheet"), "row_no", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
-    held = held.filter(F.exists("cells", lambda c: F.trim(c) != ""))
-    marked = held.join(sheets.infer_header(held), "sheet")
-    data = marked.filter("row_no >= header_row")
-    last = F.aggregate(F.transform("cells", lambda c, i: F.when(F.trim(c) != "", i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-    width = data.groupBy("sheet").agg(F.max(last).alias("width"))
-    data = data.join(width, "sheet")
+    by, named = ["k1", "k2"], ["document_id", "sheet_no", "sheet"]
+    parts = [x for c in named for x in (F.col(c), F.col(c).isNull())]
+    keys = [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("2"), *parts).alias("k2")]
+    held = rows.filter("error is null").filter(F.exists("cells", lambda c: F.trim(c) != "")).select(*keys, F.struct(*named).alias("sheet"), "row_no", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
+    marked = sheets.with_header(held, by)
+    last = F.array_max(F.transform("cells", lambda c, i: F.when(F.trim(c) != "", i + 1).otherwise(0)))
+    head, over = F.col("row_no") == F.col("header_row"), Window.partitionBy(by)
+    width, titles = F.max(F.when(F.col("row_no") >= F.col("header_row"), last)).over(over), F.first(F.when(head, F.struct("sheet", "cells")), True).over(over)
+    marked = marked.select(*by, "row_no", "cells", "header_row", width.alias("width"), head.alias("head"), titles.alias("titles"))
     fitted = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.col("width"))), F.lit(1), F.col("width"))
-    data = data.select("sheet", "row_no", (F.col("row_no") == F.col("header_row")).alias("head"), F.posexplode(fitted).alias("position", "value"))
-    names = sheets.unique_headers(data.filter("head").select("sheet", "position", F.col("value").alias("header"))).select("sheet", "position", F.col("name").alias("header"))
-    cells = data.filter("not head").join(names, ["sheet", "position"])
-    filled = sheets.profile_columns(cells.select("sheet", "header", "row_no", "value"), lexicon).filter("fill").select("sheet", "header", F.lit(True).alias("fill"))
-    told = cells.join(filled, ["sheet", "header"], "left")
-    down = sheets.forward_fill(told.filter("fill"), ["value"], ["sheet", "position"], "row_no")
-    values = told.filter("fill is null").unionByName(down).select("sheet", "row_no", "position", F.coalesce("value", F.lit("")).alias("value"))
-    values = values.unionByName(names.select("sheet", F.lit(-1).cast("long").alias("row_no"), "position", F.col("header").alias("value")))
-    quoted = F.when(F.col("value").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("value"))
-    lines = values.groupBy("sheet", "row_no").agg(F.sort_array(F.collect_list(F.struct("position", quoted.alias("v")))).alias("c"))
-    line = F.array_join(F.transform("c", lambda c: c["v"]), ",")
-    lines = lines.select("sheet", F.when(F.col("row_no") < 0, 1).otherwise(3).alias("part"), "row_no", F.when((F.size("c") == 1) & (line == ""), '""').otherwise(line).alias("line"))
+    # Both readers of the rows take the names along, so that they share one shuffle.
+    long = marked.filter("row_no >= header_row").select(*by, "head", "titles", F.posexplode(fitted).alias("position", "value"))
+    columns = sheets.column_names(long.select(*by, "head", "position", F.coalesce(F.get("titles.cells", "position"), F.lit("")).alias("title"), "value"), by, lexicon)
+    columns = columns.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("position", "name", "least"))).alias("columns"))
+    cell = lambda c, value, least: F.struct(c["position"].alias("position"), value.alias("value"), least.alias("least"))
+    stays = F.lit(None).cast("long")
     note = F.concat(F.lit(f"{NOTE_MARK} "), F.array_join(F.filter(F.transform("cells", clean), lambda c: c != ""), " "))
-    notes = marked.filter("row_no < header_row").select("sheet", F.lit(2).alias("part"), "row_no", note.alias("line"))
-    marks = width.select("sheet", F.lit(0).alias("part"), F.lit(0).cast("long").alias("row_no"), F.concat(F.lit(f"{SHEET_MARK} "), "sheet.sheet").alias("line"))
-    every = lines.unionByName(notes).unionByName(marks).groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("part", "row_no", "line"))).alias("l"))
-    texts = every.select("sheet.document_id", "sheet.sheet_no", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    own = F.when(F.col("head"), F.transform("columns", lambda c: cell(c, c["name"], stays)))
+    own = own.when(F.col("row_no") < F.col("header_row"), F.array(F.struct(F.lit(0).alias("position"), note.alias("value"), stays.alias("least"))))
+    own = own.otherwise(F.zip_with("columns", fitted, lambda c, v: cell(c, v, c["least"])))
+    part = F.when(F.col("head"), 0).when(F.col("row_no") < F.col("header_row"), 1).otherwise(2)
+    lines = marked.join(columns, by).select(*by, F.when(F.col("head"), F.col("titles.sheet")).alias("sheet"), part.alias("part"), "row_no", own.alias("own"))
+    rest = F.struct(F.lit(-1).alias("position"), F.lit(None).cast("string").alias("value"), stays.alias("least"))
+    pieces = lines.select(*by, "sheet", "part", "row_no", F.filter("own", lambda c: c["least"].isNull()).alias("rest"), F.explode(F.concat(F.array(rest), F.filter("own", lambda c: c["least"].isNotNull()))).alias("c"))
+    pieces = pieces.select(*by, F.when(F.col("c.position") < 0, F.col("sheet")).alias("sheet"), "part", "row_no", F.when(F.col("c.position") < 0, F.transform("rest", lambda c: F.struct(c["position"], c["value"]))).alias("rest"), "c.*").withColumn("v", F.trim("value"))
+    pieces = pieces.withColumn("n", F.count("*").over(Window.partitionBy(*by, "position", "v")))
+    pieces = pieces.withColumn("most", F.max(F.when(F.col("v") != "", F.col("n"))).over(Window.partitionBy(*by, "position")))
+    pieces = sheets.forward_fill(pieces, ["v"], [*by, "position"], "row_no")
+    fill = F.when(F.col("least") == 0, True).otherwise(F.col("most") / F.col("least") >= 0.25)
+    cells = F.coalesce("rest", F.array(F.struct("position", F.when(fill, F.coalesce("v", F.lit(""))).otherwise(F.col("value")).alias("value"))))
+    lines = pieces.groupBy(*by, "part", "row_no").agg(F.first("sheet", True).alias("sheet"), F.sort_array(F.flatten(F.collect_list(cells))).alias("c"))
+    quoted = lambda v: F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    line = F.array_join(F.transform("c", lambda c: quoted(c["value"])), ",")
+    line = F.when((F.size("c") == 1) & (F.col("c")[0]["value"] == ""), '""').otherwise(line)
+    mark = F.concat(F.lit(f"{SHEET_MARK} "), "sheet.sheet")
+    line = F.when(F.col("part") == 1, F.col("c")[0]["value"]).when(F.col("part") == 0, F.array_join(F.array(mark, line), "\n")).otherwise(line)
+    texts = lines.groupBy(*by).agg(F.first("sheet", True).alias("sheet"), F.sort_array(F.collect_list(F.struct("part", "row_no", line.alias("line")))).alias("l"))
+    texts = texts.select("sheet.document_id", "sheet.sheet_no", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
     whole = texts.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("sheet_no", "text"))).alias("t"))
     return whole.select("document_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))

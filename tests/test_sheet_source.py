@@ -93,3 +93,13 @@ def test_no_sheets(spark, tmp_path):
     spark.dataSource.register(sheets.SheetSource)
     assert spark.read.format("sheets").load(str(tmp_path)).collect() == []
     assert sheets.sheet_texts(spark.createDataFrame([], sheets.SCHEMA)).collect() == []
+
+
+def test_sheets_are_dealt_out_once(spark):
+    cells = [["n", "n", "n_2"], ["x", "x", "1"], ["y", "", "2"], ["z", "x", "3"], ["w", "", "4"]]
+    table = [("d", "d.xlsx", 0, "s", i, r, None) for i, r in enumerate(cells)] + [(None, "?", None, None, i, r, None) for i, r in enumerate([["h", "部门"], ["1", "p"], ["2", ""]])]
+    texts = sheets.sheet_texts(spark.createDataFrame(table, sheets.SCHEMA))
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3  # by sheet, for both readers, and by document
+    assert {r["document_id"]: r["text"] for r in texts.collect()} == {"d": sheet_rows.sheet_text("s", cells), None: "h,部门\n1,p\n2,p"}
+    assert "y,x,2" in sheet_rows.sheet_text("s", cells)  # columns whose names end up equal are filled each on its own
