@@ -1,8 +1,14 @@
 """The vector and text indexes against exact search and full scans: same rows, fewer files."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from tessera.operators import nearest, recall, text_index, vector_index
 
@@ -95,6 +101,25 @@ def test_tasks_keep_their_best(spark, monkeypatch):
     assert rows(recall.dense_retrieve(held, asked(spark, q), 6)) == want
 
 
+def test_products_held_at_a_time_are_few(spark, monkeypatch):
+    """Many queries cost no more memory than the products of a turn; the best rows are those of all products."""
+    rng = np.random.default_rng(3)
+    held, q, k = rng.normal(size=(2000, 8)), rng.normal(size=(4096, 8)), 3
+    held[500:900] = held[0]
+    batches = [pa.record_batch([pa.array(range(a, a + 1000)), pa.array(list(held[a : a + 1000]))], names=["key", "v"]) for a in (0, 1000)]
+    rows = SimpleNamespace(schema={"key": StructField("key", LongType())}, sparkSession=spark, mapInArrow=lambda run, schema: run)
+    run = nearest.best_in_tasks(rows, [str(i) for i in range(len(q))], q, k)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    tracemalloc.start()
+    found = pa.Table.from_batches(run(iter(batches))).to_pydict()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = np.round(nearest.unit(q) @ nearest.unit(held).T, 9)
+    want = [(str(i), int(j), float(score[i, j])) for i in range(len(q)) for j in np.lexsort((np.arange(len(held)), -score[i]))[:k]]
+    assert list(zip(found["query_id"], found["key"], found["score"])) == want
+    assert most < 40_000_000
+
+
 # Text
 
 
