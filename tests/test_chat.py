@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import query as Q
 from tessera.lexicon import ENGLISH
-from tessera.operators import embedding, records
+from tessera.operators import embedding, recall, records
 from tessera.plans import memory as plan
 from tessera.plans import search
 from tessera.schemas import MEMORY_RECORDS
@@ -154,6 +154,18 @@ def test_both_routes_against_plain_ones(spark):
     assert got == plain_hybrid(texts, queries, 10)
 
 
+def test_routes_take_any_number_of_queries(spark, monkeypatch):
+    """More queries than one plan holds: words still count, in several calls."""
+    monkeypatch.setattr(recall, "MOST_QUERIES", 8)
+    texts, frame, queries = corpus(spark, random.Random(6), 40)
+    vectors = embedding.with_vectors(frame).select("document_id", "chunk_index", "embedding")
+    asked = embedding.with_vectors(spark.createDataFrame(list(queries.items()), "query_id string, content string"))
+    got = {}
+    for r in search.hybrid(frame, queries, 10, vectors, asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["document_id"], round(r["score"], 9)))
+    assert got == plain_hybrid(texts, queries, 10)
+
+
 def test_many_searches_are_those_of_few(spark):
     """Twenty queries, some structured and some with variants, in one plan and in halves: the same cited results."""
     rng = random.Random(7)

@@ -5,12 +5,14 @@ import zipfile
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.lexicon import CHINESE
 from tessera.operators import chunks, conversations, evidence, fusion, memory, recall, rerank, sheets
 from tessera.plans import search
+from tessera.queries import retrieval
 from tessera.sources import files, rewrite
 
 CHUNKS = "document_id string, chunk_index int, child_id string, parent_id string, source_name string, file_type string, content string"
@@ -379,6 +381,35 @@ def test_failing_route_is_empty(spark):
         search.hybrid(rows, {"q": "天气怎么样"}, 3, vectors, broken, method="dense")
 
 
+def test_failure_is_no_result(spark, monkeypatch):
+    """What one route finds doesn't pass for the result of both."""
+    rows = chunk_rows(spark, "差旅报销标准：住宿费用", "天气预报")
+    vectors = rows.select("document_id", "chunk_index", F.array(F.lit(1.0)).alias("embedding"))
+    asked = spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<double>")
+    longer = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, embedding array<double>")  # fails in a task
+
+    def broken(*_, **__):
+        raise RuntimeError("no model")
+
+    with pytest.raises(PySparkException):
+        search.hybrid(rows, {"q": "差旅报销"}, 3, vectors, longer).collect()
+    with pytest.raises(PySparkException):
+        search.hybrid(rows, {"q": "差旅报销"}, 3, vectors.drop("embedding"), asked).collect()
+    with pytest.raises(RuntimeError):
+        search.search(rows, "差旅报销", 3, vectors=vectors, embed=broken).collect()
+    whole = search.hybrid(rows, {"q": "差旅报销"}, 3, vectors, lambda: asked).collect()
+    assert len(whole) == 2 and all(r["failed_routes"] == [] for r in whole)
+    # A caller who can do without vectors is told so in each row, and has an error where a query has none.
+    assert [r["failed_routes"] for r in search.hybrid(rows, {"q": "差旅报销"}, 3, vectors, broken).collect()] == [["dense"]]
+    with pytest.raises(RuntimeError):
+        search.hybrid(rows, {"q": "差旅报销", "r": "xyz"}, 3, vectors, broken)
+    monkeypatch.setattr(recall, "sparse_retrieve", broken)
+    with pytest.raises(RuntimeError):
+        search.hybrid(rows, {"q": "差旅报销"}, 3, vectors, asked).collect()
+    with pytest.raises(RuntimeError):
+        retrieval.embedded_search(spark, "/root/testdata/sf0.001").collect()
+
+
 def test_fitting_tables_are_kept_by_route(spark):
     from tessera.functions import query as Q
 
